@@ -33,7 +33,7 @@ from .frames import pieces_of
 #: Entries that each worker's memo of words may hold before it starts anew.
 MEMO = 1 << 16
 #: White space as Unicode has it, which lacks the four separators U+001C to U+001F that str.split() cuts at.
-SPACE = "\t\n\v\f\r \u0085   -     　"
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANKS = regex.compile(f"[{SPACE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
 
