@@ -21,7 +21,8 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import regex
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .frames import pieces_of
 
-#: Entries that each worker's memo of words may hold before it starts anew.
-MEMO = 1 << 16
+#: Entries in a generation of each worker's memo of chunks.
+MEMO = 1 << 18
+#: Longer keys are not kept.
+LONG = 64
 #: White space as Unicode has it, which lacks the four separators U+001C to U+001F that str.split() cuts at.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANKS = regex.compile(f"[{SPACE}]+")
@@ -201,58 +204,76 @@ class Decoder:
         return self.state.decode(b"", final=True)
 
 
+class Memo:
+    """A bounded dictionary of two generations: what was not used for a whole generation is forgotten."""
+
+    def __init__(self, make: Callable[[Any], bytes], most: int):
+        self.make, self.most = make, most
+        self.young: dict[Any, bytes] = {}
+        self.old: dict[Any, bytes] = {}
+
+    def take(self, key: Any) -> bytes:
+        """For a key that is not among the young."""
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+    def each(self, keys: list) -> list[bytes]:
+        take = self.take
+        return [v if (v := self.young.get(k)) is not None else take(k) for k in keys]
+
+
 class Codec:
     """Whole texts: white-space chunks are memoised, each unknown one goes through the transducer."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.v, self.memo, self.most = Vocabulary(path), {}, memo
-        self.words: dict[str, bytes] = {}
+        self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
+        self.words, self.known, self.back = Memo(self._word, memo // 2), Memo(self._chunk, memo), Memo(self._decoded, memo)
 
     def chunks(self, text: str) -> list[str]:
         return [c for c in _BLANKS.split(text) if c] if _ODD.search(text) else text.split()
 
-    def word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            t = self.transducer
-            ids = [*t.feed(word.encode("utf-8", "replace")), *t.finish()]
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= 64:
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """The ids of a chunk, four bytes each, and what they decode to with a space before each token."""
+    def _word(self, word: str) -> bytes:
+        t = self.transducer
+        ids = [*t.feed(word.encode("utf-8", "replace")), *t.finish()]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
         out = []
         for part in self.v.marks.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.v.special:
                 out.append(struct.pack("<I", self.v.special[part]))
                 continue
-            part = unicodedata.normalize("NFC", part)
-            part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            out += map(self.word, self.v.words.findall(part))
-        ids = b"".join(out)
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
+            out += self.words.each(self.v.words.findall(part))
+        return b"".join(out)
+
+    def _decoded(self, ids: bytes) -> bytes:
+        """The text of some ids, each token after a space."""
         decoder = Decoder(self.v)
         decoder.started = True
-        pair = ids, decoder.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode()
-        if len(chunk) <= 64:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[chunk] = pair
-        return pair
-
-    def encode(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """Pairs of id bytes and decoded bytes, a few thousand chunks at a time."""
-        every, known, new = self.chunks(text), self.memo.get, self.chunk
+        return decoder.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode()
+
+    def encode(self, text: str) -> Iterator[list[bytes]]:
+        """The ids of the text's chunks, four bytes each, a few thousand chunks at a time."""
+        every = self.chunks(text)
         for at in range(0, len(every), 4096):
-            pairs = [known(c) or new(c) for c in every[at : at + 4096]]
-            yield b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+            yield self.known.each(every[at : at + 4096])
+
+    def decode(self, ids: list[bytes]) -> bytes:
+        """What those ids decode to, with a space before each token."""
+        return b"".join(self.back.each(ids))
 
     def ids(self, text: str) -> list[int]:
-        data = b"".join(p[0] for p in self.encode(text))
+        data = b"".join(b"".join(some) for some in self.encode(text))
         return list(struct.unpack(f"<{len(data) // 4}I", data))
 
 
@@ -275,10 +296,10 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in pieces_of(batches, "text"):
             ids, texts = [], []
             for text in batch.column("text").to_pylist():
-                parts = list(own.encode(text or ""))
-                data = b"".join(p[0] for p in parts)
+                parts = [x for some in own.encode(text or "") for x in some]
+                data = b"".join(parts)
                 ids.append(struct.unpack(f"<{len(data) // 4}I", data))
-                texts.append(b"".join(p[1] for p in parts)[1:].decode())
+                texts.append(own.decode(parts)[1:].decode())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {key.simpleString()}, ids array<bigint>, decoded string")
@@ -295,10 +316,11 @@ def digest_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             n, a, b = [], [], []
             for text in batch.column("text").to_pylist():
                 count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                for some, back in own.encode(text or ""):
-                    ids.update(some)
-                    decoded.update(back if count or not back else back[1:])
-                    count += len(some) // 4
+                for some in own.encode(text or ""):
+                    data, back = b"".join(some), own.decode(some)
+                    ids.update(data)
+                    decoded.update(back if count else back[1:])
+                    count += len(data) // 4
                 n.append(count)
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())

@@ -91,7 +91,7 @@ def cut_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
         for batch in pieces_of(batches, "text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                data = b"".join([p[0] for p in own.encode(text or "")]) + close
+                data = b"".join([b"".join(some) for some in own.encode(text or "")]) + close
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i)
