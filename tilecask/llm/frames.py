@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts and sets stay small, unless the session has chosen a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(name, "4m")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several later steps read."""
     shared_dir(df.sparkSession)

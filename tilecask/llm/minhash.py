@@ -1,9 +1,9 @@
 """Near-duplicate documents by min-max hashing.
 
 Every permutation of the shingle hashes gives two signature values, its minimum and its
-maximum, so a signature of 128 values takes 64 hash evaluations a shingle.  Bands of
-four values make 32 buckets a document; at a similarity of 0.8 a pair shares none of
-them with a probability of (1 - 0.8**4)**32 = 5e-8.
+maximum, so a signature of 96 values takes 48 hash evaluations a shingle.  Bands of
+four values make 24 buckets a document; at a similarity of 0.8 a pair shares none of
+them with a probability of (1 - 0.8**4)**24 = 3e-6.
 
 Documents with equal shingle sets form one class and go on as one row.  In each bucket
 the classes are held against one pivot and linked on their full sets; after the
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .frames import pieces_of, settle, utf8
+from .frames import modest_batches, pieces_of, settle, utf8
 from .shingles import mix, shingle_sets
 
-PERMUTATIONS, BAND = 64, 4
+PERMUTATIONS, BAND = 48, 4
 _rng = np.random.default_rng(52)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -111,16 +111,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row."""
+    modest_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = settle(signed(docs, width))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"))
     entries = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1").drop("c")
-    entries = settle(entries.join(shared, "bucket").select("bucket", "key", "pivot"))
+    shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
+    entries = settle(entries.join(shared, "bucket"))
+    entries = entries.join(entries.groupBy("bucket").agg(F.min("key").alias("pivot")), "bucket")
     pairs = settle(entries.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
 
     needed = entries.select("key").distinct().join(classes.select("key", "id"), "key").select("id").distinct()
-    sets = settle(sets_of(docs.join(needed, "id", "left_semi"), width).groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    sets = settle(sets_of(docs.join(needed, "id", "left_semi"), width))
     links = settle(verified(pairs, sets, percent))
     roots = settle(connected(links, "a", "b"))
 
