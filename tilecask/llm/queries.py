@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, suffixes
+from . import bpe, embeddings, maxscore, minhash, packing, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -32,10 +33,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), capacity=2048, end_id=0)
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
     "op5_minhash": op5_minhash,
     "op8_bpe": op8_bpe,
+    "op7_maxscore": op7_maxscore,
     "op9_packing": op9_packing,
+    "op10_embeddings": op10_embeddings,
 }
 ORACLE: dict[str, str] = {}
