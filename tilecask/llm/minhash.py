@@ -5,11 +5,13 @@ maximum, so a signature of 96 values takes 48 hash evaluations a shingle.  Bands
 four values make 24 buckets a document; at a similarity of 0.8 a pair shares none of
 them with a probability of (1 - 0.8**4)**24 = 3e-6.
 
-Documents with equal shingle sets form one class and go on as one row.  In each bucket
-the classes are held against one pivot and linked on their full sets; after the
-components are joined, classes of one bucket that are still in different components
-are held against further pivots, and lastly against each other.  Pairs within one
-component need no test, so a bucket with thousands of copies costs a row for each.
+Documents with equal shingle sets form one class and go on as one row.  Classes that share
+a bucket, directly or by way of others, form a cluster; every link lies within one.  A
+cluster's sets are brought together once, in blocks of ``BLOCK`` classes where there are
+more, and each two blocks are compared in a task: signatures estimate the similarity of
+every pair, and pairs whose estimate is not too far below the threshold are confirmed on their full
+sets, the likeliest first, unless their classes are in one component already.  What comes out
+are the links that join components, at most one for each class and task.
 
 Null or empty texts have an empty set and no link.  Rows with a null id keep a null
 component unless they are linked.  Repeated rows are copies.  Further columns are left
@@ -30,7 +32,7 @@ from .components import connected
 from .frames import modest_batches, pieces_of, settle, utf8
 from .shingles import mix, shingle_sets
 
-PERMUTATIONS, BAND = 48, 4
+PERMUTATIONS, BAND, BLOCK = 48, 4, 1024
 _rng = np.random.default_rng(52)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -77,39 +79,101 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n bigint, key binary, buckets array<bigint>")
 
 
-def sets_of(texts: DataFrame, width: int) -> DataFrame:
-    """``(key, n, hashes)`` of every ``text``; hashes are packed 64-bit words in order."""
+def _sets(found: DataFrame, width: int) -> DataFrame:
+    """``(cluster, blocks, key, hashes)`` of rows with a text; hashes are packed 64-bit words in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", 1 << 20):
             own = list(shingle_sets(utf8(batch.column("text")), width))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["key", "n", "hashes"])
-
-    return texts.select("text").mapInArrow(run, "key binary, n bigint, hashes binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of keys whose full sets are similar enough."""
+            same = [set_key(s) == k for s, k in zip(own, batch.column("key").to_pylist(), strict=True)]
+            hashes = pa.array([s.tobytes() for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("blocks"), batch.column("key"), hashes], ["cluster", "blocks", "key", "hashes"]).filter(pa.array(same, pa.bool_()))
+
+    return found.mapInArrow(run, "cluster binary, blocks int, key binary, hashes binary")
+
+
+def likely_pairs(signs: np.ndarray, sizes: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (x, y) of rows with ``other[x] < other[y]`` whose estimate is near enough, likeliest first.
+
+    A pair at the threshold falls below four and a half standard deviations in three of a million cases.
+    """
+    t, width = percent / 100, signs.shape[1]
+    least = t - 4.5 * (t * (1 - t) / width) ** 0.5
+    found = []
+    for a in range(len(signs)):
+        y = np.flatnonzero(other > other[a])
+        y = y[(100 * np.minimum(sizes[y], sizes[a]) >= percent * np.maximum(sizes[y], sizes[a]))]
+        agree = (signs[y] == signs[a]).sum(1)
+        near = agree >= least * width
+        found.append(np.stack([np.full(near.sum(), a), y[near], agree[near]]))
+    every = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return every[:2, np.argsort(-every[2], kind="stable")].T
+
+
+def joined(sets: list[np.ndarray], other: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between rows that no earlier link has brought together."""
+    if len(sets) == 2:
+        pairs = [(0, 1)] if other[0] != other[1] else []
+    else:
+        signs = np.array([signature(s) for s in sets]).astype(np.uint16)
+        pairs = likely_pairs(signs, np.array([len(s) for s in sets]), other, percent).tolist()
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for x, y in pairs:
+        a, b = top(x), top(y)
+        if a == b:
+            continue
+        s, t = sets[x], sets[y]
+        at = np.searchsorted(s, t)
+        at[at == len(s)] = 0
+        both = int((s[at] == t).sum())
+        if 100 * both >= percent * (len(s) + len(t) - both):
+            root[b] = a
+            links.append((x, y))
+    return links
+
+
+def _links(cells: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` from whole cells of rows ``(cluster, low, high, block, key, hashes)`` in order."""
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(held)
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]]
+        block = part["block"].to_numpy()
+        low, high = part["low"][0].as_py(), part["high"][0].as_py()
+        other = np.arange(len(sets)) if low == high else (block == high).astype(int)
+        links = joined(sets, other, percent)
+        keys = part["key"].to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in links], pa.binary()), pa.array([keys[y] for _, y in links], pa.binary())], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(s, t)
-                at[at == len(s)] = 0
-                both = int((s[at] == t).sum())
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    second = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    first = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
-    full = pairs.join(second, "b").join(first, "a").where(sizes).select("a", "b", "ha", "hb")
-    return full.mapInArrow(run, "a binary, b binary")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high")), strict=True))
+            at = 0
+            while at < len(ids):
+                end = at + 1
+                while end < len(ids) and ids[end] == ids[at]:
+                    end += 1
+                if held and ids[at] != last:
+                    yield solve(held)
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last, at = ids[at], end
+        if held:
+            yield solve(held)
+
+    return cells.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row."""
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -118,33 +182,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     entries = classes.select("key", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     entries = settle(entries.join(shared, "bucket"))
-    entries = entries.join(entries.groupBy("bucket").agg(F.min("key").alias("pivot")), "bucket")
-    pairs = settle(entries.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
-
-    needed = entries.select("key").distinct().join(classes.select("key", "id"), "key").select("id").distinct()
-    sets = settle(sets_of(docs.join(needed, "id", "left_semi"), width))
-    links = settle(verified(pairs, sets, percent))
-    roots = settle(connected(links, "a", "b"))
-
-    for k in range(rounds + 1):
-        told = entries.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("root")).where("key != pivot")
-        open_ = told.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("root", "key")).alias("first")).where("least != most")
-        open_ = settle(told.join(open_.select("bucket", "first"), "bucket").select("bucket", "key", "root", "first"))
-        if open_.isEmpty():
-            break
-        if k < rounds:
-            more = open_.where("root != first.root").select(F.least("key", "first.key").alias("a"), F.greatest("key", "first.key").alias("b"))
-        else:  # what is left of the buckets: only across components
-            x, y = (open_.select("bucket", F.col("key").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-            more = x.join(y, "bucket").where("a < b and ra != rb").select("a", "b")
-        more = settle(more.distinct().join(pairs, ["a", "b"], "left_anti"))
-        if more.isEmpty() and k < rounds:
-            continue
-        pairs = pairs.union(more)
-        found = settle(verified(more, sets, percent))
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = settle(connected(links, "a", "b"))
+    met = entries.join(entries.groupBy("bucket").agg(F.min("key").alias("pivot")), "bucket").where("key != pivot").select("key", "pivot").distinct()
+    clusters = settle(connected(met, "key", "pivot").select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    wanted = clusters.join(blocks, "cluster").join(classes.select("key", "id"), "key")
+    sets = _sets(docs.join(wanted, "id").select("text", "key", "cluster", "blocks"), width)
+    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    cells = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "hashes")
+    cells = cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    roots = connected(settle(_links(cells, percent)), "a", "b")
 
     least = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("key", "component_id")
