@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_numbers = itertools.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +33,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_columns_named(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator reads, whatever else the table carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def stored(df: DataFrame) -> DataFrame:
+    """The same for larger tables: compressed columns in a folder of its own, without a fixed order of partitions."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tilecask-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import modest_batches, pieces_of, settle, utf8
+from .frames import modest_batches, pieces_of, stored, utf8
 from .shingles import mix
 
 GRAM = 32
@@ -38,6 +38,8 @@ GROUP = 32768
 SEGMENT = 1 << 20
 #: Window starts that are sorted at once.
 AT_ONCE = 400_000
+#: Room for a place within a segment.
+_PLACE = np.uint64((1 << 21) - 1)
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -51,9 +53,13 @@ def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the least ``GRAM``-byte strings of all windows."""
-    span, places, hashes = length - GRAM + 1, [], []
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and place of each anchor, and the first and last start of the windows it stands for.
+
+    The anchor of a window is the first of its ``GRAM``-byte strings of least hash, so a window's own
+    bytes tell it, and each window has one.
+    """
+    span, out = length - GRAM + 1, [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
     for at in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = np.frombuffer(data, np.uint8, min(len(data) - at, SEGMENT + length - 1), at)
         h, base, size = _CODES[part], 0x9E3779B97F4A7C15, 1
@@ -61,20 +67,13 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
             h = h[:-size] * np.uint64(base) + h[size:]
             base, size = base * base % (1 << 64), 2 * size
         h = mix(h)
-        least = _slide(h, span, np.minimum)
-        edge = np.zeros(span - 1, np.uint64)
-        found = np.flatnonzero(_slide(np.concatenate((edge, least, edge)), span, np.maximum) == h)
-        places.append(found + at)
-        hashes.append(h[found])
-    if len(places) < 2:
-        return (places[0], hashes[0]) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
-
-
-def around(data: bytes, at: int, length: int) -> tuple[int, int]:
-    """From where to where the windows reach that hold the string at ``at``."""
-    return max(0, at - (length - GRAM)), min(len(data), at + length)
+        ordered = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        place = (_slide(ordered, span, np.minimum) & _PLACE).astype(np.int64)
+        first = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
+        last = np.append(first[1:], len(place)) - 1
+        for column, values in zip(out, (h[place[first]], place[first] + at, first + at, last + at), strict=True):
+            column.append(values)
+    return tuple(np.concatenate(column) for column in out)
 
 
 def piece_key(data: bytes, at: int, first: int, last: int) -> bytes:
@@ -179,7 +178,7 @@ def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: in
     """For each piece the first and last window that another piece of its group holds too.
 
     Windows are counted from the earliest that can hold the anchor, which lies ``left`` bytes
-    into its piece; (1, 0) where there is none.
+    into its piece; a high below the low where there is none.
     """
     reach = length - GRAM
     low, high = np.full(len(pieces), reach + 1), np.full(len(pieces), -1)
@@ -209,30 +208,26 @@ def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: in
         twice = n[inverse] > 1
         np.minimum.at(low, piece[twice], window[twice])
         np.maximum.at(high, piece[twice], window[twice])
-    none = high < 0
-    low[none], high[none] = 1, 0
     return low, high
 
 
 def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
-    """``(anchor, piece, tid, at, size)`` of every anchor of every ``(tid, text)``."""
+    """``(anchor, piece, tid, first, left, windows)`` of every anchor of every ``(tid, text)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", 1 << 20):
-            rows, hashes, keys, ats, sizes = [], [], [], [], []
+            rows, keys, out = [], [], [[], [], [], []]
             for i, data in enumerate(utf8(batch.column("text"))):
-                at, h = anchors(data, length)
-                if len(at):
-                    rows.append(np.full(len(at), i))
-                    hashes.append(h)
-                    ats.append(at)
-                    sizes.append(np.full(len(at), len(data)))
-                    keys += [piece_key(data, j, *around(data, j, length)) for j in at.tolist()]
-            if rows:
-                tids = batch.column("tid").take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(keys, pa.binary()), tids, pa.array(np.concatenate(ats)), pa.array(np.concatenate(sizes))], ["anchor", "piece", "tid", "at", "size"])
+                h, at, first, last = anchors(data, length)
+                rows.append(np.full(len(at), i))
+                for column, values in zip(out, (h.view(np.int64), first, (at - first).astype(np.int32), (last - first + 1).astype(np.int32)), strict=True):
+                    column.append(values)
+                keys += [piece_key(data, a, f, t + length) for a, f, t in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
+            tids = batch.column("tid").take(pa.array(np.concatenate(rows)))
+            h, first, left, windows = (pa.array(np.concatenate(c)) for c in out)
+            yield pa.RecordBatch.from_arrays([h, pa.array(keys, pa.binary()), tids, first, left, windows], ["anchor", "piece", "tid", "first", "left", "windows"])
 
-    return texts.mapInArrow(run, "anchor bigint, piece binary, tid binary, at bigint, size bigint")
+    return texts.mapInArrow(run, "anchor bigint, piece binary, tid binary, first bigint, left int, windows int")
 
 
 def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
@@ -240,22 +235,22 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", 1 << 20):
-            found = [anchors(data, length)[1] for data in utf8(batch.column("text"))]
+            found = [anchors(data, length)[0] for data in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
 
     return texts.select("text").mapInArrow(run, "anchor bigint")
 
 
-def _cut(found: DataFrame, length: int) -> DataFrame:
+def _cut(found: DataFrame, text_col: str, length: int) -> DataFrame:
     """``(anchor, piece, left, bytes)`` from rows of a text with the list of anchors wanted of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text", 1 << 20):
+        for batch in pieces_of(batches, text_col, 1 << 20):
             out: list[list] = [[], [], [], []]
-            for data, wanted in zip(utf8(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            for data, wanted in zip(utf8(batch.column(text_col)), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    first, last = around(data, w["at"], length)
-                    for column, value in zip(out, (w["anchor"], w["piece"], w["at"] - first, data[first:last]), strict=True):
+                    piece = data[w["first"] : w["first"] + w["windows"] - 1 + length]
+                    for column, value in zip(out, (w["anchor"], w["piece"], w["left"], piece), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "piece", "left", "bytes"])
 
@@ -263,16 +258,18 @@ def _cut(found: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """``(anchor, piece, low, high)`` of pieces with a window that another of their anchor has."""
+    """``(anchor, piece, low, high)`` of pieces with a window that another of their anchor has: the first and last such from the piece's own first."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
+        keys, anchor = t["piece"].to_pylist(), t["anchor"].to_numpy()
+        once = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or anchor[i] != anchor[i - 1]]  # equal texts bring equal pieces
+        t = t.take(pa.array(once)).combine_chunks()
         left = t["left"].to_numpy()
         low, high = repeats(t["anchor"].to_numpy(), left, t["bytes"].to_pylist(), length)
-        some = high >= low
-        reach = length - GRAM
-        out = [t["anchor"].combine_chunks(), t["piece"].combine_chunks(), pa.array(low - reach), pa.array(high - reach + length)]
-        return pa.RecordBatch.from_arrays(out, ["anchor", "piece", "low", "high"]).filter(pa.array(some))
+        shift = left - (length - GRAM)
+        out = [t["anchor"].combine_chunks(), t["piece"].combine_chunks(), pa.array(low + shift), pa.array(high + shift)]
+        return pa.RecordBatch.from_arrays(out, ["anchor", "piece", "low", "high"]).filter(pa.array(high >= low))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,7 +283,7 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
                 cuts = np.append(0, cuts)
             done = 0
             for c in cuts.tolist():  # a group ends here
-                if rows + c - done >= 2048:
+                if rows + c - done >= 4096:
                     if c > done:
                         held.append(batch.slice(done, c - done))
                     yield solve(held)
@@ -297,62 +294,59 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(run, "anchor bigint, piece binary, low bigint, high bigint")
+    return pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor", "piece").mapInArrow(run, "anchor bigint, piece binary, low bigint, high bigint")
 
 
 def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
     """The same by digests of single windows."""
-    reach = length - GRAM
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "bytes", 1 << 16):
             rows, windows, keys = [], [], []
             for i, (left, data) in enumerate(zip(batch.column("left").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
-                for s in range(max(0, left - reach), min(left, len(data) - length) + 1):
+                for s in range(len(data) - length + 1):
                     rows.append(i)
-                    windows.append(s - left + reach)
-                    keys.append(hashlib.blake2b(data[s : s + length], digest_size=16).digest())
+                    windows.append(s)
+                    keys.append(hashlib.blake2b(data[s : s + length], digest_size=16, salt=(left - s).to_bytes(8, "little", signed=True)).digest())
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("anchor").take(at), batch.column("piece").take(at), pa.array(windows, pa.int64()), pa.array(keys, pa.binary())], ["anchor", "piece", "window", "key"])
 
-    every = pieces.mapInArrow(run, "anchor bigint, piece binary, window bigint, key binary")
-    twice = every.groupBy("anchor", "window", "key").count().where("count > 1").drop("count")
-    met = every.join(twice, ["anchor", "window", "key"]).groupBy("anchor", "piece")
-    return met.agg((F.min("window") - reach).alias("low"), (F.max("window") - reach + length).alias("high"))
+    every = pieces.dropDuplicates(["anchor", "piece"]).mapInArrow(run, "anchor bigint, piece binary, window bigint, key binary")
+    twice = every.groupBy("anchor", "key").count().where("count > 1").drop("count")
+    return every.join(twice, ["anchor", "key"]).groupBy("anchor", "piece").agg(F.min("window").alias("low"), F.max("window").alias("high"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """``(row, text, copies, spans)``: each input row, its text, and where it holds strings that start elsewhere too.
+    """The rows with ``copies`` and ``spans``: where each text holds strings that start elsewhere too.
 
-    ``spans`` are pairs ``(low, high)`` that may overlap; null for none.  ``copies`` tells that
-    another row has the very text.
+    Only the names ``tid``, ``copies`` and ``spans`` may not be taken.  ``spans`` are pairs ``(low, high)``
+    that may overlap; null for none.  ``copies`` tells that another row has the very text.
     """
     modest_batches(docs.sparkSession)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("tid"))
-    texts = rows.select("tid", "text").where(F.octet_length("text") >= length)
-
-    known = settle(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1").select("anchor"))
-    places = settle(_anchor_table(texts, length).join(known, "anchor", "left_semi"))
-    kinds = places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("where"))
-    kinds = settle(kinds)
-    many = settle(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    wanted = kinds.join(many, "anchor").select("anchor", "piece", "kinds", F.col("where.tid").alias("tid"), F.col("where.at").alias("at"))
-    wanted = wanted.groupBy("tid").agg(F.collect_list(F.struct("anchor", "piece", "at")).alias("wanted"))
-    source = rows.join(wanted, "tid").select("tid", "text", "wanted")
-    pieces = settle(_cut(source, length).dropDuplicates(["anchor", "piece"]))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("tid", F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b"")))
+    texts = rows.select("tid", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
+
+    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1").select("anchor"))
+    places = stored(_anchor_table(texts, length).join(known, "anchor", "left_semi"))
+    kinds = places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where"))
+    kinds = stored(kinds)
+    many = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("n")).where("kinds > 1 and n = 1").select("anchor", "kinds"))
     hot = many.where(F.col("kinds") > group)
-    met = _sorted_groups(pieces.join(hot, "anchor", "left_anti"), length)
-    if not hot.isEmpty():
-        met = met.union(_counted_windows(pieces.join(hot, "anchor", "left_semi"), length))
-    reach = length - GRAM
-    whole = kinds.where("n > 1").select("anchor", "piece", F.lit(-reach).cast("bigint").alias("low"), F.lit(length).cast("bigint").alias("high"))
-    met = settle(met.join(whole, ["anchor", "piece"], "left_anti").union(whole))
-    spans = places.join(met, ["anchor", "piece"]).select("tid", F.greatest(F.lit(0), F.col("at") + F.col("low")).alias("low"), F.least("size", F.col("at") + F.col("high")).alias("high"))
-    spans = spans.distinct().groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    wanted = kinds.drop("n").join(many, "anchor").select("where.tid", F.struct("anchor", "piece", "where.first", "where.left", "where.windows").alias("w"))
+    wanted = wanted.groupBy("tid").agg(F.collect_list("w").alias("wanted"))
+    pieces = _cut(rows.join(wanted, "tid"), text_col, length)
+    if hot.isEmpty():
+        met = _sorted_groups(pieces, length)
+    else:
+        met = _sorted_groups(pieces.join(hot, "anchor", "left_anti"), length).union(_counted_windows(pieces.join(hot, "anchor", "left_semi"), length))
+    whole = kinds.where("n > 1").select("anchor", "piece", F.lit(0).cast("bigint").alias("low"), F.col("where.windows").cast("bigint").alias("high"))
+    met = met.join(whole.select("anchor", "piece"), ["anchor", "piece"], "left_anti").union(whole.withColumn("high", F.col("high") - 1))
+    spans = places.join(met, ["anchor", "piece"]).select("tid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high"))
+    spans = spans.groupBy("tid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     copied = rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copies"))
-    found = settle(spans.join(copied, "tid", "full_outer"))
-    return rows.join(found, "tid", "left").select("row", "text", F.coalesce("copies", F.lit(False)).alias("copies"), "spans")
+    found = spans.join(copied, "tid", "full_outer")
+    return rows.join(found, "tid", "left")
 
 
 def merged(spans: list[dict] | None, copies: bool, size: int, length: int) -> list[tuple[int, int]]:
@@ -391,25 +385,24 @@ def digest_table(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = found.select("row.id", "text", "copies", "spans")
     return found.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """The table with each text cut to what is left; characters that lost a byte go as a whole.
+    """The table with each text cut to what is left; characters that lost a byte go as a whole, null stays null.
 
     Of texts that are equal as a whole one cannot be told from the other, so all lose everything.
     """
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    text = own[names.index(text_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, text):
             kept = []
-            for data, copies, spans in zip(utf8(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                kept.append(kept_bytes(data, merged(spans, copies, len(data), length)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+            for data, copies, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                kept.append(None if data is None else kept_bytes(data, merged(spans, copies, len(data), length)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else batch.column(c) for c in own], own)
 
-    found = repeated_spans(docs, length, text_col)
-    kind = found.schema["row"].dataType.simpleString()
-    cut = found.mapInArrow(run, f"row {kind}, text string")
-    names = docs.columns
-    return cut.select(*[F.when(F.col(f"row.`{c}`").isNull(), None).otherwise(F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names])
+    found = repeated_spans(docs.toDF(*own), length, text)
+    return found.mapInArrow(run, ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema, strict=True))).toDF(*names)
