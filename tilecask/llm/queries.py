@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, maxscore, minhash, packing, suffixes
+from . import bpe, embeddings, lines, maxscore, minhash, packing, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), capacity=2048, end_id=0)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
     "op5_minhash": op5_minhash,
     "op8_bpe": op8_bpe,
+    "op6_lines": op6_lines,
     "op7_maxscore": op7_maxscore,
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
