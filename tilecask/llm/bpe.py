@@ -32,9 +32,13 @@ from pyspark.sql import functions as F
 from .frames import pieces_of
 
 #: Entries in a generation of each worker's memo of chunks.
-MEMO = 1 << 18
+MEMO = 1 << 19
 #: Longer keys are not kept.
 LONG = 64
+#: Bits of an id, and what is greater than any rank.
+BITS, NEVER = 20, 1 << 62
+#: Up to this many symbols a scan finds the next merge sooner than a heap does.
+SHORT = 40
 #: White space as Unicode has it, which lacks the four separators U+001C to U+001F that str.split() cuts at.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANKS = regex.compile(f"[{SPACE}]+")
@@ -71,6 +75,12 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
         self.lookahead = lookahead(self.merges)
+        self.table = packed(self.merges)
+
+
+def packed(merges: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
+    """Pairs of symbols and their ranks and outcomes as single numbers."""
+    return {a << BITS | b: rank << BITS | out for (a, b), (rank, out) in merges.items()}
 
 
 def lookahead(merges: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -111,32 +121,55 @@ def lookahead(merges: dict[tuple[int, int], tuple[int, int]]) -> int:
     return longest + 1  # one more: a symbol is known to end its word only when the next one is missing
 
 
-def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the earliest merge, leftmost first, until none applies."""
-    n = len(symbols)
+def merge_all(symbols: list[int], table: dict[int, int]) -> list[int]:
+    """Apply the earliest merge, leftmost first, until none applies.
+
+    ``table`` has rank and outcome of each pair, see :func:`packed`.
+    """
+    if len(symbols) > SHORT:
+        return _merge_long(symbols, table)
+    get = table.get
+    found = [get(a << BITS | b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while found:
+        best = min(found)
+        if best == NEVER:
+            break
+        at = found.index(best)
+        symbols[at] = best & (1 << BITS) - 1
+        del symbols[at + 1], found[at]
+        if at < len(found):
+            found[at] = get(symbols[at] << BITS | symbols[at + 1], NEVER)
+        if at:
+            found[at - 1] = get(symbols[at - 1] << BITS | symbols[at], NEVER)
+    return symbols
+
+
+def _merge_long(symbols: list[int], table: dict[int, int]) -> list[int]:
+    """The same with a heap of merges and links between what is left."""
+    n, mask = len(symbols), (1 << BITS) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(merges[p][0], i, p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in merges]
+    heap = [(table[p] >> BITS, i, p) for i, p in enumerate(a << BITS | b for a, b in zip(symbols, symbols[1:], strict=False)) if p in table]
     heapq.heapify(heap)
     while heap:
         _, i, pair = heapq.heappop(heap)
         j = after[i]
-        if j >= n or (symbols[i], symbols[j]) != pair:
+        if j >= n or symbols[i] < 0 or symbols[i] << BITS | symbols[j] != pair:
             continue
-        symbols[i], symbols[j] = merges[pair][1], -1
+        symbols[i], symbols[j] = table[pair] & mask, -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (p := (symbols[i], symbols[k])) in merges:
-                heapq.heappush(heap, (merges[p][0], i, p))
-        if (h := before[i]) >= 0 and (p := (symbols[h], symbols[i])) in merges:
-            heapq.heappush(heap, (merges[p][0], h, p))
+            if (p := symbols[i] << BITS | symbols[k]) in table:
+                heapq.heappush(heap, (table[p] >> BITS, i, p))
+        if (h := before[i]) >= 0 and (p := symbols[h] << BITS | symbols[i]) in table:
+            heapq.heappush(heap, (table[p] >> BITS, h, p))
     return [s for s in symbols if s >= 0]
 
 
 class Transducer:
     """One word at a time: feed bytes, take the ids that are final, then finish."""
 
-    def __init__(self, vocabulary: Vocabulary, step: int = 64):
+    def __init__(self, vocabulary: Vocabulary, step: int = 256):
         self.v, self.held = vocabulary, bytearray()
         self.limit = vocabulary.lookahead + max(step, 1)
         self.widths: dict[int, int] = {}
@@ -155,7 +188,7 @@ class Transducer:
                 yield from self._stable()
 
     def _stable(self) -> Iterator[int]:
-        symbols = merge_all([self.v.plain[b] for b in self.held], self.v.merges)
+        symbols = merge_all([self.v.plain[b] for b in self.held], self.v.table)
         done, sure = 0, len(self.held) - self.v.lookahead
         for token in symbols:
             w = self.width(token)
@@ -172,7 +205,7 @@ class Transducer:
         symbols = [self.v.plain[b] for b in self.held]
         symbols[-1] = self.v.last[self.held[-1]]
         self.held.clear()
-        return merge_all(symbols, self.v.merges)
+        return merge_all(symbols, self.v.table)
 
 
 class Decoder:
@@ -204,6 +237,10 @@ class Decoder:
         return self.state.decode(b"", final=True)
 
 
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memo:
     """A bounded dictionary of two generations: what was not used for a whole generation is forgotten."""
 
@@ -240,9 +277,11 @@ class Codec:
         return [c for c in _BLANKS.split(text) if c] if _ODD.search(text) else text.split()
 
     def _word(self, word: str) -> bytes:
-        t = self.transducer
-        ids = [*t.feed(word.encode("utf-8", "replace")), *t.finish()]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        t, data = self.transducer, word.encode("utf-8", "replace")
+        if len(data) < t.limit:  # the first feed would hold all of it
+            t.held += data
+            return _packed_ids(t.finish())
+        return _packed_ids([*t.feed(data), *t.finish()])
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
