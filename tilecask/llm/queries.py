@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lines, maxscore, minhash, packing, suffixes
+from . import bpe, embeddings, language, lines, maxscore, minhash, packing, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,12 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_table(table(spark, sf_dir, "documents"), length=200)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -48,6 +54,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
+    "op4_language": op4_language,
     "op5_minhash": op5_minhash,
     "op8_bpe": op8_bpe,
     "op6_lines": op6_lines,
