@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, lines, maxscore, minhash, packing, suffixes
+from . import bpe, embeddings, language, lines, maxscore, minhash, packing, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_table(table(spark, sf_dir, "documents"), length=200)
 
@@ -53,6 +58,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_suffixes": op2_suffixes,
     "op4_language": op4_language,
     "op5_minhash": op5_minhash,

@@ -18,6 +18,7 @@ _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 #: A-Z to a-z and the five other white-space bytes to the blank.
 LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEGMENT = 1 << 20
+_HEAD = _U(0x5851F42D4C957F2D)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -53,9 +54,13 @@ def _segments(data: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and for each text the index of its first word (one more entry at the end)."""
-    data = b" ".join(texts).translate(LOWER)
+def words_of(texts: list[bytes], table: bytes = LOWER, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word as ``table`` cuts them at blanks, and for each text the index of its first word (one more entry at the end).
+
+    With ``heads``, each word has a row of hashes: its own and those of its first so many bytes; a
+    shorter word repeats its own.
+    """
+    data = b" ".join(texts).translate(table)
     found, places = [], []
     for at, end in _segments(data):
         part = np.frombuffer(data, np.uint8, end - at, at)
@@ -67,9 +72,11 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         up, down = _power(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_CODES[part] * up[: len(part)], out=total[1:])
-        found.append(mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        ends = [last, *(np.minimum(first + n, last) for n in heads)]
+        own = [mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64) + np.where(end < last, _HEAD, _U(0))) for end in ends]
+        found.append(np.stack(own, axis=1) if heads else own[0])
         places.append(first + at)
-    words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    words = np.concatenate(found) if found else np.zeros((0, len(heads) + 1) if heads else 0, np.uint64)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return words, np.searchsorted(np.concatenate(places) if places else np.zeros(0, np.int64), begins)
 
