@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, lines, maxscore, minhash, packing, suffixes, toxicity
+from . import bpe, embeddings, language, lines, maxscore, minhash, packing, pages, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +26,10 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_table(table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
@@ -60,6 +64,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffixes": op2_suffixes,
+    "op3_pages": op3_pages,
     "op4_language": op4_language,
     "op5_minhash": op5_minhash,
     "op8_bpe": op8_bpe,
