@@ -7,27 +7,28 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, LongType
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(ArrayType(LongType()))
 def float_bits(values: pd.Series) -> pd.Series:
     """The 32-bit patterns of each array's floats."""
     return values.map(lambda v: None if v is None else np.asarray(v, np.float32).view(np.uint32).astype(np.int64))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def floats_of(bits: pd.Series) -> pd.Series:
     """Floats with these 32-bit patterns."""
     return bits.map(lambda v: None if v is None else np.asarray(v, np.int64).astype(np.uint32).view(np.float32))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def bf16_decode(words: pd.Series) -> pd.Series:
     """16-bit brain floats to floats."""
     return words.map(lambda v: None if v is None else (np.asarray(v, np.int64).astype(np.uint32) << 16).view(np.float32))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def pack_codes(codes: pd.Series, bits: pd.Series) -> pd.Series:
     """Codes of 1, 2, 4 or 8 bits, low bits first, without gaps."""
 
@@ -38,7 +39,7 @@ def pack_codes(codes: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else one(c, int(b)) for c, b in zip(codes, bits, strict=True)])
 
 
-@pandas_udf("array<int>")
+@pandas_udf(ArrayType(IntegerType()))
 def unpack_codes(data: pd.Series, bits: pd.Series, n: pd.Series) -> pd.Series:
     """The first n codes of packed bytes."""
 

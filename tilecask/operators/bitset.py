@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 #: Bits of the largest payload.
 MOST_BITS = 8 * (64 << 20)
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(ArrayType(LongType()))
 def plane_ordinals(codes: pd.Series, bits: pd.Series) -> pd.Series:
     """Ordinals of the ones, plane after plane: bit b of value i lies at b * n + i."""
 
@@ -22,7 +23,7 @@ def plane_ordinals(codes: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series([one(c, b) for c, b in zip(codes, bits, strict=True)])
 
 
-@pandas_udf("bigint")
+@pandas_udf(LongType())
 def roaring_size(ordinals: pd.Series) -> pd.Series:
     """Bytes of the portable 64-bit Roaring form after run optimisation, of each ascending array of ordinals."""
 
@@ -70,13 +71,13 @@ def roaring_size_of_rows(ordinals: DataFrame, keys: list[str]) -> DataFrame:
     return half.groupBy(*keys).agg((8 + F.sum(total_size(F.col("n"), F.col("r"), F.col("body")) - 8)).alias("bytes"))
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(ArrayType(LongType()))
 def bytes_to_ordinals(data: pd.Series) -> pd.Series:
     """Ordinals of the ones, low bit of each byte first, and a last one just past the data."""
     return data.map(lambda d: None if d is None else np.append(np.flatnonzero(np.unpackbits(np.frombuffer(d, np.uint8), bitorder="little")), 8 * len(d)))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def ordinals_to_bytes(ordinals: pd.Series) -> pd.Series:
     """The bytes of such a set; null unless the last ordinal is byte aligned and within 64 MiB."""
 

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Published lengths of one scope.
 MOST_LENGTHS = 4096
 
 
-@pandas_udf("array<struct<n int, digest string>>")
+@pandas_udf(ArrayType(StructType([StructField("n", IntegerType()), StructField("digest", StringType())])))
 def digests_at(seed: pd.Series, tokens: pd.Series, lengths: pd.Series) -> pd.Series:
     """One pass of the digest chain over each row's tokens, kept at the wanted lengths."""
 

@@ -112,8 +112,8 @@ def prefix_digest(spark, sf_dir):
 def _tokens(spark, sf_dir) -> DataFrame:
     """Prompts as code points of their first 256 characters."""
     d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
-    n = F.least(F.length("text"), F.lit(256))
-    tokens = F.transform(F.sequence(F.lit(1), n), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))).cast("bigint"))
+    characters = F.regexp_extract_all(F.substring("text", 1, 256), F.lit("(?s)."), 0)
+    tokens = F.transform(characters, lambda c: F.ascii(c).cast("bigint"))
     return d.select("doc_id", "lang", F.length("text").alias("n"), tokens.alias("tokens"))
 
 
