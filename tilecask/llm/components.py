@@ -10,7 +10,7 @@ from .frames import settle
 
 def _star(both: DataFrame, larger: bool) -> DataFrame:
     """Tie each node's larger (or smaller) neighbours to the least node about it."""
-    own = both.groupBy("u").agg(F.min("v").alias("m"))
+    own = settle(both.groupBy("u").agg(F.min("v").alias("m")))  # a table of its own, so that the join below can split a node of many links
     least = F.least("u", "m")
     ties = both.join(own, "u").select("u", "v", least.alias("m"))
     if larger:
