@@ -90,5 +90,5 @@ def expert_address(fingerprint: Column, fmt: Column, layer: Column, expert: Colu
 def decode_ids(data: Column) -> Column:
     """Unsigned 32-bit ids, low byte first, of packed bytes."""
     h = F.hex(data)
-    at = F.sequence(F.lit(0), F.octet_length(data).cast("int") / 4 - 1).cast("array<int>")
+    at = F.sequence(F.lit(0), (F.octet_length(data) / 4).cast("int") - 1)
     return F.when(F.octet_length(data) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.conv(F.concat(*[F.substring(h, i * 8 + 2 * b + 1, F.lit(2)) for b in (3, 2, 1, 0)]), 16, 10).cast("bigint")))
