@@ -86,38 +86,32 @@ def packed(merges: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
 def lookahead(merges: dict[tuple[int, int], tuple[int, int]]) -> int:
     """Symbols past a token's end that can still decide whether the token stands.
 
-    A merge of rank r with left part s is decided by its right part z and by whatever
-    can keep z from forming: any earlier merge that takes a symbol of z's right edge
-    as its own left part.  Ranks only fall along such a chain, so one pass in rank
-    order gives the length of the longest.
+    Let a merge (s, z) of rank r need as many symbols after s as z has, and those that z's own
+    forming needs, and those of any earlier merge that would take z.  A token (p, q) forms unless an
+    earlier merge takes p or q for its left part, or something keeps p or q from forming; what
+    reaches past p counts from p's end, so q's symbols are taken off.  Ranks only fall along such a
+    chain, so one pass in rank order gives the longest.
     """
-    made: dict[int, tuple[int, int, int]] = {}
     size: dict[int, int] = {}
+    forms: dict[int, int] = {}
     ranks: dict[int, list[int]] = {}
     most: dict[int, list[int]] = {}
 
-    def reach(symbol: int, below: int) -> int:
+    def taken(symbol: int, below: int) -> int:
         found = ranks.get(symbol)
         at = bisect.bisect_left(found, below) if found else 0
         return most[symbol][at - 1] if at else 0
 
-    longest = 1
     for (left, right), (rank, out) in sorted(merges.items(), key=lambda m: m[1][0]):
-        size.setdefault(left, 1)
-        size.setdefault(right, 1)
-        best, edge, below = 0, right, rank
-        while True:
-            best = max(best, reach(edge, below))
-            if edge not in made:
-                break
-            below, _, edge = made[edge]
-        need = size[right] + best
-        ranks.setdefault(left, []).append(rank)
+        q = size.setdefault(right, 1)
+        size[out] = size.setdefault(left, 1) + q
+        past_right = max(forms.get(right, 0), taken(right, rank))
+        past_left = max(forms.get(left, 0), taken(left, rank)) - q
+        forms[out] = max(forms.get(out, 0), past_right, past_left)
         known = most.setdefault(left, [])
-        known.append(max(need, known[-1]) if known else need)
-        made.setdefault(out, (rank, left, right))
-        size[out] = size[left] + size[right]
-        longest = max(longest, need)
+        known.append(max(q + past_right, known[-1] if known else 0))
+        ranks.setdefault(left, []).append(rank)
+    longest = max((max(forms.get(t, 0), taken(t, NEVER)) for t in size), default=0)
     return longest + 1  # one more: a symbol is known to end its word only when the next one is missing
 
 

@@ -94,8 +94,8 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     inner = following < len(step)
     turn = step[following[inner]]
     rises[inner] = text[turn + 1] > text[turn]
-    up = np.flatnonzero(rises)
-    up = np.append(up, n - 1)
+    rises[n - 1] = False
+    up = np.append(np.flatnonzero(rises), n - 1)
     needed = np.zeros(n + 1, np.int32)
     np.add.at(needed, starts, 1)
     np.add.at(needed, up[np.searchsorted(up, starts)] + 1, -1)
@@ -103,8 +103,6 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     # first stage: direct
     raw = text.tobytes()
     direct = np.flatnonzero(member & rises)
-    if member[n - 1]:
-        direct = np.append(direct, n - 1)  # the end, where no successor is left
     keys = [raw[i : i + depth] for i in direct.tolist()]
     direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
     del keys
@@ -113,6 +111,8 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray
     falling = member & ~rises
     falling[n - 1] = False
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if member[n - 1]:
+        queues[text[n - 1]].append(np.array([n - 1]))  # the end comes before all that begins with its byte
     order = []
 
     def induce(entries: np.ndarray, byte: int) -> np.ndarray:

@@ -9,8 +9,8 @@ Labelled rows are drawn for training by a hash of their id, about ``POSITIVE`` t
 ``NEGATIVE`` other ones; all other work covers all rows.  The last category is the label
 itself; those before it are toxic rows that use words of one kind.
 
-A null or empty text has no words and gets the models' bias.  Without toxic and other
-labelled rows every probability is 0.  A row labelled more than once is toxic if one label
+A text without words, null and empty ones included, has probabilities of 0, as has every
+text if there are no labelled rows of both kinds.  A row labelled more than once is toxic if one label
 says so; null labels are none.  Repeated rows are scored each; columns other than id and
 text are left out; an empty table gives an empty result.
 """
@@ -60,7 +60,8 @@ class Chain:
         """Of rows of word scores, a column for each category."""
         p = np.zeros_like(z)
         for k in range(z.shape[1]):
-            p[:, k] = ftrl.sigmoid(z[:, k] + self.bias[k] + p[:, :k] @ self.earlier[k, :k])
+            if np.isfinite(self.bias[k]):  # else there was nothing to learn from
+                p[:, k] = ftrl.sigmoid(z[:, k] + self.bias[k] + p[:, :k] @ self.earlier[k, :k])
         return p
 
 
@@ -128,6 +129,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             z = np.zeros((batch.num_rows, len(names)))
             np.add.at(z, key // max(1, len(used)), weights[key % max(1, len(used))])
             p = chain.probabilities(z)
+            p[first[1:] == first[:-1]] = 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], ["id", *names, "is_toxic"])
 
     schema = f"id {kind}, {', '.join(f'`{n}` double' for n in names)}, is_toxic boolean"
