@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,12 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of sessions that name none, by application; they go with the process.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a default is set only where none is."""
+    """The shared folder the cluster names; a local one is made only where none is named, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/tilecask-checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
+        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tilecask-")
+        if not _own[spark.sparkContext.applicationId]:
+            _own[spark.sparkContext.applicationId] = where
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(where)
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where
