@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,21 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders of sessions that name none, by application; they go with the process.
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is made only where none is named, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names.
+
+    Where none is named, as in tests, a local session gets a folder that goes with the process; on a
+    cluster that is an error, since executors share no local folder.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tilecask-")
-        if not _own[spark.sparkContext.applicationId]:
-            _own[spark.sparkContext.applicationId] = where
-            atexit.register(shutil.rmtree, where, ignore_errors=True)
-            spark.sparkContext.setCheckpointDir(where)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tilecask-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(where)
     return where
 
 
