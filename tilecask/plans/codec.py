@@ -224,3 +224,28 @@ def bf16_tail_eligible(spark, sf_dir):
     """For each label whether its vectors' floats are all brain floats."""
     e = table(spark, sf_dir, "embeddings").select("label", bf16_exact(float_bits("embedding")).alias("exact"))
     return e.groupBy("label").agg(F.when(F.bool_and("exact"), "bf16-le").otherwise("f32-le").alias("dtype"))
+
+
+@query(affine_sql(4, """, x AS (SELECT label, b, sum((code >> b) & 1) / CAST(count(*) AS DOUBLE) AS density FROM d JOIN embeddings USING (vec_id), range(0, 4) r(b) GROUP BY 1, 2)
+SELECT CAST(b AS INT) AS plane, round(min(density), 9) AS least, round(max(density), 9) AS most FROM x GROUP BY 1"""))
+def density_by_layer(spark, sf_dir):
+    """The least and the greatest share of ones of each plane among layers (here: labels)."""
+    g = affine.with_quantised(channel_groups(spark, sf_dir), "values", 4, 0).withColumn("codes", F.col("q.codes"))
+    each = bitset.plane_density(g, "codes", 4, ["label"]).withColumn("density", F.col("ones") / F.col("total"))
+    return each.groupBy("plane").agg(F.round(F.min("density"), 9).alias("least"), F.round(F.max("density"), 9).alias("most"))
+
+
+def _layout_sql(ordinal: str) -> str:
+    return f"""SELECT vec_id, 12 + CASE WHEN 2 + 4 * count(*) FILTER (before IS NULL OR o - before <> 1) < 2 * count(*) THEN 11 + 4 * count(*) FILTER (before IS NULL OR o - before <> 1) ELSE 16 + 2 * count(*) END AS bytes
+FROM (SELECT vec_id, {ordinal} AS o, lag({ordinal}) OVER (PARTITION BY vec_id ORDER BY {ordinal}) AS before FROM d, range(0, 8) r(b) WHERE (code >> b) & 1 = 1) GROUP BY 1"""
+
+
+@query(affine_sql(8, f""", i AS ({_layout_sql("channel * 8 + b")}), t2 AS ({_layout_sql("b * 64 + channel")})
+SELECT CAST(sum(i.bytes) AS BIGINT) AS interleaved, CAST(sum(t2.bytes) AS BIGINT) AS transposed, count(*) * 64 AS packed FROM i JOIN t2 USING (vec_id)""", 64))
+def roaring_layouts(spark, sf_dir):
+    """Bytes of all codes as sets of bits, value after value and plane after plane, against dense packing."""
+    g = affine.with_quantised(channel_groups(spark, sf_dir, 64), "values", 8, 0).withColumn("codes", F.col("q.codes"))
+    planes = bitset.plane_ordinals(F.col("codes"), F.lit(8))
+    rows = g.select(F.col("tile_id"), planes.alias("planes")).withColumn("mixed", F.array_sort(F.transform("planes", lambda o: (o % 64) * 8 + F.floor(o / 64))))
+    sizes = rows.select(bitset.roaring_size("mixed").alias("i"), bitset.roaring_size("planes").alias("t"))
+    return sizes.agg(F.sum("i").alias("interleaved"), F.sum("t").alias("transposed"), (F.count("*") * 64).alias("packed"))
