@@ -52,11 +52,14 @@ def test_language_odd_tables(spark):
     assert got.columns == [*odd(spark).columns, "lang_pred", "score"] and got.count() == 9
 
 
-def test_long_texts_count_as_their_parts():
+def test_long_texts_count_as_their_parts(monkeypatch):
     r = random.Random(2)
-    text = letters(r, "aa", (1 << 20) + 500)
-    points = language.characters(f" {text} ")
-    assert language.counts(text).sum() == 3 * len(points) - 3
+    texts = [letters(r, "aa", 500) + " , " * k + letters(r, "ünd", 300) for k in range(1, 9)]
+    whole = [language.counts(t) for t in texts]
+    for part in (1, 2, 7, 64):
+        monkeypatch.setattr(language, "PART", part)
+        assert all((language.counts(t) == w).all() for t, w in zip(texts, whole, strict=True))
+    assert all(language.counts(t) is None for t in ("", " ", "1 2 3", "!" * 100))
 
 
 def test_ftrl_and_temperature():
@@ -239,6 +242,12 @@ def test_tokens_as_the_library(codec, library):
         assert codec.decode(chunks)[1:].decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_texts_in_parts(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PART", 5)
+    text = "Some words, in<|endoftext|> parts\n\n and averyveryverylongword   " * 20
+    assert bpe.Codec(TOKENIZER).ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_take_bounded_memory(codec, library):
     r = random.Random(9)
     stems = [w.removesuffix("</w>") for w in codec.v.ids if w.removesuffix("</w>").isalpha() and w.isascii() and w.removesuffix("</w>").islower()]

@@ -24,6 +24,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ from .frames import pieces_of
 MEMO = 1 << 19
 #: Longer keys are not kept.
 LONG = 64
+#: Characters of a text that are cut into chunks at once.
+PART = 1 << 16
 #: Bits of an id, and what is greater than any rank.
 BITS, NEVER = 20, 1 << 62
 #: Up to this many symbols a scan finds the next merge sooner than a heap does.
@@ -232,6 +235,8 @@ class Decoder:
 
 
 def _packed_ids(ids: list[int]) -> bytes:
+    if len(ids) > 256:
+        return np.array(ids, "<u4").tobytes()
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -296,10 +301,13 @@ class Codec:
         return decoder.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode()
 
     def encode(self, text: str) -> Iterator[list[bytes]]:
-        """The ids of the text's chunks, four bytes each, a few thousand chunks at a time."""
-        every = self.chunks(text)
-        for at in range(0, len(every), 4096):
-            yield self.known.each(every[at : at + 4096])
+        """The ids of the text's chunks, four bytes each, part after part of a long text."""
+        at = 0
+        while at < len(text):
+            cut = _BLANKS.search(text, at + PART) if len(text) - at > PART else None
+            end = cut.start() if cut else len(text)
+            yield self.known.each(self.chunks(text[at:end]))
+            at = end
 
     def decode(self, ids: list[bytes]) -> bytes:
         """What those ids decode to, with a space before each token."""

@@ -29,6 +29,8 @@ from .frames import modest_batches, pieces_of
 
 FEATURES, PER_LABEL, LABELS = 1 << 15, 600, 1000
 PENALTY, EPOCHS = ftrl.Penalty(alpha=3.0, beta=1.0, l1=0.003, l2=0.01), 4
+#: Characters of a text that are counted at once.
+PART = 1 << 20
 _SHIFT = np.uint64(64 - 15)
 _letters: list[np.ndarray] = []
 
@@ -38,25 +40,29 @@ def characters(text: str) -> np.ndarray:
     if not _letters:
         _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters[0][points], points, 32)
-    return points[np.flatnonzero((points[1:] != 32) | (points[:-1] != 32)) + 1] if len(points) > 1 else points
+    points = np.where(_letters[0][points], points, np.uint32(32))
+    again = np.zeros(len(points), bool)
+    again[1:] = (points[1:] == 32) & (points[:-1] == 32)
+    return points[~again]
 
 
 def counts(text: str) -> np.ndarray | None:
     """How often each feature occurs; None for a text without a letter."""
-    points = characters(f" {text} ").astype(np.uint64)
-    if not (points != 32).any():
-        return None
-    total = np.zeros(FEATURES, np.int64)
-    for at in range(0, len(points), 1 << 20):
-        part = points[at : at + (1 << 20) + 2]
-        h = np.zeros(len(part), np.uint64)
-        for n in range(1, min(3, len(part)) + 1):
-            h = h[: len(part) - n + 1] * np.uint64(0x100000001B3) + part[n - 1 :] + np.uint64(n)
-            own = h if n == 1 or at + (1 << 20) >= len(points) else h[: (1 << 20)]
-            own = own[: 1 << 20]
+    total, letters = np.zeros(FEATURES, np.int64), False
+    before = np.array([32], np.uint64)  # texts begin and end with a blank
+    for at in range(0, len(text) + 1, PART):
+        part = characters(text[at : at + PART] + ("" if at + PART <= len(text) else " ")).astype(np.uint64)
+        if len(part) and part[0] == 32 == before[-1]:
+            part = part[1:]
+        letters |= bool((part != 32).any())
+        points = np.concatenate((before, part))
+        h = np.zeros(len(points), np.uint64)
+        for n in range(1, min(3, len(points)) + 1):
+            h = h[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :] + np.uint64(n)
+            own = h[max(0, len(before) - n + 1) :]  # those that end in this part
             total += np.bincount(((own * np.uint64(0x9E3779B97F4A7C15)) >> _SHIFT).astype(np.int64), minlength=FEATURES)
-    return total
+        before = points[-2:]
+    return total if letters else None
 
 
 def weighted(count: np.ndarray, idf: np.ndarray) -> ftrl.Row:

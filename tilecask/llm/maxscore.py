@@ -71,7 +71,11 @@ def search(query: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _blocks(rows: DataFrame, rows_each: int, name: str) -> tuple[DataFrame, int]:
-    """Packed blocks ``(name, width, ids, values)`` of about ``rows_each`` vectors, and the number of block names."""
+    """Packed blocks ``(name, width, ids, values)`` of about ``rows_each`` vectors, and the number of block names.
+
+    ``rows`` are a checkpoint, whose order is fixed, so that a row's place can deal it to a block
+    however often its id or vector is repeated.
+    """
     n = max(1, -(-rows.count() // rows_each))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -83,7 +87,7 @@ def _blocks(rows: DataFrame, rows_each: int, name: str) -> tuple[DataFrame, int]
                 column_.append(value)
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["at", "width", "ids", "values"])
 
-    at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("at")
+    at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("at")
     packed = rows.select(at, "id", "vector").groupBy("at").applyInArrow(pack, "at int, width int, ids binary, values binary")
     return packed.select(F.col("at").alias(name), "width", F.col("ids").alias(f"{name}_ids"), F.col("values").alias(f"{name}_values")), n
 
