@@ -260,8 +260,8 @@ class Memo:
         return value
 
     def each(self, keys: list) -> list[bytes]:
-        take = self.take
-        return [v if (v := self.young.get(k)) is not None else take(k) for k in keys]
+        get, take = self.young.get, self.take  # a generation that ends meanwhile still answers rightly
+        return [v if (v := get(k)) is not None else take(k) for k in keys]
 
 
 class Codec:
@@ -291,7 +291,12 @@ class Codec:
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
-            out += self.words.each(self.v.words.findall(part))
+            if part.isalpha():  # one run of letters, which the word rule takes whole
+                out += self.words.each([part])
+            elif part[-1:] in (".", ",") and part[:-1].isalpha():
+                out += self.words.each([part[:-1], part[-1]])
+            else:
+                out += self.words.each(self.v.words.findall(part))
         return b"".join(out)
 
     def _decoded(self, ids: bytes) -> bytes:
