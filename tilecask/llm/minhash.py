@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     entries = settle(entries.join(shared, "bucket"))
     met = entries.join(entries.groupBy("bucket").agg(F.min("key").alias("pivot")), "bucket").where("key != pivot").select("key", "pivot").distinct()
-    clusters = settle(connected(met, "key", "pivot").select(F.col("node").alias("key"), F.col("root").alias("cluster")))
+    clusters = connected(met, "key", "pivot").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     wanted = clusters.join(blocks, "cluster").join(classes.select("key", "id"), "key")
     sets = _sets(docs.join(wanted, "id").select("text", "key", "cluster", "blocks"), width)

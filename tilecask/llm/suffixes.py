@@ -327,11 +327,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     rows = docs.withColumn("tid", F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b"")))
     texts = rows.select("tid", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
 
-    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1").select("anchor"))
+    known = _anchor_counts(texts, length).groupBy("anchor").count().where("count > 1").select("anchor")
     places = stored(_anchor_table(texts, length).join(known, "anchor", "left_semi"))
     kinds = places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where"))
     kinds = stored(kinds)
-    many = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("n")).where("kinds > 1 and n = 1").select("anchor", "kinds"))
+    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("n")).where("kinds > 1 and n = 1").select("anchor", "kinds")
     hot = many.where(F.col("kinds") > group)
     wanted = kinds.drop("n").join(many, "anchor").select("where.tid", F.struct("anchor", "piece", "where.first", "where.left", "where.windows").alias("w"))
     wanted = wanted.groupBy("tid").agg(F.collect_list("w").alias("wanted"))
