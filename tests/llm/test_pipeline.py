@@ -17,12 +17,9 @@ def test_registered():
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op5_minhash", "op7_maxscore", "op10_embeddings"])
+@pytest.mark.parametrize("name", ["op3_pages", "op5_minhash", "op7_maxscore", "op10_embeddings"])
 def test_sql(spark, name):
-    sql = __spark_entry__.oracle_sql().get(name)
-    if sql is None:
-        pytest.skip("no SQL")
-    assert oracle.differences(__spark_entry__.queries()[name](spark, SF), sql, oracle.connect(SF)) == []
+    assert oracle.differences(__spark_entry__.queries()[name](spark, SF), __spark_entry__.oracle_sql()[name], oracle.connect(SF)) == []
 
 
 def test_stages(spark):

@@ -90,7 +90,14 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label
 r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a"""
+#: The tables' pages all have one article, whose blocks are paragraphs and headings.
+PAGES_SQL = """WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(a, '<br>', ' '), '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS b FROM a),
+d AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS d FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(d, lambda x: x <> ''), chr(10)) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
 ORACLE: dict[str, str] = {
+    "op3_pages": PAGES_SQL,
     "op5_minhash": MINHASH_SQL,
     "op7_maxscore": MAXSCORE_SQL,
     "op10_embeddings": EMBEDDINGS_SQL,
