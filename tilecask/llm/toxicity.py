@@ -30,7 +30,9 @@ from .frames import modest_batches, pieces_of, utf8
 from .shingles import LOWER, words_of
 
 FEATURES, FOLDS, POSITIVE, NEGATIVE = 1 << 18, 5, 1500, 3000
-PENALTY, EPOCHS = ftrl.Penalty(alpha=0.3, beta=1.0, l1=1.0, l2=0.1), 3
+#: Texts of the sample that a feature must occur in.
+LEAST = 4
+PENALTY, EPOCHS = ftrl.Penalty(alpha=0.3, beta=1.0, l1=2.0, l2=0.1), 3
 #: Bytes of a word's beginning that are features too, for inflected and compound words.
 HEADS = (4, 5, 6, 7, 8)
 #: Words that tell kinds of abuse apart among rows labelled toxic.
@@ -107,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = np.array([r["toxic"] == 1 for r in sample])
     kinds = [set(np.concatenate(word_features([w.encode() for w in words])).tolist()) for words in KINDS.values()]
     targets = np.stack([*(toxic & [not k.isdisjoint(at.tolist()) for at in rows] for k in kinds), toxic], axis=1).astype(float)
-    return train_chain(rows, targets, categories)
+    seen = np.bincount(np.concatenate(rows), minlength=FEATURES)
+    return train_chain([at[seen[at] >= LEAST] for at in rows], targets, categories)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
