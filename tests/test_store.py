@@ -86,6 +86,8 @@ def test_commits(spark, tmp_path):
         assert w.vacuum(1) == [1, 2]
     with pytest.raises(Corrupt):
         Reader(spark, root, 1)
+    dead = Writer(spark, root).__enter__()
+    dead.break_lock()
     with Writer(spark, root) as w:
         assert w.version == 3
 

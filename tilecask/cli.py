@@ -43,9 +43,9 @@ def put(spark: SparkSession, root: str, request: dict) -> dict:
     if tiles.where(tensor.tile_error(F.col("shape"), F.col("axes"), F.col("values")).isNotNull()).count():
         raise ValueError("invalid tensor")
     encoded = affine.encode(groups_of(tiles, policy), policy)
-    address = spark.createDataFrame([tuple(request["address"][f] for f in FIELDS)], "namespace string, model_fingerprint string, prefix_fingerprint string, layer bigint, slot string")
     back = encoded.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("grp", "offset", "bits", "minimum", "step", "codes", "exceptions", "back"))).alias("groups"))
-    record = address.crossJoin(tiles.join(back, "tile_id").select("shape", "axes", F.lit(policy.axis).alias("axis"), F.lit(policy.group_size).alias("group_size"), "groups"))  # one row each
+    identity = [F.lit(request["address"][f]).alias(f) for f in FIELDS]
+    record = tiles.join(back, "tile_id").select(*identity, "shape", "axes", F.lit(policy.axis).alias("axis"), F.lit(policy.group_size).alias("group_size"), "groups")
     with Writer(spark, root) as store:
         store.upsert("tiles", record)
     return affine.report(encoded).first().asDict()

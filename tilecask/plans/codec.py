@@ -21,8 +21,8 @@ def channel_groups(spark, sf_dir, size: int = 32) -> DataFrame:
 def token_tile(spark, sf_dir) -> DataFrame:
     """The tile in long form."""
     e = table(spark, sf_dir, "embeddings")
-    n = e.agg(F.count("*").cast("int").alias("n"))
-    rows = e.crossJoin(F.broadcast(n)).select(F.lit("tile").alias("tile_id"), F.array("n", F.lit(64)).alias("shape"), F.array(F.lit("token"), F.lit("channel")).alias("axes"), "vec_id", F.posexplode("embedding").alias("channel", "v"))  # n is one row
+    shape = F.array(F.lit(e.count()).cast("int"), F.lit(64))
+    rows = e.select(F.lit("tile").alias("tile_id"), shape.alias("shape"), F.array(F.lit("token"), F.lit("channel")).alias("axes"), "vec_id", F.posexplode("embedding").alias("channel", "v"))
     return rows.select("tile_id", "shape", "axes", (F.col("vec_id") * 64 + F.col("channel")).alias("idx"), "v")
 
 

@@ -109,6 +109,10 @@ class Writer(Reader):
         if self.files.read("LOCK") == self.token:
             self.files.delete("LOCK")
 
+    def break_lock(self) -> None:
+        """Release a store whose writer has died; only for whoever knows that it has."""
+        self.files.delete("LOCK")
+
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Publish new contents of some tables together; the others stay."""
         listed = dict(self.tables)
