@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .frames import settle
 
+#: Links take few bytes each, so this many shuffle partitions of them make one.
+FEW = 8
 
-def _star(both: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
-    """Ties of each node's larger (or smaller) neighbours to the least node about it; and the cached minima."""
-    own = both.groupBy("u").agg(F.min("v").alias("m")).persist()  # so that both sides of the join are plain shuffles and a node of many links can be split
+
+def _star(both: DataFrame, larger: bool) -> DataFrame:
+    """Tie each node's larger (or smaller) neighbours to the least node about it."""
+    own = both.groupBy("u").agg(F.min("v").alias("m"))
     least = F.least("u", "m")
     ties = both.join(own, "u").select("u", "v", least.alias("m"))
     if larger:
-        return ties.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), own
-    return ties.where("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.where("m < u").select("u", F.col("m").alias("v"))), own
+        return ties.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return ties.where("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.where("m < u").select("u", F.col("m").alias("v")))
 
 
 def connected(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
@@ -25,14 +28,11 @@ def connected(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
     a checksum reaches the driver.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    edges, before = settle(edges), None
+    edges, before = settle(edges, FEW), None
     for _ in range(most):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large, first = _star(both, True)
-        small, second = _star(large.where("u != v").distinct(), False)
-        edges = settle(small.where("u != v").distinct())
-        first.unpersist()
-        second.unpersist()
+        edges = _star(both, True).where("u != v").distinct()
+        edges = settle(_star(edges, False).where("u != v").distinct(), FEW)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -38,9 +38,11 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several later steps read."""
+def settle(df: DataFrame, few: int = 1) -> DataFrame:
+    """Cut the lineage of a table that several later steps read; of small rows ``few`` shuffle partitions make one file."""
     shared_dir(df.sparkSession)
+    if few > 1:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // few))
     return df.checkpoint(eager=True)
 
 

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     cells = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "hashes")
     cells = cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    roots = connected(settle(_links(cells, percent)), "a", "b")
+    roots = connected(_links(cells, percent), "a", "b")
 
     least = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("key", "component_id")
