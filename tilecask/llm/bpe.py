@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pieces_of
+from .frames import WORKER_CACHES, pieces_of
 
 #: Entries in a generation of each worker's memo of chunks.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Longer keys are not kept.
 LONG = 64
 #: Characters of a text that are cut into chunks at once.
@@ -324,6 +324,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+WORKER_CACHES.append(_codecs)
 
 
 def codec(path: str) -> Codec:
@@ -339,7 +340,7 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", keep=_codecs):
             ids, texts = [], []
             for text in batch.column("text").to_pylist():
                 parts = [x for some in own.encode(text or "") for x in some]
@@ -358,7 +359,7 @@ def digest_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", keep=_codecs):
             n, a, b = [], [], []
             for text in batch.column("text").to_pylist():
                 count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()

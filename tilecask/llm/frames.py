@@ -53,8 +53,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that the named column holds about ``most`` bytes in each."""
+#: What operators keep in a Python worker from task to task.
+WORKER_CACHES: list[dict] = []
+
+
+def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the named column holds about ``most`` bytes in each.
+
+    Workers serve one operator after another; what others than the present one keep is given up here.
+    """
+    for cache in WORKER_CACHES:
+        if cache is not keep:
+            cache.clear()
     for batch in batches:
         rows = batch.num_rows
         if not rows:

@@ -88,7 +88,7 @@ def cut_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.codec(tokenizer)
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", keep=bpe._codecs):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 data = b"".join([b"".join(some) for some in own.encode(text or "")]) + close
