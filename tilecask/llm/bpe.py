@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .frames import WORKER_CACHES, pieces_of
 
 #: Entries in a generation of each worker's memo of chunks.
-MEMO = 1 << 18
+MEMO = 1 << 19
 #: Longer keys are not kept.
 LONG = 64
 #: Characters of a text that are cut into chunks at once.
