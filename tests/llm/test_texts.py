@@ -255,6 +255,15 @@ def test_lines_against_force(spark):
     assert block in want[len(texts) - 40][0] and all(block not in t for t, _ in want[-39:])
 
 
+@pytest.mark.parametrize("copies", [16, 17, 1000])
+def test_lines_of_short_lines_in_any_number(spark, copies):
+    text = "\n".join(f"short line number {k}" for k in range(6))
+    texts = [text] * copies + [f"own head {k}\n{text}\nown tail {k}" for k in range(copies)]
+    got = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in lines.without_shared_lines(table(spark, texts)).collect()}
+    assert got[0] == (text, 0) and all(got[k] == ("", 6) for k in range(1, copies))
+    assert all(got[copies + k] == (f"own head {k}\nown tail {k}", 6) for k in range(copies))
+
+
 def test_lines_odd_tables(spark):
     df = odd(spark)
     got = lines.without_shared_lines(df)

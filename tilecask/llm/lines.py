@@ -1,8 +1,10 @@
 """Removal of lines by pairwise alignment.
 
-Two documents overlap where they share a rare line, or any line of ``min_words`` words: each
-later document is paired with the first one that has the line, which gives one pair for
-each line and document however often the line occurs.  A pair is aligned with patience
+Two documents overlap where they share a rare line, or a window: a line of ``min_words`` words
+or a shortest run of lines that has them together, however often it occurs.  Each later
+document is paired with the first one that has the line or window, which gives one pair for
+each of them and document.  A block of ``min_words`` words holds a window, so every later
+document that shares one meets its first owner.  A pair is aligned with patience
 diff: lines that are unique in both documents, in their longest common order, hold the
 alignment, and the gaps between them are aligned likewise.  A maximal block of aligned
 lines is deleted from the later document if it has ``min_words`` words or more.  Judgements
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .frames import modest_batches, pieces_of, stored
 
-#: A line is rare up to this number of documents.
+#: A line is rare up to this number of documents; windows make pairs at any number.
 RARE = 16
 
 
@@ -41,6 +43,25 @@ def line_keys(text: str) -> list[tuple[int, int] | None]:
     return out
 
 
+def windows(own: list[tuple[int, int]], min_words: int) -> set[int]:
+    """Keys of the shortest runs of lines from each line on that have ``min_words`` words; a line alone keeps its hash."""
+    spans, least = set(), max(1, min_words)
+    end = total = 0
+    for start, (_, words) in enumerate(own):
+        while end < len(own) and total < least:
+            total += own[end][1]
+            end += 1
+        if total < least:
+            break
+        spans.add((start, end))
+        total -= words
+    out = set()
+    for a, b in spans:
+        run = b"".join(k.to_bytes(8, "little", signed=True) for k, _ in own[a:b])
+        out.add(own[a][0] if b == a + 1 else int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little", signed=True))
+    return out
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, given by their first, whose second rises: patience sorting."""
     tops: list[int] = []
@@ -112,8 +133,8 @@ def deleted(first: list[int], later: list[int], words: list[int], min_words: int
     return out
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(id, lines, words)`` of every document: the hashes of its lines that are not blank."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(id, lines, words, windows, short)`` of every document: the hashes of its lines that are not blank, and once each the keys of its windows and of its other lines."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +142,11 @@ def _lines(docs: DataFrame) -> DataFrame:
             keys = [[k for k in line_keys(t or "") if k] for t in batch.column("text").to_pylist()]
             lines = pa.array([[k[0] for k in own] for own in keys], pa.list_(pa.int64()))
             words = pa.array([[k[1] for k in own] for own in keys], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lines, words], ["id", "lines", "words"])
+            held = [windows(own, min_words) for own in keys]
+            short = pa.array([list({k for k, _ in own} - w) for own, w in zip(keys, held, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lines, words, pa.array([list(w) for w in held], pa.list_(pa.int64())), short], ["id", "lines", "words", "windows", "short"])
 
-    return docs.mapInArrow(run, f"id {kind}, lines array<bigint>, words array<int>")
+    return docs.mapInArrow(run, f"id {kind}, lines array<bigint>, words array<int>, windows array<bigint>, short array<bigint>")
 
 
 def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
@@ -165,15 +188,14 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key, text = own[names.index(id_col)], own[names.index(text_col)]
 
     known = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    lines = stored(_lines(known).where(F.size("lines") > 0))
-    single = lines.select("id", F.explode(F.arrays_zip("lines", "words").alias("x"))).select("id", F.col("col.lines").alias("line"), F.col("col.words").alias("words"))
-    # a document counts once for each line: repeats within it are dropped before the shuffle
-    seen = lines.select("id", F.explode(F.array_distinct("lines")).alias("line")).groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    seen = stored(seen)
-    met = single.join(seen, "line").where((F.col("id") != F.col("first")) & ((F.col("n") <= rare) | (F.col("words") >= min_words)))
+    lines = stored(_lines(known, min_words).where(F.size("lines") > 0))
+    # a document counts once for each key: repeats within it are dropped before the shuffle
+    single = lines.select("id", F.explode("windows").alias("line"), F.lit(True).alias("window")).union(lines.select("id", F.explode("short"), F.lit(False)))
+    seen = stored(single.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    met = single.join(seen, "line").where((F.col("id") != F.col("first")) & ((F.col("n") <= rare) | F.col("window")))
     pairs = met.select("id", "first").distinct()
     other = lines.select(F.col("id").alias("first"), F.col("lines").alias("other"))
-    pairs = pairs.join(lines, "id").join(other, "first").select("id", "lines", "words", "other")
+    pairs = pairs.join(lines.select("id", "lines", "words"), "id").join(other, "first").select("id", "lines", "words", "other")
     gone = _aligned(pairs, min_words).where(F.size("gone") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
     gone = gone.withColumnRenamed("id", "gone_of")
 
