@@ -264,6 +264,27 @@ def test_lines_of_short_lines_in_any_number(spark, copies):
     assert all(got[copies + k] == (f"own head {k}\nown tail {k}", 6) for k in range(copies))
 
 
+def test_lines_whose_parts_are_older(spark):
+    """Lines, and parts of a block, that earlier documents have each by themselves."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven", "twelve thirteen"
+    texts = [f"{a}\nonly here", f"{b}\nonly there", f"{a}\n{b}\nx", f"p\n{a}\n{b}\n{c}\nq", f"r\n{a}\n{b}\n{c}\ns"]
+    texts += [f"y\n{a}\n{b}\n{c}\nz {k}" for k in range(20)]
+    got = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in lines.without_shared_lines(table(spark, texts)).collect()}
+    assert [got[i] for i in range(5)] == [(texts[0], 0), (texts[1], 0), (texts[2], 0), (f"p\n{c}\nq", 2), ("r\ns", 3)]
+    assert got[5] == ("y\nz 0", 3) and all(got[5 + k] == (f"z {k}", 4) for k in range(1, 20))
+
+
+def test_windows_cover_every_block():
+    r = random.Random(12)
+    for _ in range(300):
+        n = [r.randrange(1, 12) for _ in range(r.randrange(1, 9))]
+        spans = lines.spans(n, 10)
+        for low in range(len(n)):
+            for high in range(low + 1, len(n) + 1):
+                if sum(n[low:high]) >= 10:
+                    assert {k for a, b in spans if low <= a and b <= high for k in range(a, b)} == set(range(low, high))
+
+
 def test_lines_odd_tables(spark):
     df = odd(spark)
     got = lines.without_shared_lines(df)

@@ -3,8 +3,8 @@
 Two documents overlap where they share a rare line, or a window: a line of ``min_words`` words
 or a shortest run of lines that has them together, however often it occurs.  Each later
 document is paired with the first one that has the line or window, which gives one pair for
-each of them and document.  A block of ``min_words`` words holds a window, so every later
-document that shares one meets its first owner.  A pair is aligned with patience
+each of them and document.  Windows cover every line of a block of ``min_words`` words, so a later
+document meets a first owner for each line of a block that it shares with any earlier one.  A pair is aligned with patience
 diff: lines that are unique in both documents, in their longest common order, hold the
 alignment, and the gaps between them are aligned likewise.  A maximal block of aligned
 lines is deleted from the later document if it has ``min_words`` words or more.  Judgements
@@ -43,20 +43,36 @@ def line_keys(text: str) -> list[tuple[int, int] | None]:
     return out
 
 
-def windows(own: list[tuple[int, int]], min_words: int) -> set[int]:
-    """Keys of the shortest runs of lines from each line on that have ``min_words`` words; a line alone keeps its hash."""
-    spans, least = set(), max(1, min_words)
+def spans(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """The shortest runs of lines that have ``min_words`` words, from each line on and up to each line.
+
+    Those inside a block of enough words hold all of its lines.
+    """
+    out, least = set(), max(1, min_words)
     end = total = 0
-    for start, (_, words) in enumerate(own):
-        while end < len(own) and total < least:
-            total += own[end][1]
+    for start, own in enumerate(words):
+        while end < len(words) and total < least:
+            total += words[end]
             end += 1
         if total < least:
             break
-        spans.add((start, end))
-        total -= words
+        out.add((start, end))
+        total -= own
+    start = total = 0
+    for end, own in enumerate(words, 1):
+        total += own
+        while total - words[start] >= least:
+            total -= words[start]
+            start += 1
+        if total >= least:
+            out.add((start, end))
+    return out
+
+
+def windows(own: list[tuple[int, int]], min_words: int) -> set[int]:
+    """A key for each of these runs; a line alone keeps its hash."""
     out = set()
-    for a, b in spans:
+    for a, b in spans([w for _, w in own], min_words):
         run = b"".join(k.to_bytes(8, "little", signed=True) for k, _ in own[a:b])
         out.add(own[a][0] if b == a + 1 else int.from_bytes(hashlib.blake2b(run, digest_size=8).digest(), "little", signed=True))
     return out
