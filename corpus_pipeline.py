@@ -34,9 +34,19 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: shingles of five words, similarity 0.8."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, the first by id: shingles of five words, similarity 0.8.
+
+    Rows count by id and text, so those of one id may go and stay apart, and of repeated rows one stays.
+    Rows without an id come after the others; those that resemble none stay, as does every row without a word.
+    """
+    number = F.col("doc_id")
+    text = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
+    key = F.struct(number.isNull().alias("unnumbered"), F.coalesce(number, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("number"), text.alias("text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    rows = docs.where(worded).select(key.alias("row"), "text", F.struct(*docs.columns).alias("own"))
+    kept = minhash.near_duplicates(rows.select("row", "text"), width=5, percent=80, id_col="row").where("kept").select("row").distinct()
+    first = rows.join(kept, "row", "left_semi").groupBy("row").agg(F.min("own").alias("own"))
+    return first.select("own.*").union(docs.where(~worded))
 
 
 def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,22 @@ def test_stages(spark):
     assert len(ids) < len(texts)
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    """Each text stays once in minhash and is whole after suffixes, whatever its rows' ids are."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(80)) for k in range(7)]
+    near = texts[1].replace("w1x40 ", "")
+    rows = [(None, texts[0]), (1, texts[1]), (None, near), (2, texts[2]), (2, texts[2]), (3, texts[3]), (3, near), (None, texts[4]), (None, texts[4]), (5, texts[5]), (6, texts[5]), (7, texts[6]), (None, ""), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS).schema)
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["minhash"](spark, docs, SF)
+    assert got.columns == COLUMNS
+    want = [(None, ""), (None, ""), (None, texts[0]), (None, texts[4]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (5, texts[5]), (7, texts[6]), (8, None)]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(want, key=order)
+    own = stages["suffixes"](spark, spark.createDataFrame(got.collect(), docs.schema), SF)
+    assert sorted(((r["doc_id"], r["text"]) for r in own.collect()), key=order) == sorted(want, key=order)
+
+
 def test_whole_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
