@@ -285,6 +285,19 @@ def test_windows_cover_every_block():
                     assert {k for a, b in spans if low <= a and b <= high for k in range(a, b)} == set(range(low, high))
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id with different texts lose their own lines only; repeated rows are one document."""
+    shared = "\n".join(f"a shared line of some words {k}" for k in range(3))
+    own = "\n".join(f"a line that nobody else has {k}" for k in range(4))
+    block = "\n".join(f"a block of one id's two texts {k}" for k in range(3))
+    texts = [shared, shared + "\nend", own, f"x\n{block}", f"y\n{block}", own + "\nmore", own + "\nmore"]
+    rows = lines.without_shared_lines(table(spark, texts, [1, 2, 2, 3, 3, 4, 4])).collect()
+    got = {i: sorted((r["text"], r["n_lines_removed"]) for r in rows if r["doc_id"] == i) for i in range(1, 5)}
+    assert got[1] == [(shared, 0)] and got[2] == [(own, 0), ("end", 3)]
+    assert got[3] in ([(f"x\n{block}", 0), ("y", 3)], [("x", 3), (f"y\n{block}", 0)])
+    assert got[4] == [("more", 4), ("more", 4)]
+
+
 def test_lines_odd_tables(spark):
     df = odd(spark)
     got = lines.without_shared_lines(df)

@@ -12,9 +12,9 @@ rest on the input; what one pair deletes does not change another.
 
 Lines are compared without outer white space; blank lines take no part and go with the
 block that surrounds them.  Documents are ordered by id; rows with a null id or a null or
-empty text stay as they are, as does each first document.  Repeated ids are parts of one
-document only in that they are never paired with each other.  Further columns of any name
-stay; an empty table gives an empty result.
+empty text stay as they are, as does each first document.  Rows of one id with different texts
+are documents of their own, in the order of their texts' digests; rows of one id and text are one
+document.  Further columns of any name stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -203,8 +203,10 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.toDF(*own)
     key, text = own[names.index(id_col)], own[names.index(text_col)]
 
-    known = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    lines = stored(_lines(known, min_words).where(F.size("lines") > 0))
+    # a document is known by its id and the digest of its text; the order is that of the pair
+    name = F.struct(F.col(key).alias("id"), F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16).alias("tid"))
+    known = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(name.alias("id"), F.col(text).alias("text"))
+    lines = stored(_lines(known, min_words).where(F.size("lines") > 0).dropDuplicates(["id"]))
     # a document counts once for each key: repeats within it are dropped before the shuffle
     single = lines.select("id", F.explode("windows").alias("line"), F.lit(True).alias("window")).union(lines.select("id", F.explode("short"), F.lit(False)))
     seen = stored(single.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
@@ -213,7 +215,7 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other = lines.select(F.col("id").alias("first"), F.col("lines").alias("other"))
     pairs = pairs.join(lines.select("id", "lines", "words"), "id").join(other, "first").select("id", "lines", "words", "other")
     gone = _aligned(pairs, min_words).where(F.size("gone") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    gone = gone.withColumnRenamed("id", "gone_of")
+    gone = gone.select(F.col("id").alias("gone_of"), "gone")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, text):
@@ -224,5 +226,5 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == text else batch.column(c) for c in own), pa.array(n, pa.int32())], [*own, "n"])
 
     kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema, strict=True))
-    out = rows.join(gone, rows[key] == gone["gone_of"], "left").select(*own, "gone").mapInArrow(run, f"{kinds}, n int")
+    out = rows.join(gone, F.when(F.col(key).isNotNull() & F.col(text).isNotNull(), name) == F.col("gone_of"), "left").select(*own, "gone").mapInArrow(run, f"{kinds}, n int")
     return out.toDF(*names, "n_lines_removed")
