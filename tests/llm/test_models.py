@@ -203,6 +203,23 @@ def test_maxscore(spark):
     assert maxscore.top_k(few, few.where("vec_id = 0"), 20).count() == 4 and maxscore.top_k(few.limit(0), few.limit(0), 3).count() == 0
 
 
+def test_maxscore_of_repeated_rows(spark):
+    """Rows of the query's id take no place of a neighbour, in the sample and behind it, and repeated queries are one."""
+    r = np.random.default_rng(8)
+    v = [(i, [float(x) for x in r.standard_normal(6)]) for i in range(600)]
+    own = [(0, [4 * x for x in v[0][1]])] * 300
+    df = spark.createDataFrame([*v[1:], *own], "vec_id bigint, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([*own[:5], (0, [9.0] * 6), v[1], v[1]], df.schema)
+    got = {}
+    for row in maxscore.top_k(df, asked, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    floor = lambda x: np.floor(64 * np.array(x)).astype(int)
+    least = min(own[0][1], [9.0] * 6)
+    for q, x, others in ((0, least, v[1:]), (1, v[1][1], v[2:] + own)):
+        best = sorted((-int(floor(x) @ floor(y)), i) for i, y in others)[:7]
+        assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_maxscore_search_is_exact():
     r = np.random.default_rng(7)
     for shape in ((12, 5000), (3, 40), (40, 900)):

@@ -11,7 +11,8 @@ Shards of vectors meet blocks of queries in cells; the best of each cell are mer
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 with a null id.  Equal scores go to the smaller id.  A row with the query's own id is never a
-candidate; other repeated rows are.  Vectors of another width than the query's are no
+candidate; other repeated rows are.  Queries of one id are one query; where their vectors differ,
+the least by components is asked.  Vectors of another width than the query's are no
 candidates.  Further columns are left out.  An empty table gives an empty result.
 """
 
@@ -39,22 +40,25 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def search(query: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, sample: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, scores)`` of the k best of a shard; ``lists`` has a row for each component."""
+def search(query: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, sample: int = 256, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, scores)`` of the k best of a shard but those of one id; ``lists`` has a row for each component."""
     a, b = query * low, query * high
     least, bound = np.minimum(a, b), np.abs(b - a)
     order = np.argsort(-bound, kind="stable")
     after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the lists from here on can add
     base = least.sum()
-    scores = query @ lists[:, :sample]
-    found = best_of(scores, ids[:sample], k)
-    top_ids, top = ids[found], scores[found]
+    able = np.full(len(ids), True) if but is None else ids != but
+    first = np.flatnonzero(able[:sample])
+    scores = (query @ lists[:, :sample])[first]
+    found = best_of(scores, ids[first], k)
+    top_ids, top = ids[first[found]], scores[found]
     if lists.shape[1] <= sample:
         return top_ids, top
     rest = np.arange(sample, lists.shape[1])
     floor = top[-1] if len(top) == k else -np.inf
     essential = max(1, int(np.argmax(base + after < floor))) if (base + after < floor).any() else len(order)
     partial = (query[order[:essential]] @ lists[order[:essential], sample:]) - least[order[:essential]].sum()
+    rest, partial = rest[able[sample:]], partial[able[sample:]]
     done = essential
     while True:
         able = base + partial + after[done] >= floor
@@ -103,7 +107,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         return df.where(F.col(id_col).isNotNull() & number.isNotNull() & (F.size(number) > 0) & finite).select(F.col(id_col).cast("bigint").alias("id"), values.alias("vector"))
 
     shards, _ = _blocks(settle(whole(vectors)), SHARD, "shard")
-    asked, n = _blocks(settle(whole(queries)), QUERIES_AT_ONCE, "asked")
+    once = whole(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked, n = _blocks(settle(once), QUERIES_AT_ONCE, "asked")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +121,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                     raise ValueError("scores leave the range in which doubles are exact integers")
                 out: list[list] = [[], [], []]
                 for own, query in zip(get("asked_ids", "<i8").tolist(), np.ascontiguousarray(questions.T), strict=True):
-                    found, scores = search(query, lists, low, high, ids, k + 1)
-                    keep = found != own
-                    out[0].append(np.full(keep.sum(), own))
-                    out[1].append(found[keep])
-                    out[2].append(scores[keep].astype(np.int64))
+                    found, scores = search(query, lists, low, high, ids, k, but=own)
+                    out[0].append(np.full(len(found), own))
+                    out[1].append(found)
+                    out[2].append(scores.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "id", "score"])
 
     cells = shards.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, ["asked", "width"])
