@@ -105,7 +105,7 @@ def test_toxicity(spark):
 
 
 def text_of(html):
-    return pages.main_text(pages.parse(html), [])
+    return "\n".join(x.text for x in pages.body(pages.parse(html)))
 
 
 def test_structure():
@@ -129,20 +129,92 @@ def test_common_is_longest():
         return best[-1][-1]
 
     for _ in range(300):
-        a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
-        assert len(pages.common(a, b)) == length(a, b)
-
-
-def test_neighbours(spark):
-    frame = "<div>Site of things</div><div>Menu one</div>{}<div>All rights kept</div>"
-    rows = [(i, f"http://h.org/a/{i}", frame.format(f"<p>Text {i} of its own.</p><p>More of {i}.</p>")) for i in range(6)]
-    rows += [(10, "http://other.org/x", "<div>Alone</div><p>Here</p>"), (11, None, None), (12, "not a url", "<p>t</p>"), (12, "not a url", "<p>t</p>")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("path", F.lit(1)).withColumn("host", F.lit(2))
-    got = {r["page_id"]: r for r in pages.extract(df.coalesce(1)).collect()}
-    for i in range(1, 5):
-        assert got[i]["text"] == f"Text {i} of its own.\nMore of {i}." and got[i]["n_chars"] == len(got[i]["text"])
-    assert got[10]["text"] == "Alone\nHere" and got[11]["text"] == "" and got[11]["url"] is None and got[12]["text"] == "t"
-    assert pages.extract(df.limit(0)).count() == 0 and pages.extract(df).count() == len(rows)
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(20))] for _ in range(2))
+        found = [a[i] for i in sorted(pages.common(a, b))]
+        rest = iter(b)
+        assert len(found) == length(a, b) and all(x in rest for x in found)
+    many = ["-"] * 30000
+    assert len(pages.common(["x", *many, "y"], ["z", *many, *many, "w"])) == 30000
+
+
+def longest_common(a, b):
+    """Places in ``a`` of a longest common subsequence, by the table of all lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def differenced(rows):
+    """The expected texts of ``(id, url, article, blocks)``, by looking at every page of the host."""
+    cases = {}
+    for _, url, article, blocks in rows:
+        host, _, path = url.removeprefix("http://").partition("/")
+        key = host, article, tuple(blocks)
+        cases[key] = min(cases.get(key, path), path)
+    out = {}
+    for i, url, article, blocks in rows:
+        host = url.removeprefix("http://").partition("/")[0]
+        own = cases[host, article, tuple(blocks)]
+        near = []
+        for (h, g, b), path in cases.items():
+            if h == host and (g, b) != (article, tuple(blocks)):
+                same = next((k for k, (x, y) in enumerate(zip(own, path, strict=False)) if x != y), min(len(own), len(path)))
+                between = sum(1 for (h2, *_), p in cases.items() if h2 == host and min(own, path) < p < max(own, path))
+                near.append((-same, between, path > own, b))
+        near.sort(key=lambda x: x[:3])
+        if article:
+            gone = set.intersection(*(longest_common(blocks, b) for *_, b in near[:4])) if len(near) >= 4 else set()
+        else:
+            gone = longest_common(blocks, near[0][3]) if near else set()
+        out[i] = "\n".join(x for k, x in enumerate(blocks) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_neighbours(spark, parts):
+    rows = []
+    for i in range(60):  # pages without an article, whose frame only their neighbours tell
+        rows.append((i, f"http://h.org/a/{i:02d}", False, ["Site of things", f"Text {i} of its own.", "Menu one", f"More of {i}.", "All rights kept"]))
+    for i in range(100, 130):  # articles with a line of the frame in each, and a quotation in some
+        rows.append((i, f"http://b.org/{i % 3}/x{i}", True, [f"Story {i}", "Read more on our site", *["As was said"] * (i % 5 == 0), f"End of {i}"]))
+    rows += [(200 + k, f"http://h.org/a/07?copy={k}", False, rows[7][3]) for k in range(5)] + [(300, "http://b.org/1/y", True, rows[70][3])]
+    rows += [(400, "http://few.org/a", True, ["One", "Shared"]), (401, "http://few.org/b", True, ["Two", "Shared"])]
+    html = [(i, u, ("<article>{}</article>" if g else "{}").format("".join(f"<p>{x}</p>" for x in b))) for i, u, g, b in rows]
+    html += [(510, "http://other.org/x", "<div>Alone</div><p>Here</p>"), (511, None, None), (512, "not a url", "<p>t</p>"), (512, "not a url", "<p>t</p>"), (None, "not a url", "<p>t</p>")]
+    df = spark.createDataFrame(html, "page_id bigint, url string, html string").repartition(parts)
+    for c in ("path", "host", "body", "row", "rank", "gone"):
+        df = df.withColumn(c, F.lit(c))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(parts, 12)))
+    try:
+        found = pages.extract(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r["page_id"]: r["text"] for r in found}
+    want = differenced(rows)
+    assert {i: got[i] for i in want} == want and want[5] == "Text 5 of its own.\nMore of 5." and want[400] == "One\nShared"
+    assert want[105] == "Story 105\nAs was said\nEnd of 105" and want[300] == want[rows[70][0]]
+    assert got[510] == "Alone\nHere" and got[511] == "" and got[512] == got[None] == "t" and len(found) == len(html)
+    assert all(r["n_chars"] == len(r["text"]) for r in found) and pages.extract(df.limit(0)).count() == 0
+
+
+def test_neighbours_across_cells(spark, monkeypatch):
+    rows = [(i, f"http://h.org/{i:03d}", True, [f"Story {i}", "Read more", f"End of {i}"]) for i in range(50)]
+    html = spark.createDataFrame([(i, u, f"<main><p>{'</p><p>'.join(b)}</p></main>") for i, u, _, b in rows], "page_id bigint, url string, html string")
+    monkeypatch.setattr(pages, "CELL", 5)
+    assert {r["page_id"]: r["text"] for r in pages.extract(html).collect()} == {i: f"Story {i}\nEnd of {i}" for i in range(50)}
 
 
 # vectors --------------------------------------------------------------------------

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settle
+from .frames import HEAVY, settle, spread_join
 
 #: Links take few bytes each, so this many shuffle partitions of them make one.
 FEW = 8
 
 
-def _star(both: DataFrame, larger: bool) -> DataFrame:
-    """Tie each node's larger (or smaller) neighbours to the least node about it."""
-    own = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = F.least("u", "m")
-    ties = both.join(own, "u").select("u", "v", least.alias("m"))
+def _star(both: DataFrame, larger: bool, many: int) -> DataFrame:
+    """Tie each node's larger (or smaller) neighbours to the least node about it.
+
+    A node with more than ``many`` neighbours has its links dealt to many tasks; only so few nodes can have
+    more than a share of all links.
+    """
+    own = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = own.where(F.col("n") > many).select("u").limit(round(1 / HEAVY))
+    own = own.drop("n")
+    ties = spread_join(both, own, ["u"], hubs, ["v"]).select("u", "v", F.least("u", "m").alias("m"))
     if larger:
         return ties.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return ties.where("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.where("m < u").select("u", F.col("m").alias("v")))
@@ -29,15 +34,17 @@ def connected(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges, before = settle(edges, FEW), None
-    for _ in range(most):
+    count = edges.count()
+    for _ in range(most if count else 0):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = _star(both, True).where("u != v").distinct()
-        edges = settle(_star(edges, False).where("u != v").distinct(), FEW)
+        edges = _star(both, True, max(64, int(2 * count * HEAVY))).where("u != v").distinct()
+        edges = settle(_star(edges, False, max(64, int(count * HEAVY))).where("u != v").distinct(), FEW)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     else:
-        raise RuntimeError(f"components still change after {most} rounds")
+        if count:
+            raise RuntimeError(f"components still change after {most} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is heavy, so there are fewer than ``1 / HEAVY`` heavy keys.
+HEAVY = 1 / 256
+#: Places that the rows of a heavy key are dealt to.
+SALTS = 64
+
+
+def heavy_keys(sizes: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The keys of ``(keys, n)``, one row for each key, that hold too large a share of all rows; at most 256 by their definition."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return sizes.where(F.col(n) > max(64, int(total * HEAVY))).select(*keys).limit(round(1 / HEAVY))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` by ``keys``, the left rows of heavy keys dealt to ``SALTS`` places by a hash of ``by``.
+
+    The right rows of a heavy key are repeated for each place.  ``heavy`` comes from :func:`heavy_keys`,
+    which bounds what is broadcast.  ``how`` is inner, left or left_semi.
+    """
+    marked = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    dealt = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(marked, keys, "left").withColumn("_salt", F.explode(places)).drop("_heavy")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 #: What operators keep in a Python worker from task to task.
 WORKER_CACHES: list[dict] = []
 

@@ -1,33 +1,39 @@
 """Main text of web pages by differencing each page from its neighbours by URL.
 
-Pages are ordered by host and path, so the pages next to one another are the nearest by
-URL.  The text lines of a page and of its nearer neighbour are aligned by their longest
-common subsequence and shared lines are deleted: what two pages of a site have in common is
-its frame.  Two things are kept from that: an ``article`` or ``main`` element, whose lines
-can be shared only because the same text was published twice, and pages whose lines are all
-shared, which are copies of one another.  Of what is left, lines within navigation,
-headers, footers, asides, forms, notices, adverts and comments go, told by element, role or
-name; where a page has an ``article`` or ``main`` element, only its lines stay.
+A page is cut into its blocks of visible text.  Blocks within navigation, headers, footers,
+asides, forms, notices, adverts and comments go, told by element, role or name; where a page
+has an ``article`` or ``main`` element, only its blocks stay.  What is left is the page's body.
+Pages of one host with equal bodies are copies and one case, placed at the least of their URLs.
+
+The bodies of a host are ordered by path, which puts those with the longest common
+beginnings side by side.  A body's blocks are aligned with those of its ``WITNESSES`` nearest neighbours
+by longest common subsequence and shared ones are deleted: those that it shares with the nearest one, or, within
+an ``article`` or ``main`` element, those that it shares with every one of them, since a line that only some
+neighbours have may be a quotation there.  A body with fewer neighbours loses nothing within such an element.
+
+Every place in the order is counted over the whole table, so the result does not depend on how rows
+are dealt to tasks.  Blocks are compared by 64-bit digests within a pair of pages.
 
 A null html is empty and gives an empty text.  Unclosed elements end with the page.  Broken
-or missing URLs sort together.  Repeated pages are judged each; further columns are left
+or missing URLs share an empty host.  Repeated pages are judged each; further columns are left
 out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import modest_batches, pieces_of
+from .frames import heavy_keys, modest_batches, pieces_of, settle, spread_join
 
 #: Elements without text of the page.
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "object", "select", "xmp"}
@@ -56,6 +62,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _MARKUP = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NOT_LETTERS = re.compile(r"[^a-z]+")
+#: Neighbours that must agree on a line within an article, and how many are looked at on each side.
+WITNESSES = 4
+#: Bodies whose neighbours a task looks at together.
+CELL = 4096
 
 
 @dataclass
@@ -166,110 +176,198 @@ def parse(source: str) -> Page:
     return page
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``."""
-    first = 0
-    while first < min(len(a), len(b)) and a[first] == b[first]:
-        first += 1
-    last = 0
-    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
-        last += 1
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - last - 1, first - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    tops: list[int] = []
-    ends: list[int] = []
-    steps: list[tuple[int, int]] = []
-    for i in range(first, len(a) - last):
-        for j in places.get(a[i], ()):  # from the last on, so that each line is used once
-            at = bisect_left(tops, j)
-            steps.append((i, ends[at - 1] if at else -1))
-            if at == len(tops):
-                tops.append(j)
-                ends.append(len(steps) - 1)
-            else:
-                tops[at], ends[at] = j, len(steps) - 1
-    out = set(range(first)) | set(range(len(a) - last, len(a)))
-    at = ends[-1] if ends else -1
-    while at >= 0:
-        i, at = steps[at]
-        out.add(i)
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of ``a`` and the first j of ``b``, for each j from 0 on; a bit for each place of ``b``."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = (row + hit | row - hit) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def common(a: list, b: list) -> set[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``, by halving ``a`` where both halves together are longest."""
+    there, here = set(b), set(a)
+    at = [i for i, x in enumerate(a) if x in there]
+    x, y = [a[i] for i in at], [v for v in b if v in here]
+    out: set[int] = set()
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
+            out.add(at[a0])
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.add(at[a1])
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if x[a0] in y[b0:b1]:
+                out.add(at[a0])
+            continue
+        mid = (a0 + a1) // 2
+        cut = b0 + int((_prefix_lengths(x[a0:mid], y[b0:b1]) + _prefix_lengths(x[mid:a1][::-1], y[b0:b1][::-1])[::-1]).argmax())
+        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
     return out
 
 
-def main_text(page: Page, others: list[Page]) -> str:
-    """The page's lines without those it shares with the first of ``others`` that is no copy of it."""
-    lines, own = page.lines, [x.text for x in page.lines]
-    shared: set[int] = set()
-    for other in others:
-        found = common(own, [x.text for x in other.lines])
-        if len(found) < len(own):
-            shared = found
-            break
-    left = [x for i, x in enumerate(lines) if x.main or i not in shared]
+def body(page: Page) -> list[Line]:
+    """The blocks that structure does not tell to be part of the frame."""
     within = page.has_main
-    return "\n".join(x.text for x in left if not x.framed and (x.main or not within))
+    return [x for x in page.lines if not x.framed and (x.main or not within)]
+
+
+def shared_lines(own: list, within: bool, others: list[list]) -> set[int]:
+    """Places of the body's lines that ``others``, nearest first, tell to be part of the frame."""
+    if within and len(others) < WITNESSES:
+        return set()
+    found: set[int] | None = None
+    for other in others if within else others[:1]:
+        places = common(own, other)
+        found = places if found is None else found & places
+        if not found:
+            break
+    return found or set()
 
 
-def nearness(a: tuple[str, str], b: tuple[str, str]) -> int:
-    """How much of host and path two pages share; -1 for different hosts."""
-    if a[0] != b[0]:
-        return -1
+def nearness(a: str, b: str) -> int:
+    """Characters that two paths have in common from the beginning."""
     n = 0
-    for x, y in zip(a[1], b[1], strict=False):
+    for x, y in zip(a, b, strict=False):
         if x != y:
             break
         n += 1
     return n
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, text, n_chars)`` of every page.
+def nearest(path: str, before: list[tuple[str, list]], after: list[tuple[str, list]]) -> list[list]:
+    """Bodies of the ``WITNESSES`` nearest of some neighbours ``(path, body)``, each side in the order of distance."""
+    near = [(-nearness(path, p), k, side, own) for side, some in enumerate((before, after)) for k, (p, own) in enumerate(some)]
+    return [x[3] for x in sorted(near, key=lambda x: x[:3])[:WITNESSES]]
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _key(hashes: list[int], within: bool) -> bytes:
+    return hashlib.blake2b(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes), digest_size=16, salt=bytes([within])).digest()
 
-    The order by host and path is cut into ranges for the tasks, so a host of any size is spread; the
-    pages at both ends of a range have one neighbour.
-    """
-    modest_batches(pages.sparkSession)
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
-    rows = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    kind = pages.schema[id_col].dataType.simpleString()
+
+def _bodies(rows: DataFrame) -> DataFrame:
+    """``(id, host, path, body, within, hashes)`` of every ``(id, host, path, html)``, without any text."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parsed() -> Iterator[tuple]:
-            for batch in pieces_of(batches, "html"):
-                for row in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "host", "path", "html")), strict=True):
-                    yield row[0], row[1], (row[2], row[3]), parse(row[4] or "")
+        for batch in pieces_of(batches, "html"):
+            pages = [parse(t or "") for t in batch.column("html").to_pylist()]
+            hashes = [[_digest(x.text) for x in body(p)] for p in pages]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "host", "path")), pa.array([_key(h, p.has_main) for h, p in zip(hashes, pages, strict=True)], pa.binary()), pa.array([p.has_main for p in pages]), pa.array(hashes, pa.list_(pa.int64()))],
+                ["id", "host", "path", "body", "within", "hashes"],
+            )
+
+    return rows.mapInArrow(run, f"id {kind}, host string, path string, body binary, within boolean, hashes array<bigint>")
+
+
+def _numbered(cases: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place in the order by host, path and body, from 0 on."""
+    order = ["host", "path", "body"]
+    cases = settle(cases.repartitionByRange(*order).sortWithinPartitions(*order))  # the place in its partition is fixed from here on
+    local = cases.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = local.groupBy("_part").count()  # a row for each partition
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    return local.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def _frame_lines(cases: DataFrame) -> DataFrame:
+    """``(host, body, gone)`` of bodies ``(rank, host, path, body, within, hashes)`` that lose lines.
+
+    Bodies go in cells of ``CELL`` neighbours by rank; the few at both ends of a cell go to the next one too.
+    """
+
+    def solve(now: tuple, before: list[tuple], after: list[tuple]) -> list[int]:
+        _, host, path, _, within, own = now
+        some = [[(x[2], x[5]) for x in side if x[1] == host] for side in (before[::-1], after)]
+        return sorted(shared_lines(own, within, nearest(path, *some)))
 
-        out: list[list] = [[], [], [], []]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[tuple] = deque()
+        at, cell = 0, None
+        out: list[list] = [[], [], []]
+
+        def judge(upto: int) -> None:
+            nonlocal at
+            rows = list(held)
+            while at < upto:
+                now = rows[at]
+                if now[0] // CELL == cell and now[5]:
+                    gone = solve(now, rows[max(0, at - WITNESSES) : at], rows[at + 1 : at + 1 + WITNESSES])
+                    if gone:
+                        for column, value in zip(out, (now[1], now[3], gone), strict=True):
+                            column.append(value)
+                at += 1
 
         def ready() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(out[0], ids), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], ["id", "url", "text", "n_chars"])
+            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int32()))], ["host", "body", "gone"])
             for column in out:
                 column.clear()
             return batch
 
-        before, now, size = None, None, 0
-        for after in _with_end(parsed()):
-            if now is not None:
-                near = [x for x in (before, after) if x is not None and nearness(now[2], x[2]) >= 0]
-                near.sort(key=lambda x: -nearness(now[2], x[2]))
-                text = main_text(now[3], [x[3] for x in near])
-                for column, value in zip(out, (now[0], now[1], text, len(text)), strict=True):
-                    column.append(value)
-                size += len(text)
-                if size > 1 << 20:
-                    yield ready()
-                    size = 0
-            before, now = now, after
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cell", "rank", "host", "path", "body", "within", "hashes")]
+            for own, *row in zip(*columns, strict=True):
+                if own != cell:
+                    judge(len(held))
+                    held.clear()
+                    at, cell = 0, own
+                held.append(tuple(row))
+                if len(held) > 4 * WITNESSES:
+                    judge(len(held) - WITNESSES)
+                    while at > WITNESSES:
+                        held.popleft()
+                        at -= 1
+            yield ready()
+        judge(len(held))
         yield ready()
 
-    ids = to_arrow_type(pages.schema[id_col].dataType)
-    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)
+    cells = F.array_distinct(F.transform(F.array(*(F.lit(d) for d in (-WITNESSES, 0, WITNESSES))), lambda d: F.floor((F.col("rank") + d) / CELL)))
+    rows = cases.withColumn("cell", F.explode(cells)).repartition("cell").sortWithinPartitions("cell", "rank")
+    return rows.select("cell", "rank", "host", "path", "body", "within", "hashes").mapInArrow(run, "host string, body binary, gone array<int>")
+
 
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(id, url, text, n_chars)`` of every page."""
+    modest_batches(pages.sparkSession)
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
+    found = settle(_bodies(rows))
+    cases = found.groupBy("host", "body").agg(F.min("path").alias("path"), F.first("within").alias("within"), F.first("hashes").alias("hashes"))
+    gone = settle(_frame_lines(_numbered(cases)))
+    # from here on by row: copies of one body are spread by their ids
+    sizes = found.groupBy("host", "body").agg(F.count("*").alias("n"))
+    own = spread_join(found.select("id", "host", "body"), gone, ["host", "body"], heavy_keys(sizes, ["host", "body"], "n"), ["id"])
+    name = F.struct("id", "host", "body").alias("row")
+    own = own.select(name, "gone").dropDuplicates(["row"])
+    kind = pages.schema[id_col].dataType.simpleString()
 
-def _with_end(rows: Iterator[tuple]) -> Iterator[tuple | None]:
-    yield from rows
-    yield None
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "html"):
+            pages = [parse(t or "") for t in batch.column("html").to_pylist()]
+            lines = [[x.text for x in body(p)] for p in pages]
+            keys = [_key([_digest(x) for x in own], p.has_main) for own, p in zip(lines, pages, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host")), pa.array(keys, pa.binary()), pa.array(lines, pa.list_(pa.string()))], ["id", "url", "host", "body", "lines"])
+
+    cut = rows.select("id", "url", "host", "html").mapInArrow(texts, f"id {kind}, url string, host string, body binary, lines array<string>")
+    joined = cut.withColumn("row", name).join(own, "row", "left")
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    text = F.array_join(left, "\n")
+    return joined.select(F.col("id").alias(id_col), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
