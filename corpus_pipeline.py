@@ -18,6 +18,8 @@ from tilecask.llm.queries import TOKENIZER
 
 #: A document goes if no language is at least this probable.
 LEAST_SCORE = 0.3
+#: Documents estimated to resemble each other this far, a standard deviation below what the third stage asks for, go whole from the second to it.
+VERSIONS = 0.76
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks of lines that an earlier document has; documents with nothing left go."""
-    cut = lines.without_shared_lines(docs)
+    """Texts without the blocks of lines that an earlier document has; documents with nothing left go.
+
+    Near copies of one document keep what they share with each other: cut to the lines that differ, none
+    would be known for a copy by the next stage, which is there to keep one of them.
+    """
+    cut = lines.without_shared_lines(docs, versions=VERSIONS)
     gone = (F.col("n_lines_removed") > 0) & (F.length(F.trim("text")) == 0)
     return _counted(cut.where(~gone).select(*docs.columns))
 

@@ -1,17 +1,23 @@
 """Removal of lines by pairwise alignment.
 
-Two documents overlap where they share a rare line, or a window: a line of ``min_words`` words
-or a shortest run of lines that has them together, however often it occurs.  Each later
-document is paired with the first one that has the line or window, which gives one pair for
-each of them and document.  Windows cover every line of a block of ``min_words`` words, so a later
+Two documents overlap where they share a rare line hash.  What counts as one is a window: a line of
+``min_words`` words or a shortest run of lines that has them together, which is seldom
+shared by chance, while a short line alone is.  Each later document is paired with the first
+one that has the window, which gives one pair for each window and document, however often
+it occurs.  Windows cover every line of a block of ``min_words`` words, so a later
 document meets a first owner for each line of a block that it shares with any earlier one.  A pair is aligned with patience
 diff: lines that are unique in both documents, in their longest common order, hold the
 alignment, and the gaps between them are aligned likewise.  A maximal block of aligned
 lines is deleted from the later document if it has ``min_words`` words or more.  Judgements
 rest on the input; what one pair deletes does not change another.
 
+With ``versions``, a pair whose shingle sets are estimated to resemble each other that far deletes nothing:
+they are versions of one document, and which of them stays whole is for near-duplicate removal to say.  What
+both share with others goes from both, so that they still resemble each other.
+
 Lines are compared without outer white space; blank lines take no part and go with the
-block that surrounds them.  Documents are ordered by id; rows with a null id or a null or
+block that surrounds them.  Two different lines of one pair of documents count as equal if their 64-bit hashes
+are, once in 10**19 such comparisons.  Documents are ordered by id; rows with a null id or a null or
 empty text stay as they are, as does each first document.  Rows of one id with different texts
 are documents of their own, in the order of their texts' digests; rows of one id and text are one
 document.  Further columns of any name stay; an empty table gives an empty result.
@@ -28,10 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import modest_batches, pieces_of, stored
-
-#: A line is rare up to this number of documents; windows make pairs at any number.
-RARE = 16
+from . import minhash
+from .frames import heavy_keys, modest_batches, pieces_of, spread_join, stored, utf8
+from .shingles import shingle_sets
 
 
 def line_keys(text: str) -> list[tuple[int, int] | None]:
@@ -149,8 +154,8 @@ def deleted(first: list[int], later: list[int], words: list[int], min_words: int
     return out
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(id, lines, words, windows, short)`` of every document: the hashes of its lines that are not blank, and once each the keys of its windows and of its other lines."""
+def _lines(docs: DataFrame, min_words: int, width: int | None) -> DataFrame:
+    """``(id, lines, words, windows, sign)`` of every document: the hashes of its lines that are not blank, the keys of its windows once each, and a signature of its shingles if ``width`` is given."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,22 +163,29 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             keys = [[k for k in line_keys(t or "") if k] for t in batch.column("text").to_pylist()]
             lines = pa.array([[k[0] for k in own] for own in keys], pa.list_(pa.int64()))
             words = pa.array([[k[1] for k in own] for own in keys], pa.list_(pa.int32()))
-            held = [windows(own, min_words) for own in keys]
-            short = pa.array([list({k for k, _ in own} - w) for own, w in zip(keys, held, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lines, words, pa.array([list(w) for w in held], pa.list_(pa.int64())), short], ["id", "lines", "words", "windows", "short"])
+            held = pa.array([list(windows(own, min_words)) for own in keys], pa.list_(pa.int64()))
+            signs = [minhash.short_signature(x) for x in shingle_sets(utf8(batch.column("text")), width)] if width else [None] * len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lines, words, held, pa.array(signs, pa.binary())], ["id", "lines", "words", "windows", "sign"])
 
-    return docs.mapInArrow(run, f"id {kind}, lines array<bigint>, words array<int>, windows array<bigint>, short array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, lines array<bigint>, words array<int>, windows array<bigint>, sign binary")
 
 
-def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
-    """``(id, gone)`` of pairs ``(id, lines, words, other)``: places of deleted lines."""
+def _aligned(pairs: DataFrame, min_words: int, versions: float | None) -> DataFrame:
+    """``(id, gone)`` of pairs ``(id, lines, words, sign, other, other_sign)``: places of deleted lines."""
     kind = pairs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = [deleted(o, n, w, min_words) for o, n, w in zip(*(batch.column(c).to_pylist() for c in ("other", "lines", "words")), strict=True)]
+        for batch in pairs_of(batches):
+            gone = []
+            for o, n, w, a, b in zip(*(batch.column(c).to_pylist() for c in ("other", "lines", "words", "sign", "other_sign")), strict=True):
+                same = versions is not None and minhash.resemblance(a, b) >= versions
+                gone.append([] if same else deleted(o, n, w, min_words))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(gone, pa.list_(pa.int32()))], ["id", "gone"])
 
+    def pairs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "lines", 1 << 19):
+            yield from pieces_of([batch], "other", 1 << 19)
+
     return pairs.mapInArrow(run, f"id {kind}, gone array<int>")
 
 
@@ -195,7 +207,7 @@ def without(text: str, gone: set[int]) -> str:
     return "\n".join([*out, *([] if cut else pending)])
 
 
-def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, rare: int = RARE) -> DataFrame:
+def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, versions: float | None = None, width: int = 5) -> DataFrame:
     """The table with shared blocks deleted from later texts, and ``n_lines_removed``."""
     modest_batches(docs.sparkSession)
     names = docs.columns
@@ -206,15 +218,16 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # a document is known by its id and the digest of its text; the order is that of the pair
     name = F.struct(F.col(key).alias("id"), F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16).alias("tid"))
     known = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(name.alias("id"), F.col(text).alias("text"))
-    lines = stored(_lines(known, min_words).where(F.size("lines") > 0).dropDuplicates(["id"]))
-    # a document counts once for each key: repeats within it are dropped before the shuffle
-    single = lines.select("id", F.explode("windows").alias("line"), F.lit(True).alias("window")).union(lines.select("id", F.explode("short"), F.lit(False)))
+    lines = stored(_lines(known, min_words, width if versions is not None else None).where(F.size("lines") > 0).dropDuplicates(["id"]))
+    # a document counts once for each window: repeats within it are dropped before the shuffle
+    single = lines.select("id", F.explode("windows").alias("line"))
     seen = stored(single.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    met = single.join(seen, "line").where((F.col("id") != F.col("first")) & ((F.col("n") <= rare) | F.col("window")))
-    pairs = met.select("id", "first").distinct()
-    other = lines.select(F.col("id").alias("first"), F.col("lines").alias("other"))
-    pairs = pairs.join(lines.select("id", "lines", "words"), "id").join(other, "first").select("id", "lines", "words", "other")
-    gone = _aligned(pairs, min_words).where(F.size("gone") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    met = spread_join(single, seen.drop("n"), ["line"], heavy_keys(seen, ["line"], "n"), ["id"]).where(F.col("id") != F.col("first"))
+    pairs = stored(met.select("id", "first").distinct())
+    firsts = heavy_keys(pairs.groupBy("first").count(), ["first"], "count")
+    other = lines.select(F.col("id").alias("first"), F.col("lines").alias("other"), F.col("sign").alias("other_sign"))
+    pairs = spread_join(pairs.join(lines.select("id", "lines", "words", "sign"), "id"), other, ["first"], firsts, ["id"]).select("id", "lines", "words", "sign", "other", "other_sign")
+    gone = _aligned(pairs, min_words, versions).where(F.size("gone") > 0).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
     gone = gone.select(F.col("id").alias("gone_of"), "gone")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

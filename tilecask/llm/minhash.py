@@ -50,6 +50,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_signature(shingles: np.ndarray) -> bytes | None:
+    """The last 16 bits of each signature value; None for an empty set."""
+    return signature(shingles).astype("<u2").tobytes() if len(shingles) else None
+
+
+def resemblance(a: bytes | None, b: bytes | None) -> float:
+    """The share of equal values of two short signatures, which estimates the similarity of their sets."""
+    if a is None or b is None:
+        return 0.0
+    return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
+
+
 def buckets(shingles: np.ndarray) -> np.ndarray:
     """One bucket key for each band."""
     bands = signature(shingles).reshape(-1, BAND)
