@@ -5,6 +5,7 @@ import math
 import random
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -231,6 +232,27 @@ def vectors(spark, extra=True):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("key", F.lit(1)).withColumn("n", F.lit(2)), rows
 
 
+def test_embeddings_of_many_near_vectors(spark):
+    """Thousands of near vectors in one bucket: every link counted, in memory that does not grow with pairs."""
+    import resource
+
+    r = np.random.default_rng(10)
+    base = r.standard_normal(64)
+    rows = base + r.standard_normal((3000, 64)) * 0.12
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    ones = np.ones(3000, np.int64)
+    tables = embeddings.buckets(unit, ones)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    links, near, root = embeddings.linked(unit, tables, 0, ones, None, 0.93)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+    assert near.all() == (want > 0).all() and (root == root[0]).mean() > 0.99
+    assert links.sum() == want.sum()
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(rows.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(df, 0.93, block=500).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
 @pytest.mark.parametrize("block", [7, 2048])
 def test_embeddings(spark, block):
     df, rows = vectors(spark)
@@ -275,21 +297,63 @@ def test_maxscore(spark):
     assert maxscore.top_k(few, few.where("vec_id = 0"), 20).count() == 4 and maxscore.top_k(few.limit(0), few.limit(0), 3).count() == 0
 
 
+def top_by_force(rows, queries, k):
+    """``(query id, [(id, score), ...])`` of each query row against all rows but its own, with whole numbers."""
+    whole = lambda v: [math.floor(Fraction(x) * 64) for x in v]
+    every = [(i, whole(v)) for i, v in rows]
+    used, out = set(), []
+    for q, v in queries:
+        x = whole(v)
+        own = next((n for n, row in enumerate(rows) if row == (q, v) and n not in used), None)
+        used.add(own)
+        scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for n, (i, y) in enumerate(every) if n != own)
+        out.append((q, [(i, max(min(-s, 2**63 - 1), -(2**63))) for s, i in scored[:k]]))
+    return out
+
+
+def ranked(df):
+    """The same from a result; queries of one id have as many rows of each rank, in any order."""
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(v) for q, v in by.items()}
+
+
+def as_ranked(found):
+    by = {}
+    for q, best in found:
+        by.setdefault(q, []).extend((k + 1, i, s) for k, (i, s) in enumerate(best))
+    return {q: sorted(v) for q, v in by.items()}
+
+
 def test_maxscore_of_repeated_rows(spark):
-    """Rows of the query's id take no place of a neighbour, in the sample and behind it, and repeated queries are one."""
+    """Every row is a query and a candidate of its own, whatever its id."""
     r = np.random.default_rng(8)
     v = [(i, [float(x) for x in r.standard_normal(6)]) for i in range(600)]
     own = [(0, [4 * x for x in v[0][1]])] * 300
-    df = spark.createDataFrame([*v[1:], *own], "vec_id bigint, embedding array<double>").coalesce(1)
-    asked = spark.createDataFrame([*own[:5], (0, [9.0] * 6), v[1], v[1]], df.schema)
-    got = {}
-    for row in maxscore.top_k(df, asked, 7).orderBy("query_id", "rank").collect():
-        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
-    floor = lambda x: np.floor(64 * np.array(x)).astype(int)
-    least = min(own[0][1], [9.0] * 6)
-    for q, x, others in ((0, least, v[1:]), (1, v[1][1], v[2:] + own)):
-        best = sorted((-int(floor(x) @ floor(y)), i) for i, y in others)[:7]
-        assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    rows = [*v[1:], *own, (20, v[5][1]), (20, v[5][1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = [*own[:5], (0, [9.0] * 6), v[1], v[1], (20, v[5][1]), (20, v[5][1]), v[20]]
+    got = ranked(maxscore.top_k(df, spark.createDataFrame(asked, df.schema), 7))
+    assert got == as_ranked(top_by_force(rows, asked, 7))
+    assert [s for _, i, s in got[0] if i == 0]  # other rows of its id are candidates
+
+
+@pytest.mark.parametrize("shard", [50, 4096])
+def test_maxscore_of_large_components(spark, shard, monkeypatch):
+    r = np.random.default_rng(9)
+    sizes = [1.0, 1e3, 1e9, 1e12, 1e15, 1e150, 1e300]
+    rows = [(i, [float(x) for x in r.standard_normal(5) * (sizes[i % 7] if i % 3 else 1.0)]) for i in range(240)]
+    rows += [(300 + i, [1e12 + i % 3, -1e12, 0.5, 3.0, 1.0]) for i in range(30)] + [(400, [1.7e308] * 5), (401, [-1.7e308] * 5), (402, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = [x for x in rows if x[0] % 20 == 0]
+    monkeypatch.setattr(maxscore, "SHARD", shard)
+    assert ranked(maxscore.top_k(df, df.where("vec_id % 20 = 0"), 20)) == as_ranked(top_by_force(rows, asked, 20))
+
+
+def test_ordered_bytes():
+    numbers = sorted([0, 1, -1, 255, 256, -255, -256, -257, 2**63, -(2**63), 2**64, *(s * 3**n for n in range(1, 700, 7) for s in (1, -1))])
+    assert sorted(numbers, key=maxscore.ordered_bytes) == numbers
 
 
 def test_maxscore_search_is_exact():
@@ -302,7 +366,7 @@ def test_maxscore_search_is_exact():
             found, scores = maxscore.search(q, lists, lists.min(1), lists.max(1), ids, 15, sample=50)
             every = q @ lists
             want = np.lexsort((ids, -every))[:15]
-            assert list(found) == list(ids[want]) and list(scores) == list(every[want])
+            assert list(found) == list(want) and list(scores) == list(every[want])
 
 
 # tokens and packing ---------------------------------------------------------------

@@ -32,6 +32,8 @@ from .shingles import mix
 from .vectors import by_width
 
 TABLES, EACH, STEP, BLOCK = 24, 8, 1.5, 2048
+#: Rows of a cell that are compared with all of it at once.
+TILE = 256
 
 
 def _directions(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,35 +82,49 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, key binary, vector binary, buckets array<bigint>")
 
 
+def linked(unit: np.ndarray, tables: np.ndarray, table: int, n: np.ndarray, side: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each vector of a cell its links, whether it has a near one, and the first row that it reaches.
+
+    ``n`` counts the copies of each; pairs that met in one of the first ``table`` tables are not counted again.  With
+    ``side`` only pairs from both sides are compared.  Rows are taken ``TILE`` at a time, so no list of pairs is made.
+    """
+    rows = len(unit)
+    near, links = np.empty((rows, rows), bool), np.empty(rows, np.int64)
+    for at in range(0, rows, TILE):
+        own = slice(at, at + TILE)
+        part = near[own]
+        np.greater_equal(unit[own] @ unit.T, cosine, out=part)
+        if side is not None:
+            part &= side[own, None] != side[None, :]
+        part[np.arange(len(part)), np.arange(at, at + len(part))] = False
+        first = part.copy()
+        for t in range(table):
+            first &= tables[own, t, None] != tables[None, :, t]
+        links[own] = first @ n
+    root = np.arange(rows)
+    while True:
+        before = root.copy()
+        for at in range(0, rows, TILE):
+            reached = np.where(near[at : at + TILE], root, rows).min(1)
+            root[at : at + TILE] = np.minimum(root[at : at + TILE], reached)
+        root = root[root]
+        if (root == before).all():
+            return links, near.any(1), root
+
+
 def _compared(cells: DataFrame, cosine: float) -> DataFrame:
     """``(key, links, least)`` from rows ``(bucket, low, high, block, key, n, vector, buckets)`` of whole cells."""
 
     def solve(part: pa.Table) -> pa.RecordBatch:
+        part = part.take(pa.array(np.argsort(np.array(part["key"].to_pylist(), "S16").view("S16"), kind="stable")))
         width = len(part["vector"][0].as_buffer()) // 8
         unit = np.frombuffer(b"".join(part["vector"].to_pylist()), np.float64).reshape(-1, width)
         tables = part["buckets"].combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
-        bucket, block = part["bucket"][0].as_py(), part["block"].to_numpy()
-        near = unit @ unit.T >= cosine
-        if (low := part["low"][0].as_py()) != part["high"][0].as_py():
-            near &= (block == low)[:, None] != (block == low)[None, :]
-        np.fill_diagonal(near, False)
-        table = int(np.flatnonzero(tables[0] == bucket)[0])
-        x, y = np.nonzero(near)
-        first = ~(tables[x, :table] == tables[y, :table]).any(1)
-        links = np.bincount(x[first], part["n"].to_numpy()[y[first]], len(unit)).astype(np.int64)
-        keys = part["key"].to_pylist()
-        order = np.argsort(np.array(keys, "S16").view("S16"), kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        root = rank.copy()
-        while True:
-            before = root.copy()
-            np.minimum.at(root, x, before[y])
-            if (root == before).all():
-                break
-        some = near.any(1)
-        least = [keys[i] for i in order[root]]
-        return pa.RecordBatch.from_arrays([part["key"].combine_chunks(), pa.array(links), pa.array(least, pa.binary())], ["key", "links", "least"]).filter(pa.array(some))
+        table = int(np.flatnonzero(tables[0] == part["bucket"][0].as_py())[0])
+        side = part["block"].to_numpy() if part["low"][0].as_py() != part["high"][0].as_py() else None
+        links, some, root = linked(unit, tables, table, part["n"].to_numpy(), side, cosine)
+        key = part["key"].combine_chunks()
+        return pa.RecordBatch.from_arrays([key, pa.array(links), key.take(pa.array(root))], ["key", "links", "least"]).filter(pa.array(some))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

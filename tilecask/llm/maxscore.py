@@ -7,12 +7,18 @@ greatest are the usual score bounds.  The lists with the largest bounds, those w
 no vector could reach the k-th best score so far, are essential and are traversed for all
 vectors; the others are probed, larger bounds first, only for vectors that can still compete.
 
-Shards of vectors meet blocks of queries in cells; the best of each cell are merged by query.
+Shards of vectors meet blocks of queries in cells, a task each; the best of each cell are merged by query.
+
+Scores are exact whatever the size of components.  Where doubles could round, vectors are scaled by powers
+of two, the search keeps all that come within its rounding error of the k-th best, and these are
+scored again with whole numbers.  A score outside 64 bits is shown as the nearest 64-bit number and
+still ranks by its true value.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows
-with a null id.  Equal scores go to the smaller id.  A row with the query's own id is never a
-candidate; other repeated rows are.  Queries of one id are one query; where their vectors differ,
-the least by components is asked.  Vectors of another width than the query's are no
+with a null id.  Equal scores go to the smaller id.  Every row of ``queries`` is asked for itself, repeated
+ones too, so such an id has as many rows of each rank.  A query's own row in ``vectors`` is no candidate; other
+rows of its id are.  The own row of a query that is not taken from ``vectors`` is the first unused
+one of equal id and vector, if there is one.  Vectors of another width than the query's are no
 candidates.  Further columns are left out.  An empty table gives an empty result.
 """
 
@@ -28,106 +34,169 @@ from pyspark.sql import functions as F
 from .frames import modest_batches, settle
 from .vectors import by_width
 
-SHARD, QUERIES_AT_ONCE, PROBES = 4096, 2048, 8
+SHARD, QUERIES_AT_ONCE, PROBES = 4096, 1024, 8
+#: Up to this size a component may be an exact double in scores that doubles hold exactly.
+SMALL = 2.0**20
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest scores, smaller ids first among equals."""
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
+    """Places of the k greatest scores, smaller ids first among equals; with ``slack`` all within it of the k-th."""
     if len(scores) > k:
-        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - slack)
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    at = at[np.lexsort((ids[at], -scores[at]))]
+    return at if slack else at[:k]
+
 
+def search(query: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, sample: int = 256, able: np.ndarray | None = None, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, scores)`` of the k best of a shard, of those that are ``able``; ``lists`` has a row for each component.
 
-def search(query: np.ndarray, lists: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, sample: int = 256, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, scores)`` of the k best of a shard but those of one id; ``lists`` has a row for each component."""
+    With ``slack``, which must be twice the error of a score or more, all that come within it of the k-th.
+    """
     a, b = query * low, query * high
     least, bound = np.minimum(a, b), np.abs(b - a)
     order = np.argsort(-bound, kind="stable")
     after = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what the lists from here on can add
     base = least.sum()
-    able = np.full(len(ids), True) if but is None else ids != but
+    if able is None:
+        able = np.full(len(ids), True)
     first = np.flatnonzero(able[:sample])
     scores = (query @ lists[:, :sample])[first]
-    found = best_of(scores, ids[first], k)
-    top_ids, top = ids[first[found]], scores[found]
+    found = best_of(scores, ids[first], k, slack)
+    top_at, top = first[found], scores[found]
     if lists.shape[1] <= sample:
-        return top_ids, top
+        return top_at, top
     rest = np.arange(sample, lists.shape[1])
-    floor = top[-1] if len(top) == k else -np.inf
+    floor = top[k - 1] - slack if len(top) >= k else -np.inf
     essential = max(1, int(np.argmax(base + after < floor))) if (base + after < floor).any() else len(order)
     partial = (query[order[:essential]] @ lists[order[:essential], sample:]) - least[order[:essential]].sum()
     rest, partial = rest[able[sample:]], partial[able[sample:]]
     done = essential
     while True:
-        able = base + partial + after[done] >= floor
-        rest, partial = rest[able], partial[able]
+        still = base + partial + after[done] >= floor
+        rest, partial = rest[still], partial[still]
         if done == len(order) or not len(rest):
             break
         some = order[done : done + PROBES]
         partial = partial + query[some] @ lists[np.ix_(some, rest)] - least[some].sum()
         done += len(some)
     scores = np.concatenate((top, base + partial))
-    every = np.concatenate((top_ids, ids[rest]))
-    found = best_of(scores, every, k)
+    every = np.concatenate((top_at, rest))
+    found = best_of(scores, ids[every], k, slack)
     return every[found], scores[found]
 
 
-def _blocks(rows: DataFrame, rows_each: int, name: str) -> tuple[DataFrame, int]:
-    """Packed blocks ``(name, width, ids, values)`` of about ``rows_each`` vectors, and the number of block names.
+def whole_numbers(values: np.ndarray, scale: float) -> list[int]:
+    """``floor(scale * x)`` of each value, exactly; ``scale`` is a power of two."""
+    up, down = float(scale).as_integer_ratio()
+    return [n * up // (d * down) for n, d in (float(x).as_integer_ratio() for x in values)]
+
+
+def search_exactly(query: np.ndarray, lists: np.ndarray, ids: np.ndarray, k: int, scale: float, able: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The same for vectors before ``floor`` that need not give exact doubles."""
+    parts, sizes = [query[:, None], lists], []
+    for i, x in enumerate(parts):
+        with np.errstate(over="ignore"):
+            x = np.where(np.abs(x) < 2.0**52 / scale, np.floor(x * scale) / scale, x)
+        _, exponent = np.frexp(np.abs(x).max())
+        parts[i] = np.ldexp(x, -exponent)  # below one
+        sizes.append(np.abs(parts[i]).sum(0).max())
+    near, own = parts[1], parts[0][:, 0]
+    slack = 2.0**-40 * (sizes[0] + sizes[1])
+    at, _ = search(own, near, near.min(1), near.max(1), ids, k, able=able, slack=slack)
+    asked = whole_numbers(query, scale)
+    scores = [sum(a * b for a, b in zip(asked, whole_numbers(lists[:, i], scale), strict=True)) for i in at.tolist()]
+    order = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
+    return at[order], [scores[i] for i in order]
+
+
+def ordered_bytes(n: int) -> bytes:
+    """Bytes of a whole number that sort as numbers do."""
+    size = (abs(n).bit_length() + 7) // 8
+    return (0x8000 + size).to_bytes(2) + n.to_bytes(size) if n >= 0 else (0x8000 - size).to_bytes(2) + ((1 << 8 * size) + n).to_bytes(size)
+
+
+def _blocks(rows: DataFrame, rows_each: int, name: str, scale: float) -> tuple[DataFrame, int]:
+    """Packed blocks ``(name, width, big, ids, rows, places, values)`` of about ``rows_each`` vectors, and the number of block names.
 
     ``rows`` are a checkpoint, whose order is fixed, so that a row's place can deal it to a block
-    however often its id or vector is repeated.
+    however often its id or vector is repeated.  Longer vectors come first in a block, since they tend to have the
+    greater scores.
     """
     n = max(1, -(-rows.count() // rows_each))
+    numbers = ("id", "row", "place")
 
     def pack(table: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        column = table["vector"].combine_chunks()
-        ids = table["id"].to_numpy()
-        for own, values in by_width(column):
-            for column_, value in zip(out, (table["at"][0].as_py(), values.shape[1], ids[own].astype("<i8").tobytes(), values.T.astype("<f8").tobytes()), strict=True):
-                column_.append(value)
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["at", "width", "ids", "values"])
-
-    at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("at")
-    packed = rows.select(at, "id", "vector").groupBy("at").applyInArrow(pack, "at int, width int, ids binary, values binary")
-    return packed.select(F.col("at").alias(name), "width", F.col("ids").alias(f"{name}_ids"), F.col("values").alias(f"{name}_values")), n
+        out: list[list] = [[] for _ in range(7)]
+        known = [table[c].to_numpy() for c in numbers]
+        for own, values in by_width(table["vector"].combine_chunks()):
+            with np.errstate(over="ignore"):
+                size = np.abs(values).max(1)
+                large = size * scale * np.sqrt(values.shape[1] / 4096) > SMALL
+                order = np.argsort(-((values / np.maximum(size.max(), 1e-300)) ** 2).sum(1), kind="stable")
+            for big in (False, True):
+                some = order[large[order] == big]
+                if len(some):
+                    part = values[some].T if big else np.floor(scale * values[some].T)
+                    packed = (table["at"][0].as_py(), values.shape[1], big, *(x[own[some]].astype("<i8").tobytes() for x in known), part.astype("<f8").tobytes())
+                    for column, value in zip(out, packed, strict=True):
+                        column.append(value)
+        kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["at", "width", "big", "ids", "rows", "places", "values"])
+
+    at = F.pmod(F.xxhash64("place"), F.lit(n)).cast("int").alias("at")
+    packed = rows.select(at, *numbers, "vector").groupBy("at").applyInArrow(pack, "at int, width int, big boolean, ids binary, rows binary, places binary, values binary")
+    return packed.select(F.col("at").alias(name), "width", *(F.col(c).alias(f"{name}_{c}") for c in ("big", "ids", "rows", "places", "values"))), n
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """``(query_id, rank, id, score)``; components are ``floor(scale * x)`` and scores integers."""
+    """``(query_id, rank, id, score)``; components are ``floor(scale * x)`` for a power of two, and scores integers."""
+    if np.frexp(scale)[0] != 0.5:
+        raise ValueError("the scale must be a power of two")
     modest_batches(vectors.sparkSession)
 
     def whole(df: DataFrame) -> DataFrame:
         number = F.col(f"`{vector_col}`")
-        values = F.transform(number, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
         finite = F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        return df.where(F.col(id_col).isNotNull() & number.isNotNull() & (F.size(number) > 0) & finite).select(F.col(id_col).cast("bigint").alias("id"), values.alias("vector"))
-
-    shards, _ = _blocks(settle(whole(vectors)), SHARD, "shard")
-    once = whole(queries).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked, n = _blocks(settle(once), QUERIES_AT_ONCE, "asked")
+        fine = df.where(F.col(id_col).isNotNull() & number.isNotNull() & (F.size(number) > 0) & finite)
+        return settle(fine.select(F.col(id_col).cast("bigint").alias("id"), F.transform(number, lambda x: x.cast("double")).alias("vector")))
+
+    every = whole(vectors).withColumn("place", F.monotonically_increasing_id())
+    asked = whole(queries).withColumn("place", F.monotonically_increasing_id())
+    # the n-th query of an id and vector is the n-th row that has them
+    key, nth = F.xxhash64("vector").alias("key"), F.row_number().over(Window.partitionBy("id", "key").orderBy("place")).alias("nth")
+    rows = every.join(asked.select("id").distinct(), "id", "left_semi").select("id", key, "place").select("id", "key", nth, F.col("place").alias("row"))
+    asked = settle(asked.select("id", "vector", "place", key).select("*", nth).join(rows, ["id", "key", "nth"], "left").select("id", "vector", "place", F.coalesce("row", F.lit(-1)).alias("row")))
+    shards, n_shards = _blocks(every.withColumn("row", F.col("place")), SHARD, "shard", scale)
+    questions, n = _blocks(asked, QUERIES_AT_ONCE, "asked", scale)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                get = lambda c, kind, row=row, batch=batch: np.frombuffer(batch.column(c)[row].as_buffer(), kind)
-                width = batch.column("width")[row].as_py()
-                ids, lists = get("shard_ids", "<i8"), get("shard_values", "<f8").reshape(width, -1)
+                get = lambda c, kind="<i8", row=row, batch=batch: np.frombuffer(batch.column(c)[row].as_buffer(), kind)
+                width, big = batch.column("width")[row].as_py(), [batch.column(c)[row].as_py() for c in ("shard_big", "asked_big")]
+                ids, places, lists = get("shard_ids"), get("shard_rows"), get("shard_values", "<f8").reshape(width, -1)
+                asked = np.ascontiguousarray(get("asked_values", "<f8").reshape(width, -1).T)
+                if any(big):  # a side that has its floor comes back to the other's scale, which is exact
+                    lists, asked = (x if own else x / scale for x, own in zip((lists, asked), big, strict=True))
                 low, high = lists.min(1), lists.max(1)
-                if np.abs(lists).max() * np.abs(questions := get("asked_values", "<f8").reshape(width, -1)).max() * width >= 2.0**53:
-                    raise ValueError("scores leave the range in which doubles are exact integers")
-                out: list[list] = [[], [], []]
-                for own, query in zip(get("asked_ids", "<i8").tolist(), np.ascontiguousarray(questions.T), strict=True):
-                    found, scores = search(query, lists, low, high, ids, k, but=own)
-                    out[0].append(np.full(len(found), own))
-                    out[1].append(found)
-                    out[2].append(scores.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "id", "score"])
-
-    cells = shards.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, ["asked", "width"])
-    best = cells.mapInArrow(run, "query_id bigint, id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+                out: list[list] = [[] for _ in range(5)]
+                for own, at, place, query in zip(get("asked_ids").tolist(), get("asked_rows").tolist(), get("asked_places").tolist(), asked, strict=True):
+                    able, beyond = places != at, None
+                    if any(big):
+                        found, exact = search_exactly(query, lists, ids, k, scale, able)
+                        scores = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], np.int64)
+                        beyond = [ordered_bytes(s) if abs(s) >> 62 else None for s in exact]
+                    else:
+                        found, scores = search(query, lists, low, high, ids, k, able=able)
+                    for column, value in zip(out, (np.full(len(found), own), np.full(len(found), place), ids[found], scores.astype(np.int64)), strict=False):
+                        column.append(value)
+                    out[4] += beyond or [None] * len(found)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:4]), pa.array(out[4], pa.binary())], ["query_id", "query", "id", "score", "beyond"])
+
+    # a cell is much work in one row, so each gets a task where there are not too many
+    cells = shards.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(questions, ["asked", "width"]).repartition(min(n_shards * n, 1 << 14))
+    best = cells.mapInArrow(run, "query_id bigint, query bigint, id bigint, score bigint, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
