@@ -80,7 +80,7 @@ def components_by_force(sets, ids, percent=80):
     return [min(least[top(i)], default=None) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [2, 1024])
+@pytest.mark.parametrize("block", [1, 2, 3, 1024])
 def test_minhash_against_force(spark, block):
     texts = variants(1)
     sets = [shingle_set(t, 4) for t in texts]

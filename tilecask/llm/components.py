@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,19 @@ from .frames import HEAVY, settle, spread_join
 FEW = 8
 
 
+def reached(near: np.ndarray, tile: int = 256) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first row of its component."""
+    n = len(near)
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        for at in range(0, n, tile):
+            root[at : at + tile] = np.minimum(root[at : at + tile], np.where(near[at : at + tile], root, n).min(1))
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def _star(both: DataFrame, larger: bool, many: int) -> DataFrame:
     """Tie each node's larger (or smaller) neighbours to the least node about it.
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
-from .frames import modest_batches, settle
+from .components import connected, reached
+from .frames import heavy_keys, modest_batches, settle, spread_join
 from .shingles import mix
 from .vectors import by_width
 
@@ -101,15 +101,7 @@ def linked(unit: np.ndarray, tables: np.ndarray, table: int, n: np.ndarray, side
         for t in range(table):
             first &= tables[own, t, None] != tables[None, :, t]
         links[own] = first @ n
-    root = np.arange(rows)
-    while True:
-        before = root.copy()
-        for at in range(0, rows, TILE):
-            reached = np.where(near[at : at + TILE], root, rows).min(1)
-            root[at : at + TILE] = np.minimum(root[at : at + TILE], reached)
-        root = root[root]
-        if (root == before).all():
-            return links, near.any(1), root
+    return links, near.any(1), reached(near, TILE)
 
 
 def _compared(cells: DataFrame, cosine: float) -> DataFrame:
@@ -154,8 +146,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     hashed = _hashed(rows)
     classes = settle(hashed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("vector").alias("vector"), F.first("buckets").alias("buckets")))
     entries = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    met = settle(entries.join(shared, "bucket").select("bucket", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
+    shared = settle(entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+    met = settle(spread_join(entries, shared, ["bucket"], heavy_keys(shared, ["bucket"], "c"), ["key"]).select("bucket", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
     cells = met.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -164,7 +156,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected(compared.select("key", "least"), "key", "least")
     known = classes.select("key", "n", "id").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    known = known.join(known.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
-    out = hashed.select("id", "key").join(known, "key", "left")
+    first = settle(known.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m")))
+    known = spread_join(known, first.drop("m"), ["root"], heavy_keys(first, ["root"], "m"), ["key"])
+    known = known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
+    out = spread_join(hashed.select("id", "key"), known, ["key"], heavy_keys(classes, ["key"], "n"), ["id"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

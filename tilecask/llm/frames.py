@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +75,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataF
     which bounds what is broadcast.  ``how`` is inner, left or left_semi.
     """
     marked = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    dealt = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    absent = reduce(or_, (F.col(k).isNull() for k in keys))  # meets nothing, wherever it is dealt to
+    dealt = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_heavy") | absent, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
     places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(marked, keys, "left").withColumn("_salt", F.explode(places)).drop("_heavy")
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")

@@ -5,13 +5,17 @@ maximum, so a signature of 96 values takes 48 hash evaluations a shingle.  Bands
 four values make 24 buckets a document; at a similarity of 0.8 a pair shares none of
 them with a probability of (1 - 0.8**4)**24 = 3e-6.
 
-Documents with equal shingle sets form one class and go on as one row.  Classes that share
-a bucket, directly or by way of others, form a cluster; every link lies within one.  A
-cluster's sets are brought together once, in blocks of ``BLOCK`` classes where there are
-more, and each two blocks are compared in a task: signatures estimate the similarity of
+Documents with equal shingle sets form one class and go on as one row.  Classes of a bucket
+are compared by signature, ``TILE`` by ``TILE``; those whose estimate is not too far below the threshold form a
+cluster, directly or by way of others, and every link lies within one.  Sharing a bucket alone does not
+join clusters, so passages that many documents have do not make them grow.
+
+A cluster's sets are brought together in cells of ``BLOCK`` classes or ``CELL_BYTES``.  Where there are
+more, each class is first held against its cluster's pivot; those linked to it are one component already, and
+only the rest is compared with all, block by block.  Within a cell signatures estimate the similarity of
 every pair, and pairs whose estimate is not too far below the threshold are confirmed on their full
 sets, the likeliest first, unless their classes are in one component already.  What comes out
-are the links that join components, at most one for each class and task.
+are the links that join components, at most one for each class and cell.
 
 Null or empty texts have an empty set and no link.  Rows with a null id keep a null
 component unless they are linked.  Repeated rows are copies.  Further columns are left
@@ -21,18 +25,20 @@ out.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
-from .frames import modest_batches, pieces_of, settle, utf8
+from .components import connected, reached
+from .frames import heavy_keys, modest_batches, pieces_of, settle, spread_join, utf8
 from .shingles import mix, shingle_sets
 
 PERMUTATIONS, BAND, BLOCK = 48, 4, 1024
+#: Classes of a bucket that are compared by signature at once, and bytes of sets in a block.
+TILE, CELL_BYTES = 2048, 48 << 20
 _rng = np.random.default_rng(52)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -62,9 +68,9 @@ def resemblance(a: bytes | None, b: bytes | None) -> float:
     return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
-    """One bucket key for each band."""
-    bands = signature(shingles).reshape(-1, BAND)
+def buckets(values: np.ndarray) -> np.ndarray:
+    """One bucket key for each band of a signature."""
+    bands = values.reshape(-1, BAND)
     keys = np.arange(1, len(bands) + 1, dtype=np.uint64)
     for j in range(BAND):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, j])
@@ -76,41 +82,107 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """``(id, n, key, buckets)`` of every row of ``(id, text)``; no key for an empty set."""
+    """``(id, n, key, buckets, sign)`` of every row of ``(id, text)``; no key for an empty set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
-            n, keys, bands = [], [], []
+            n, keys, bands, signs = [], [], [], []
             for own in shingle_sets(utf8(batch.column("text")), width):
+                values = signature(own) if len(own) else None
                 n.append(len(own))
-                keys.append(set_key(own) if len(own) else None)
-                bands.append(buckets(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", "buckets"])
+                keys.append(None if values is None else set_key(own))
+                bands.append(None if values is None else buckets(values))
+                signs.append(None if values is None else values.astype("<u2").tobytes())
+            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "buckets", "sign"])
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, key binary, buckets array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, key binary, buckets array<bigint>, sign binary")
 
 
 def _sets(found: DataFrame, width: int) -> DataFrame:
-    """``(cluster, blocks, key, hashes)`` of rows with a text; hashes are packed 64-bit words in order."""
+    """The rows without their text and with the set's ``hashes``, packed 64-bit words in order."""
+    names = [c for c in found.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows of an id come to one task
         for batch in pieces_of(batches, "text", 1 << 20):
             own = list(shingle_sets(utf8(batch.column("text")), width))
-            same = [set_key(s) == k for s, k in zip(own, batch.column("key").to_pylist(), strict=True)]
+            same = [k not in seen and set_key(s) == k and not seen.add(k) for s, k in zip(own, batch.column("key").to_pylist(), strict=True)]
             hashes = pa.array([s.tobytes() for s in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("blocks"), batch.column("key"), hashes], ["cluster", "blocks", "key", "hashes"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hashes], [*names, "hashes"]).filter(pa.array(same, pa.bool_()))
+
+    return found.mapInArrow(run, f"{kinds}, hashes binary")
+
+
+def _least(percent: int, width: int) -> float:
+    """The share of equal values that a pair at the threshold falls below in three of a million cases: four and a half standard deviations."""
+    t = percent / 100
+    return t - 4.5 * (t * (1 - t) / width) ** 0.5
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal values of ``by``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        ids = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        at = 0
+        while at < len(ids):
+            end = at + 1
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            if held and ids[at] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last, at = ids[at], end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def resembling(signs: np.ndarray, sizes: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each row the first one that it reaches by pairs whose estimate is near enough; with ``side`` only pairs from both sides."""
+    least = _least(percent, signs.shape[1]) * signs.shape[1]
+    near = np.zeros((len(signs), len(signs)), bool)
+    for a in range(len(signs) - 1):
+        y = np.arange(a + 1, len(signs))
+        if side is not None:
+            y = y[side[y] != side[a]]
+        y = y[100 * np.minimum(sizes[y], sizes[a]) >= percent * np.maximum(sizes[y], sizes[a])]
+        y = y[(signs[y] == signs[a]).sum(1) >= least]
+        near[a, y] = near[y, a] = True
+    return reached(near)
+
+
+def _likely(cells: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` from whole cells of rows ``(grp, low, high, block, key, n, sign)``: ties between all keys that resemble each other."""
 
-    return found.mapInArrow(run, "cluster binary, blocks int, key binary, hashes binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], []]
+        for part in _whole_groups(batches, ["grp", "low", "high"]):
+            if part.num_rows < 2:
+                continue
+            keys = part["key"].to_pylist()
+            signs = np.frombuffer(b"".join(part["sign"].to_pylist()), "<u2").reshape(len(keys), -1)
+            side = part["block"].to_numpy() if part["low"][0].as_py() != part["high"][0].as_py() else None
+            root = resembling(signs, part["n"].to_numpy(), side, percent)
+            own = np.flatnonzero(root != np.arange(len(keys))).tolist()
+            out[0] += [keys[i] for i in own]
+            out[1] += [keys[root[i]] for i in own]
+            if len(out[0]) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
+                out = [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], ["a", "b"])
 
+    return cells.mapInArrow(run, "a binary, b binary")
 
-def likely_pairs(signs: np.ndarray, sizes: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (x, y) of rows with ``other[x] < other[y]`` whose estimate is near enough, likeliest first.
 
-    A pair at the threshold falls below four and a half standard deviations in three of a million cases.
-    """
-    t, width = percent / 100, signs.shape[1]
-    least = t - 4.5 * (t * (1 - t) / width) ** 0.5
+def likely_pairs(signs: np.ndarray, sizes: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (x, y) of rows with ``other[x] < other[y]`` whose estimate is near enough, likeliest first."""
+    width = signs.shape[1]
+    least = _least(percent, width)
     found = []
     for a in range(len(signs)):
         y = np.flatnonzero(other > other[a])
@@ -152,10 +224,9 @@ def joined(sets: list[np.ndarray], other: np.ndarray, percent: int) -> list[tupl
 
 
 def _links(cells: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` from whole cells of rows ``(cluster, low, high, block, key, hashes)`` in order."""
+    """``(a, b)`` from whole cells of rows ``(grp, low, high, block, key, hashes)``: links between sets."""
 
-    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        part = pa.Table.from_batches(held)
+    def solve(part: pa.Table) -> pa.RecordBatch:
         sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in part["hashes"]]
         block = part["block"].to_numpy()
         low, high = part["low"][0].as_py(), part["high"][0].as_py()
@@ -165,48 +236,80 @@ def _links(cells: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in links], pa.binary()), pa.array([keys[y] for _, y in links], pa.binary())], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            ids = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high")), strict=True))
-            at = 0
-            while at < len(ids):
-                end = at + 1
-                while end < len(ids) and ids[end] == ids[at]:
-                    end += 1
-                if held and ids[at] != last:
-                    yield solve(held)
-                    held = []
-                held.append(batch.slice(at, end - at))
-                last, at = ids[at], end
-        if held:
-            yield solve(held)
+        for part in _whole_groups(batches, ["grp", "low", "high"]):
+            yield solve(part)
 
     return cells.mapInArrow(run, "a binary, b binary")
 
 
+def _cells(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Cells ``(grp, low, high, block, names)``: each row of ``(grp, blocks, key, names)`` once for each block that its own meets."""
+    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
+    cells = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *names)
+    return _dealt(cells)
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+
+
+def _ties(rows: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ties ``(a, b)`` that join what ``compare`` finds within groups of more than one block, from ``(grp, pivot, blocks, names)``.
+
+    Each block meets the pivot first.  What is not tied to it meets all blocks; what is need not meet the
+    like of it, being joined already.
+    """
+    rows = settle(rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")))
+    whole = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = rows.where("key = pivot").select("grp", F.lit(-1).alias("low"), whole.alias("high"), F.lit(-1).alias("block"), *names)
+    others = rows.where("key != pivot").select("grp", F.lit(-1).alias("low"), F.col("block").alias("high"), "block", *names)
+    ties = settle(compare(_dealt(pivots.union(others))))
+    # a key may be in many groups, so what is tied is told by its pivot too
+    held = ties.select(F.col("a").alias("key"), F.col("b").alias("pivot")).union(ties.select("b", "a")).distinct().withColumn("held", F.lit(True))
+    rows = settle(rows.join(held, ["key", "pivot"], "left").withColumn("held", F.col("held").isNotNull() | (F.col("key") == F.col("pivot"))))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.when(F.col("held"), 0).otherwise(1)).alias("rest"), F.first("blocks").alias("b"))
+    sizes = settle(sizes)
+    parts = sizes.where("rest > 0").select("grp", F.ceil(F.col("rest") * F.col("b") / F.col("m")).cast("int").alias("parts"))
+    met = spread_join(rows, parts, ["grp"], heavy_keys(sizes, ["grp"], "m"), ["key"])
+    # the low side of a cell is a part of the rest, the high side another one or, counted on from there, a block of those held
+    rest = met.where("not held").withColumn("block", F.pmod(F.xxhash64("key", F.lit("rest")), "parts").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") + F.col("blocks") - 1)))
+    rest = rest.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *names)
+    own = met.where("held").withColumn("high", F.col("parts") + F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return ties.union(compare(_dealt(rest.union(own.select("grp", "low", "high", F.col("high").alias("block"), *names)))))
+
+
+def _compared(rows: DataFrame, bounds: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Ties within groups of one block and of more."""
+    ties = compare(_cells(rows.where("blocks = 1"), names))
+    return ties if bounds.where("blocks > 1").isEmpty() else ties.union(_ties(rows.where("blocks > 1"), names, compare))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row."""
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = settle(signed(docs, width))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets"))
-    entries = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
-    entries = settle(entries.join(shared, "bucket"))
-    met = entries.join(entries.groupBy("bucket").agg(F.min("key").alias("pivot")), "bucket").where("key != pivot").select("key", "pivot").distinct()
-    clusters = connected(met, "key", "pivot").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    wanted = clusters.join(blocks, "cluster").join(classes.select("key", "id"), "key")
-    sets = _sets(docs.join(wanted, "id").select("text", "key", "cluster", "blocks"), width)
-    own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
-    cells = sets.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "hashes")
-    cells = cells.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    roots = connected(_links(cells, percent), "a", "b")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "buckets", "sign")))
+    entries = classes.select("key", F.explode("buckets").alias("grp"))
+    shared = entries.groupBy("grp").agg(F.count("*").alias("m"), F.min("key").alias("pivot")).where("m > 1")
+    shared = settle(shared.withColumn("blocks", F.ceil(F.col("m") / min(block, TILE)).cast("int")))
+    met = spread_join(entries, shared.drop("m"), ["grp"], heavy_keys(shared, ["grp"], "m"), ["key"]).join(classes.select("key", "n", "sign"), "key")
+    likely = _compared(met, shared, ["key", "n", "sign"], lambda cells: _likely(cells, percent))
+
+    clusters = settle(connected(likely, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("grp")))
+    sized = clusters.join(classes.select("key", "id", "n"), "key")
+    bounds = sized.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"), F.min("key").alias("pivot"))
+    bounds = settle(bounds.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("hashes") * 8 / CELL_BYTES)).cast("int")))
+    wanted = spread_join(sized.select("key", "id", "grp"), bounds.select("grp", "pivot", "blocks"), ["grp"], heavy_keys(bounds, ["grp"], "m"), ["key"])
+    sets = _sets(docs.join(wanted, "id").select("text", "key", "grp", "pivot", "blocks"), width)
+    roots = connected(_compared(sets, bounds, ["key", "hashes"], lambda cells: _links(cells, percent)), "a", "b")
 
     least = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("key", "component_id")
-    out = rows.select("id", F.col("n").alias("n_shingles"), "key").join(least, "key", "left")
+    first = settle(least.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m")))
+    least = spread_join(least, first.drop("m"), ["root"], heavy_keys(first, ["root"], "m"), ["key"]).select("key", "component_id")
+    copies = heavy_keys(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("m")), ["key"], "m")
+    out = spread_join(rows.select("id", F.col("n").alias("n_shingles"), "key"), least, ["key"], copies, ["id"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

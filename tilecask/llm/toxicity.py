@@ -7,7 +7,8 @@ is fitted on ``FOLDS`` - 1 folds at a time and predicts the fold left out.
 
 Labelled rows are drawn for training by a hash of their id, about ``POSITIVE`` toxic and
 ``NEGATIVE`` other ones; all other work covers all rows.  The last category is the label
-itself; those before it are toxic rows that use words of one kind.
+itself; those before it are ``KINDS`` kinds of toxic rows, which are learned too: the toxic rows of the sample
+are clustered by the features that toxic rows have more often than others.
 
 A text without words, null and empty ones included, has probabilities of 0, as has every
 text if there are no labelled rows of both kinds.  A row labelled more than once is toxic if one label
@@ -35,11 +36,8 @@ LEAST = 4
 PENALTY, EPOCHS = ftrl.Penalty(alpha=0.3, beta=1.0, l1=2.0, l2=0.1), 3
 #: Bytes of a word's beginning that are features too, for inflected and compound words.
 HEADS = (4, 5, 6, 7, 8)
-#: Words that tell kinds of abuse apart among rows labelled toxic.
-KINDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "trash"),
-    "contempt": ("stupid", "pathetic", "disgusting", "worthless"),
-}
+#: Kinds of toxic rows that are categories of their own, and rounds of clustering.
+KINDS, ROUNDS = 2, 20
 #: Every ASCII byte that is no letter or digit parts words.
 PARTED = bytes(32 if b < 128 and not chr(b).isalnum() else LOWER[b] for b in range(256))
 
@@ -85,10 +83,36 @@ def train_chain(rows: list[np.ndarray], targets: np.ndarray, categories: list[st
     return Chain(categories, words, links, bias)
 
 
+def kinds_of(rows: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS, features: int = FEATURES, seed: int = 3) -> np.ndarray:
+    """A column for each kind: spherical clusters of the toxic rows on telling features, weighted by how much more often toxic rows have them."""
+    own = np.flatnonzero(toxic)
+    seen = [np.bincount(np.concatenate([rows[i] for i in some] or [np.zeros(0, np.int64)]), minlength=features) for some in (own, np.flatnonzero(~toxic))]
+    odds = np.log((seen[0] + 0.5) / (len(own) + 1)) - np.log((seen[1] + 0.5) / (len(rows) - len(own) + 1))
+    telling = np.flatnonzero((odds > 1) & (seen[0] >= LEAST))
+    slot = np.full(features, -1)
+    slot[telling] = np.arange(len(telling))
+    x = np.zeros((len(own), len(telling)))
+    for k, i in enumerate(own):
+        at = slot[rows[i]]
+        x[k, at[at >= 0]] = odds[telling][at[at >= 0]]
+    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+    rng = np.random.default_rng(seed)
+    centres = x[rng.integers(len(own), size=1)]
+    while len(centres) < kinds:  # the row that is least like those chosen is the next
+        centres = np.vstack((centres, x[(x @ centres.T).max(1).argmin()]))
+    for _ in range(ROUNDS):
+        of = (x @ centres.T).argmax(1)
+        centres = np.stack([x[of == k].sum(0) if (of == k).any() else centres[k] for k in range(kinds)])
+        centres /= np.maximum(np.sqrt((centres * centres).sum(1)), 1e-12)[:, None]
+    out = np.zeros((len(rows), kinds), bool)
+    out[own, of] = True
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """A chain for the labelled rows of ``docs``."""
     modest_batches(docs.sparkSession)
-    categories = [*KINDS, label_col]
+    categories = [*(f"kind_{k + 1}" for k in range(KINDS)), label_col]
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
@@ -107,10 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample.sort(key=lambda r: (r["id"], r["at"]))
     rows = [np.frombuffer(r["at"], "<u4").astype(np.int64) for r in sample]
     toxic = np.array([r["toxic"] == 1 for r in sample])
-    kinds = [set(np.concatenate(word_features([w.encode() for w in words])).tolist()) for words in KINDS.values()]
-    targets = np.stack([*(toxic & [not k.isdisjoint(at.tolist()) for at in rows] for k in kinds), toxic], axis=1).astype(float)
     seen = np.bincount(np.concatenate(rows), minlength=FEATURES)
-    return train_chain([at[seen[at] >= LEAST] for at in rows], targets, categories)
+    rows = [at[seen[at] >= LEAST] for at in rows]
+    return train_chain(rows, np.column_stack((kinds_of(rows, toxic), toxic)).astype(float), categories)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
