@@ -77,9 +77,17 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
+        self.spaced = {i: f" {t}".encode() for i, t in self.names.items()}
+        self.text_bytes = {i: self._text(t) for i, t in self.names.items()}
         self.lookahead = lookahead(self.merges)
         self.table = packed(self.merges)
 
+    def _text(self, name: str) -> bytes:
+        """The bytes that a token stands for; one that ends a word has a blank after it."""
+        ends = bool(self.suffix) and name.endswith(self.suffix)
+        stem = name.removesuffix(self.suffix) if ends else name
+        return bytes(self.bytes_of[c] for c in stem) + b" " * ends if all(c in self.bytes_of for c in stem) else name.encode()
+
 
 def packed(merges: dict[tuple[int, int], tuple[int, int]]) -> dict[int, int]:
     """Pairs of symbols and their ranks and outcomes as single numbers."""
@@ -206,29 +214,22 @@ class Transducer:
 
 
 class Decoder:
-    """Ids to text, a token at a time.
+    """Ids to text, as they come: each id gives bytes, and bytes give characters as soon as each is complete.
 
     Without a decoder in its file a tokenizer joins the vocabulary's own spellings by
-    spaces; with ``to_bytes`` the spellings are turned into bytes and those into
-    characters as soon as each is complete.
+    spaces; with ``to_bytes`` the spellings are turned into the bytes they stand for.
     """
 
     def __init__(self, vocabulary: Vocabulary, to_bytes: bool = False):
-        self.v, self.to_bytes, self.started = vocabulary, to_bytes, False
+        self.table = vocabulary.text_bytes if to_bytes else vocabulary.spaced
+        self.skip = 0 if to_bytes else 1  # nothing parts the first spelling from what is before it
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            name = self.v.names[i]
-            if not self.to_bytes:
-                out.append(f" {name}" if self.started else name)
-            else:
-                ends = bool(self.v.suffix) and name.endswith(self.v.suffix)
-                stem = name.removesuffix(self.v.suffix) if ends else name
-                out.append(self.state.decode(bytes(self.v.bytes_of[c] for c in stem) + b" " * ends))
-            self.started = True
-        return "".join(out)
+        data = b"".join(map(self.table.__getitem__, ids))
+        if self.skip and data:
+            data, self.skip = data[1:], 0
+        return self.state.decode(data)
 
     def finish(self) -> str:
         return self.state.decode(b"", final=True)
@@ -240,6 +241,10 @@ def _packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<u4").tolist()
+
+
 class Memo:
     """A bounded dictionary of two generations: what was not used for a whole generation is forgotten."""
 
@@ -270,17 +275,14 @@ class Codec:
     def __init__(self, path: str, memo: int = MEMO):
         self.v = Vocabulary(path)
         self.transducer = Transducer(self.v)
-        self.words, self.known, self.back = Memo(self._word, memo // 2), Memo(self._chunk, memo), Memo(self._decoded, memo)
+        self.words, self.known = Memo(self._word, memo // 2), Memo(self._chunk, memo)
 
     def chunks(self, text: str) -> list[str]:
         return [c for c in _BLANKS.split(text) if c] if _ODD.search(text) else text.split()
 
     def _word(self, word: str) -> bytes:
-        t, data = self.transducer, word.encode("utf-8", "replace")
-        if len(data) < t.limit:  # the first feed would hold all of it
-            t.held += data
-            return _packed_ids(t.finish())
-        return _packed_ids([*t.feed(data), *t.finish()])
+        t = self.transducer
+        return _packed_ids([*t.feed(word.encode("utf-8", "replace")), *t.finish()])
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -299,12 +301,6 @@ class Codec:
                 out += self.words.each(self.v.words.findall(part))
         return b"".join(out)
 
-    def _decoded(self, ids: bytes) -> bytes:
-        """The text of some ids, each token after a space."""
-        decoder = Decoder(self.v)
-        decoder.started = True
-        return decoder.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode()
-
     def encode(self, text: str) -> Iterator[list[bytes]]:
         """The ids of the text's chunks, four bytes each, part after part of a long text."""
         at = 0
@@ -314,13 +310,8 @@ class Codec:
             yield self.known.each(self.chunks(text[at:end]))
             at = end
 
-    def decode(self, ids: list[bytes]) -> bytes:
-        """What those ids decode to, with a space before each token."""
-        return b"".join(self.back.each(ids))
-
     def ids(self, text: str) -> list[int]:
-        data = b"".join(b"".join(some) for some in self.encode(text))
-        return list(struct.unpack(f"<{len(data) // 4}I", data))
+        return _unpacked(b"".join(b"".join(some) for some in self.encode(text)))
 
 
 _codecs: dict[str, Codec] = {}
@@ -343,10 +334,13 @@ def encode_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in pieces_of(batches, "text", keep=_codecs):
             ids, texts = [], []
             for text in batch.column("text").to_pylist():
-                parts = [x for some in own.encode(text or "") for x in some]
-                data = b"".join(parts)
-                ids.append(struct.unpack(f"<{len(data) // 4}I", data))
-                texts.append(own.decode(parts)[1:].decode())
+                decoder, found, back = Decoder(own.v), [], []
+                for some in own.encode(text or ""):
+                    part = _unpacked(b"".join(some))
+                    found += part
+                    back.append(decoder.feed(part))
+                ids.append(found)
+                texts.append("".join([*back, decoder.finish()]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["id", "ids", "decoded"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {key.simpleString()}, ids array<bigint>, decoded string")
@@ -362,12 +356,13 @@ def digest_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in pieces_of(batches, "text", keep=_codecs):
             n, a, b = [], [], []
             for text in batch.column("text").to_pylist():
-                count, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+                count, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(own.v)
                 for some in own.encode(text or ""):
-                    data, back = b"".join(some), own.decode(some)
+                    data = b"".join(some)
                     ids.update(data)
-                    decoded.update(back if count else back[1:])
+                    decoded.update(decoder.feed(_unpacked(data)).encode())
                     count += len(data) // 4
+                decoded.update(decoder.finish().encode())
                 n.append(count)
                 a.append(ids.hexdigest())
                 b.append(decoded.hexdigest())
