@@ -168,15 +168,17 @@ def test_suffixes_against_force(spark, length):
     assert as_rows(suffixes.digest_table(table(spark, texts), length)) == want
 
 
-def test_suffixes_of_a_hot_anchor(spark, monkeypatch):
-    """Anchors with more surroundings than a task may hold are counted by windows."""
+@pytest.mark.parametrize("group", [1, 3, 8, 1000])
+def test_suffixes_of_a_hot_anchor(spark, group):
+    """Anchors with more surroundings than a task may hold are split, down to single windows."""
     r = random.Random(6)
-    passage = words(r, 40)
+    passage, other = words(r, 40), words(r, 25)
     texts = [f"{words(r, 30, 9999)} {passage} {words(r, 30, 9999)}" for _ in range(12)]
-    found = suffixes.repeated_spans(table(spark, texts).select("doc_id", "text"), 100, group=2).collect()
+    texts += [f"{words(r, 30, 9999)} {other[k % 5 :]} {words(r, 30, 9999)}" for k in range(9)] + texts[:2] + [words(r, 70, 9999)] * 3
+    found = suffixes.repeated_spans(table(spark, texts).select("doc_id", "text"), 100, group=group).collect()
     want = repeats_by_force(texts, 100)
     for row in found:
-        removed = suffixes.merged(row["spans"], row["copies"], len(row["text"].encode()), 100)
+        removed = suffixes.merged(row["spans"])
         assert (sum(b - a for a, b in removed), len(removed)) == want[row["doc_id"]][1:3]
 
 

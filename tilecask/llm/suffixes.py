@@ -5,15 +5,18 @@ The strings that have to be compared are first brought together.  In every windo
 windows hold the same anchor at the same place.  Anchors that occur once are dropped; each
 other one stands for a piece of text, its surroundings, which holds every window that can
 be anchored there.  Equal pieces are counted before anything is moved, so thousands of
-copies of a passage arrive as one piece.
+copies of a passage arrive as one piece with a count.
 
 Pieces that share an anchor are then held against each other by a suffix array, built
 in two stages: suffixes smaller than their successors are sorted directly, the others are
 induced from these by scanning the buckets of first bytes in order.  Adjacent entries
-whose common prefix reaches ``length`` are equal windows.
+whose common prefix reaches ``length`` are equal windows; they are repeated if their pieces' counts
+make two.
 
-An anchor with more than ``GROUP`` different surroundings has its windows counted one by
-one by digest instead, which spreads them over all tasks.
+An anchor with more than ``GROUP`` different surroundings is split: windows that start in the same
+``STEP`` places about the anchor have all but a few bytes in common, so they can only be equal if these are, and
+each such core makes a group of its own that is sorted like others.  Of a core with more than ``GROUP`` different
+surroundings of a few bytes, single windows are counted by digest.
 
 Null texts count as empty; texts shorter than ``length`` lose nothing; repeated rows repeat
 each other's strings; further columns of any name stay as they are; an empty table gives an
@@ -30,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import modest_batches, pieces_of, stored, utf8
+from .frames import heavy_keys, modest_batches, pieces_of, spread_join, stored, utf8
 from .shingles import mix
 
 GRAM = 32
 GROUP = 32768
+STEP = 8
 SEGMENT = 1 << 20
 #: Window starts that are sorted at once.
 AT_ONCE = 400_000
@@ -174,8 +178,8 @@ def _common_words(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     return same
 
 
-def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece the first and last window that another piece of its group holds too.
+def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: int, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the first and last window that occurs twice in its group, whose pieces occur ``n`` times.
 
     Windows are counted from the earliest that can hold the anchor, which lies ``left`` bytes
     into its piece; a high below the low where there is none.
@@ -188,7 +192,7 @@ def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: in
         first = np.maximum(0, left - reach + r)
         last = np.minimum(np.minimum(left - reach + r + block - 1, left), sizes - length)
         own = np.flatnonzero(first <= last)
-        if len(own) < 2:
+        if not len(own):
             continue
         parts = [pieces[i][first[i] : last[i] + length] for i in own.tolist()]
         text = np.frombuffer(b"".join([*parts, bytes(length + 8)]), np.uint8)
@@ -204,8 +208,8 @@ def repeats(group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: in
         window = within[at] + first[piece] - left[piece] + reach
         _, label = np.unique(group, return_inverse=True)
         key = (run * (label.max() + 1) + label[piece]) * (reach + 1) + window
-        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-        twice = n[inverse] > 1
+        _, inverse, found = np.unique(key, return_inverse=True, return_counts=True)
+        twice = (found if n is None else np.bincount(inverse, n[piece]))[inverse] > 1
         np.minimum.at(low, piece[twice], window[twice])
         np.maximum.at(high, piece[twice], window[twice])
     return low, high
@@ -241,33 +245,81 @@ def _anchor_counts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "anchor bigint")
 
 
+#: A piece to be sorted: its group, what it is a part of and from which byte on, how often it occurs, where the anchor lies in it.
+_PIECE = "grp bigint, anchor bigint, piece binary, base bigint, n bigint, left bigint, bytes binary"
+_PIECE_NAMES = ["grp", "anchor", "piece", "base", "n", "left", "bytes"]
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """One row of each ``(tid, text)`` of a task, so that not all copies of a text have to meet."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = [t not in seen and not seen.add(t) for t in batch.column("tid").to_pylist()]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return texts.mapInArrow(run, "tid binary, text string")
+
+
 def _cut(found: DataFrame, text_col: str, length: int) -> DataFrame:
-    """``(anchor, piece, left, bytes)`` from rows of a text with the list of anchors wanted of it."""
+    """The pieces of rows of a text with the list of anchors wanted of it, each grouped by its anchor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # copies of a text come to one task
         for batch in pieces_of(batches, text_col, 1 << 20):
-            out: list[list] = [[], [], [], []]
-            for data, wanted in zip(utf8(batch.column(text_col)), batch.column("wanted").to_pylist(), strict=True):
+            out: list[list] = [[] for _ in _PIECE_NAMES]
+            for tid, data, wanted in zip(batch.column("tid").to_pylist(), utf8(batch.column(text_col)), batch.column("wanted").to_pylist(), strict=True):
+                wanted = () if tid in done else wanted
+                done.add(tid)
                 for w in wanted:
                     piece = data[w["first"] : w["first"] + w["windows"] - 1 + length]
-                    for column, value in zip(out, (w["anchor"], w["piece"], w["left"], piece), strict=True):
+                    for column, value in zip(out, (w["anchor"], w["anchor"], w["piece"], 0, w["n"], w["left"], piece), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "piece", "left", "bytes"])
+            yield _piece_batch(out)
 
-    return found.mapInArrow(run, "anchor bigint, piece binary, left bigint, bytes binary")
+    return found.mapInArrow(run, _PIECE)
+
+
+def _piece_batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _PIECE_NAMES)
+
+
+def _split(pieces: DataFrame, length: int) -> DataFrame:
+    """Pieces cut to the windows of each ``STEP`` places about the anchor, grouped by what these have in common."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = length - GRAM
+        for batch in pieces_of(batches, "bytes", 1 << 18):
+            out: list[list] = [[] for _ in _PIECE_NAMES]
+            for row in batch.drop_columns(["grp", "base"]).to_pylist():
+                data, left = row["bytes"], row["left"]
+                origin = left - reach  # where the earliest window that can hold the anchor would start
+                for block in range(max(0, -origin) // STEP, (len(data) - length - origin) // STEP + 1):
+                    low = max(0, origin + block * STEP)
+                    high = min(len(data) - length, origin + (block + 1) * STEP - 1)
+                    core = data[origin + (block + 1) * STEP - 1 : origin + block * STEP + length]
+                    group = hashlib.blake2b(core, digest_size=8, salt=row["anchor"].to_bytes(8, "little", signed=True), person=block.to_bytes(8, "little")).digest()
+                    if low <= high:
+                        for column, value in zip(out, (int.from_bytes(group, "little", signed=True), row["anchor"], row["piece"], low, row["n"], left - low, data[low : high + length]), strict=True):
+                            column.append(value)
+            yield _piece_batch(out)
+
+    return pieces.mapInArrow(run, _PIECE)
 
 
 def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """``(anchor, piece, low, high)`` of pieces with a window that another of their anchor has: the first and last such from the piece's own first."""
+    """``(anchor, piece, low, high)`` of pieces with a repeated window: the first and last such from the whole piece's own first."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
-        keys, anchor = t["piece"].to_pylist(), t["anchor"].to_numpy()
-        once = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1] or anchor[i] != anchor[i - 1]]  # equal texts bring equal pieces
+        same = list(zip(*(t[c].to_pylist() for c in ("grp", "piece", "base")), strict=True))
+        once = [i for i in range(len(same)) if not i or same[i] != same[i - 1]]  # equal texts bring equal pieces
         t = t.take(pa.array(once)).combine_chunks()
         left = t["left"].to_numpy()
-        low, high = repeats(t["anchor"].to_numpy(), left, t["bytes"].to_pylist(), length)
-        shift = left - (length - GRAM)
+        low, high = repeats(t["grp"].to_numpy(), left, t["bytes"].to_pylist(), length, t["n"].to_numpy())
+        shift = left - (length - GRAM) + t["base"].to_numpy()
         out = [t["anchor"].combine_chunks(), t["piece"].combine_chunks(), pa.array(low + shift), pa.array(high + shift)]
         return pa.RecordBatch.from_arrays(out, ["anchor", "piece", "low", "high"]).filter(pa.array(high >= low))
 
@@ -277,9 +329,9 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column("anchor").to_numpy()
-            cuts = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-            if held and anchor[0] != held[-1].column("anchor")[-1].as_py():
+            group = batch.column("grp").to_numpy()
+            cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+            if held and group[0] != held[-1].column("grp")[-1].as_py():
                 cuts = np.append(0, cuts)
             done = 0
             for c in cuts.tolist():  # a group ends here
@@ -294,65 +346,73 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor", "piece").mapInArrow(run, "anchor bigint, piece binary, low bigint, high bigint")
+    return pieces.repartition(F.col("grp")).sortWithinPartitions("grp", "piece", "base").mapInArrow(run, "anchor bigint, piece binary, low bigint, high bigint")
 
 
 def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """The same by digests of single windows."""
+    """The same by digests of single windows, counted before they meet."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "bytes", 1 << 16):
             rows, windows, keys = [], [], []
-            for i, (left, data) in enumerate(zip(batch.column("left").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+            for i, (left, base, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left", "base", "bytes")), strict=True)):
                 for s in range(len(data) - length + 1):
                     rows.append(i)
-                    windows.append(s)
+                    windows.append(base + s)
                     keys.append(hashlib.blake2b(data[s : s + length], digest_size=16, salt=(left - s).to_bytes(8, "little", signed=True)).digest())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(at), batch.column("piece").take(at), pa.array(windows, pa.int64()), pa.array(keys, pa.binary())], ["anchor", "piece", "window", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("anchor", "piece", "n")), pa.array(windows, pa.int64()), pa.array(keys, pa.binary())], ["anchor", "piece", "n", "window", "key"])
 
-    every = pieces.dropDuplicates(["anchor", "piece"]).mapInArrow(run, "anchor bigint, piece binary, window bigint, key binary")
-    twice = every.groupBy("anchor", "key").count().where("count > 1").drop("count")
-    return every.join(twice, ["anchor", "key"]).groupBy("anchor", "piece").agg(F.min("window").alias("low"), F.max("window").alias("high"))
+    every = stored(pieces.dropDuplicates(["grp", "piece", "base"]).mapInArrow(run, "anchor bigint, piece binary, n bigint, window bigint, key binary"))
+    counts = stored(every.groupBy("anchor", "key").agg(F.sum("n").alias("n")))
+    found = spread_join(every.drop("n"), counts.where("n > 1").drop("n"), ["anchor", "key"], heavy_keys(counts, ["anchor", "key"], "n"), ["piece", "window"])
+    return found.select("anchor", "piece", F.col("window").alias("low"), F.col("window").alias("high"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """The rows with ``copies`` and ``spans``: where each text holds strings that start elsewhere too.
+    """The rows with ``spans``: where each text holds strings that start elsewhere too.
 
-    Only the names ``tid``, ``copies`` and ``spans`` may not be taken.  ``spans`` are pairs ``(low, high)``
-    that may overlap; null for none.  ``copies`` tells that another row has the very text.
+    Only the names ``tid`` and ``spans`` may not be taken.  ``spans`` are pairs ``(low, high)``
+    that may overlap; null for none.
     """
     modest_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("tid", F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b"")))
     texts = rows.select("tid", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
 
-    known = _anchor_counts(texts, length).groupBy("anchor").count().where("count > 1").select("anchor")
-    places = stored(_anchor_table(texts, length).join(known, "anchor", "left_semi"))
-    kinds = places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where"))
-    kinds = stored(kinds)
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("n")).where("kinds > 1 and n = 1").select("anchor", "kinds")
-    hot = many.where(F.col("kinds") > group)
-    wanted = kinds.drop("n").join(many, "anchor").select("where.tid", F.struct("anchor", "piece", "where.first", "where.left", "where.windows").alias("w"))
-    wanted = wanted.groupBy("tid").agg(F.collect_list("w").alias("wanted"))
-    pieces = _cut(rows.join(wanted, "tid"), text_col, length)
-    if hot.isEmpty():
-        met = _sorted_groups(pieces, length)
-    else:
-        met = _sorted_groups(pieces.join(hot, "anchor", "left_anti"), length).union(_counted_windows(pieces.join(hot, "anchor", "left_semi"), length))
-    whole = kinds.where("n > 1").select("anchor", "piece", F.lit(0).cast("bigint").alias("low"), F.col("where.windows").cast("bigint").alias("high"))
-    met = met.join(whole.select("anchor", "piece"), ["anchor", "piece"], "left_anti").union(whole.withColumn("high", F.col("high") - 1))
-    spans = places.join(met, ["anchor", "piece"]).select("tid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high"))
+    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1"))
+    frequent = heavy_keys(known, ["anchor"], "count")
+    places = stored(spread_join(_anchor_table(texts, length), known.select("anchor"), ["anchor"], frequent, ["tid", "first"], "left_semi"))
+    kinds = stored(places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where")))
+    wanted = kinds.groupBy("where.tid").agg(F.collect_list(F.struct("anchor", "piece", "n", "where.first", "where.left", "where.windows")).alias("wanted"))
+    pieces = _cut(_once(texts).join(wanted, "tid"), "text", length)
+    met = None
+    # anchors, and then cores, of too many surroundings are split further; a group that is alone needs no care
+    sizes = kinds.groupBy(F.col("anchor").alias("grp")).count()
+    for narrower in (lambda p: stored(_split(p, length)), None):
+        hot = stored(sizes.where(F.col("count") > group).select("grp"))
+        if hot.isEmpty():
+            break
+        own = pieces.join(hot, "grp", "left_anti")
+        met = _sorted_groups(own, length) if met is None else met.union(_sorted_groups(own, length))
+        pieces = pieces.join(hot, "grp", "left_semi")
+        if narrower is None:
+            met, pieces = met.union(_counted_windows(pieces, length)), None
+            break
+        pieces = narrower(pieces)
+        sizes = pieces.groupBy("grp").count()
+    if pieces is not None:
+        met = _sorted_groups(pieces, length) if met is None else met.union(_sorted_groups(pieces, length))
+    spans = spread_join(places, met, ["anchor", "piece"], heavy_keys(kinds, ["anchor", "piece"], "n"), ["tid", "first"])
+    spans = spans.select("tid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high"))
     spans = spans.groupBy("tid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    copied = rows.groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("copies"))
-    found = spans.join(copied, "tid", "full_outer")
-    return rows.join(found, "tid", "left")
+    copies = heavy_keys(texts.groupBy("tid").count(), ["tid"], "count")
+    by = [f"`{f.name}`" for f in docs.schema if f.name != text_col and f.dataType.typeName() != "map"] or ["tid"]
+    return spread_join(rows, spans, ["tid"], copies, by, "left")
 
 
-def merged(spans: list[dict] | None, copies: bool, size: int, length: int) -> list[tuple[int, int]]:
+def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes."""
-    if copies and size >= length:
-        return [(0, size)]
     out: list[tuple[int, int]] = []
     for low, high in sorted((s["low"], s["high"]) for s in spans or ()):
         if out and low <= out[-1][1]:
@@ -378,8 +438,8 @@ def digest_table(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             out: list[list] = [[], [], [], []]
-            for data, copies, spans in zip(utf8(batch.column("text")), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                removed = merged(spans, copies, len(data), length)
+            for data, spans in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
+                removed = merged(spans)
                 kept = hashlib.sha256(kept_bytes(data, removed)).hexdigest()
                 for column, value in zip(out, (len(data), sum(b - a for a, b in removed), len(removed), kept), strict=True):
                     column.append(value)
@@ -400,8 +460,8 @@ def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, text):
             kept = []
-            for data, copies, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                kept.append(None if data is None else kept_bytes(data, merged(spans, copies, len(data), length)).decode("utf-8", "ignore"))
+            for data, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                kept.append(None if data is None else kept_bytes(data, merged(spans)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else batch.column(c) for c in own], own)
 
     found = repeated_spans(docs.toDF(*own), length, text)
