@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tilecask.errors import Corrupt, Invalid
+from tilecask.errors import Busy, Corrupt, Invalid
+from tilecask.functions import address
+from tilecask.operators import bitset, packed
 from tilecask.sources import caches
 from tilecask.sources.store import Reader, Writer
 
@@ -106,3 +108,177 @@ def test_experts(spark, tmp_path):
         assert bytes(caches.get_experts(w, one).first()["bytes"]) == b"\x80\0\0\0"
         caches.remove_experts(w, one)
         assert caches.get_experts(w, one).first()["bytes"] is None and caches.get_experts(w, rows.where("expert = 5").drop("bytes"), full=False).first()["bytes"] is not None
+
+
+# records of several buffers ---------------------------------------------------------
+
+
+def buffers(*parts):
+    """``(name, kind, shape, bytes)`` each."""
+    return [(n, d, s, bytearray(b)) for n, d, s, b in parts]
+
+
+def snapshots(spark, rows):
+    return spark.createDataFrame(rows, f"{ADDRESS}, format string, buffers {packed.BUFFERS}")
+
+
+def test_packed_records(spark, tmp_path):
+    root = f"file://{tmp_path}/k"
+    a, b = ("n", "m", "p", 0, "k"), ("n", "m", "p", 1, "k")
+    whole = buffers(("codes", "u8", [3, 2], b"abcdef"), ("scale", "f32-le", [2], b"12345678"), ("tail", "bf16-le", [1], b"zz"))
+    rows = snapshots(spark, [(*a, "f1", whole), (*b, "f1", buffers(("one", "u8", [1], b"x")))])
+    asked = spark.createDataFrame([a, b, ("n", "m", "p", 2, "k")], ADDRESS)
+    with Writer(spark, root) as w:
+        assert caches.get_packed(w, asked, "f1").where("buffers is null").count() == 3
+        caches.put_packed(w, rows)
+        got = {r["layer"]: r["buffers"] for r in caches.get_packed(w, asked, "f1").collect()}
+        assert [(x["name"], x["dtype"], x["shape"], bytes(x["bytes"])) for x in got[0]] == [(n, d, s, bytes(x)) for n, d, s, x in whole] and got[2] is None
+        with pytest.raises(Invalid):
+            caches.get_packed(w, asked, "f2")
+        wrong = [
+            buffers(("codes", "u8", [3, 2], b"abcde")),
+            buffers(("codes", "i8", [1], b"a")),
+            buffers(("codes", "u8", [0], b"")),
+            buffers(("codes", "u8", [], b"a")),
+            buffers(("", "u8", [1], b"a")),
+            buffers(("x", "u8", [1], b"a"), ("x", "u8", [1], b"b")),
+            buffers(("x", "f32-le", [1 << 62, 4], b"a")),
+            [],
+        ]
+        for bad in wrong:
+            with pytest.raises(Invalid):
+                caches.put_packed(w, snapshots(spark, [(*b, "f1", bad)]))
+        with pytest.raises(Invalid):
+            caches.put_packed(w, rows.union(rows))
+        assert w.version == 1
+        caches.put_packed(w, snapshots(spark, [(*b, "f1", buffers(("two", "u8", [2], b"yz")))]))
+        assert bytes({r["layer"]: r["buffers"] for r in caches.get_packed(w, asked, "f1").collect()}[1][0]["bytes"]) == b"yz"
+        assert "payload" not in caches.describe_packed(w, asked).columns and caches.describe_packed(w, asked).count() == 2
+        table = w.table("packed")
+        w.commit({"packed": table.withColumn("payload", F.lit(bytearray(b"0123456789abcdef")))})
+        with pytest.raises(Corrupt):
+            caches.get_packed(w, asked.where("layer = 0"), "f1")
+        assert caches.get_packed(w, asked.where("layer = 0"), "f1", full=False).count() == 1
+        with pytest.raises(Corrupt):
+            caches.get_packed(w, asked.where("layer = 1"), "f1", full=False)
+        w.commit({"packed": table})
+        caches.remove_packed(w, asked.where("layer = 0"))
+        assert {r["layer"] for r in caches.get_packed(w, asked, "f1").collect() if r["buffers"]} == {1}
+
+
+def test_estimates(spark):
+    data = [b"", b"a", bytes(8), bytes(range(256)) * 300, b"\xff" * 20000, bytes(9000) + b"\1"]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "i int, d binary")
+    both = df.select(bitset.roaring_size_of_bytes("d").alias("a"), bitset.roaring_size(bitset.bytes_to_ordinals("d")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    r = packed.estimated(snapshots(spark, [("n", "m", "p", 0, "k", "f", buffers(("a", "u8", [8], bytes(8)), ("b", "u8", [1], b"\1")))]), list(caches.KEYS)).first()
+    assert r["packed_bytes"] == 9 and r["total_roaring_bytes"] == r["payload_roaring_bytes"] + r["metadata_roaring_bytes"]
+
+
+def attention(spark_rows):
+    return [(layer, slot, fmt, buffers(*parts)) for layer, slot, fmt, parts in spark_rows]
+
+
+BUNDLE = f"{ADDRESS}, tokens array<bigint>, state_format string, state binary, attention {packed.ATTENTION}"
+
+
+def test_bundles_with_attention(spark, tmp_path):
+    root, page = f"file://{tmp_path}/ba", 1024
+    a, b = ("n", "m", "p", 0, "s"), ("n", "m", "q", 0, "s")
+    parts = attention([(3, "key", "f", [("k", "bf16-le", [2], b"abcd"), ("s", "u8", [1], b"e")]), (0, "value", "g", [("v", "u8", [3], b"xyz")])])
+    rows = spark.createDataFrame([(*a, [1, 2], "f", bytearray(b"state" * 500), parts), (*b, [9], "f", bytearray(b"z"), [])], BUNDLE)
+    plain = lambda found: [(e["layer"], e["slot"], e["format"], [(x["name"], x["dtype"], x["shape"], bytes(x["bytes"])) for x in e["buffers"]]) for e in found]
+    with Writer(spark, root) as w:
+        caches.put_bundles(w, rows, page)
+        got = {r["prefix_fingerprint"]: r for r in caches.get_bundles(w, rows, page=page).collect()}
+        assert plain(got["p"]["attention"]) == plain(spark.createDataFrame([(parts,)], f"a {packed.ATTENTION}").first()["a"]) and got["q"]["attention"] == []
+        assert bytes(got["p"]["state"]) == b"state" * 500
+        light = {r["prefix_fingerprint"]: r for r in caches.describe_bundles(w, rows, "f").collect()}
+        assert [x["length"] for x in light["p"]["attention"][0]["layouts"]] == [4, 1]
+        for bad in (attention([(3, "key", "f", [("k", "u8", [2], b"abc")])]), [parts[0], parts[0]]):
+            with pytest.raises(Invalid):
+                caches.put_bundles(w, spark.createDataFrame([("n", "m", "r", 0, "s", [1], "f", bytearray(b"z"), bad)], BUNDLE), page)
+        kept = w.table("attention")
+        for broken in (kept.where("entry_no = 0"), kept.withColumn("format", F.lit("h")), kept.withColumn("payload", F.lit(bytearray(b"abcdX")).cast("binary"))):
+            w.commit({"attention": broken})
+            with pytest.raises(Corrupt):
+                caches.get_bundles(w, rows.where("prefix_fingerprint = 'p'"), page=page)
+        w.commit({"attention": kept})
+        assert caches.get_bundle_pages(w, rows, page=page).count() == 4
+        caches.remove_bundles(w, rows.where("prefix_fingerprint = 'p'"))
+        assert w.table("attention").count() == 0 and w.table("state_pages").count() == 1 and caches.get_bundles(w, rows, page=page).count() == 1
+
+
+def test_append_of_attention(spark, tmp_path):
+    root = f"file://{tmp_path}/sa"
+    kind = f"namespace string, model_fingerprint string, session_id string, generation bigint, tokens array<bigint>, state binary, workflow binary, attention {packed.ATTENTION}"
+
+    def point(g, tokens, state, key, value, name="k", slot="key"):
+        parts = attention([(1, slot, "f", [(name, "u8", [len(key)], key), ("s", "u8", [1], b"!")]), (2, "value", "f", [("v", "u8", [len(value)], value)])])
+        return spark.createDataFrame([("n", "m", "s", g, tokens, bytearray(state), bytearray(b"w"), parts)], kind)
+
+    with Writer(spark, root) as w:
+        caches.put_checkpoints(w, point(1, [1, 2], b"first", b"ab", b"xy"))
+        caches.put_checkpoints(w, point(2, [1, 2, 3], b"other state", b"abc", b"xyz"), append="attention")
+        for bad in (point(3, [1, 2, 3, 4], b"t", b"aXcd", b"xyz"), point(3, [1, 2, 3, 4], b"t", b"a", b"xyz"), point(3, [1, 2, 3, 4], b"t", b"abcd", b"xyz", name="j"), point(3, [1, 2, 3, 4], b"t", b"abcd", b"xyz", slot="kex"), point(3, [1, 2, 4, 4], b"t", b"abcd", b"xyz")):
+            with pytest.raises(Invalid):
+                caches.put_checkpoints(w, bad, append="attention")
+        caches.put_checkpoints(w, point(3, [1, 2, 3, 4], b"third", b"abcd", b"xyzzz"), append="attention")
+        stored = w.table("checkpoints").where("generation = 3").first()
+        assert bytes(stored["tails"]) == b"cdzzz" and stored["attention"] is None and stored["base_generation"] == 1
+        got = caches.get_sessions(w, point(1, [1], b"x", b"a", b"b")).first()
+        found = [(e["layer"], e["slot"], [(x["name"], x["shape"], bytes(x["bytes"])) for x in e["buffers"]]) for e in got["attention"]]
+        assert found == [(1, "key", [("k", [4], b"abcd"), ("s", [1], b"!")]), (2, "value", [("v", [5], b"xyzzz")])] and bytes(got["state"]) == b"third"
+        total = w.table("checkpoints").where("generation = 3").select(packed.append_logical_bytes(F.lit(5), F.col("tokens"), F.col("plan"))).first()[0]
+        assert total == 5 + 16 + 4 + 1 + 5
+        good = w.table("checkpoints")
+        for column, value in (("tails", bytearray(b"cdzzX")), ("tails", bytearray(b"cdzz")), ("workflow", bytearray(b"v")), ("checkpoint", "0" * 64)):
+            w.commit({"checkpoints": good.withColumn(column, F.when(F.col("generation") == 3, F.lit(value)).otherwise(F.col(column)))})
+            with pytest.raises(Corrupt):
+                caches.get_sessions(w, point(1, [1], b"x", b"a", b"b"))
+        w.commit({"checkpoints": good.withColumn("checkpoint", F.lit("0" * 64))})
+        with pytest.raises(Corrupt):
+            caches.prune_checkpoints(w, point(2, [1], b"x", b"a", b"b"))
+        w.commit({"checkpoints": good})
+        caches.prune_checkpoints(w, point(2, [1], b"x", b"a", b"b"))
+        assert {r["generation"] for r in w.table("checkpoints").collect()} == {1, 3}
+    assert spark.range(1).select(packed.geometry_bytes(F.lit(17), F.lit(2), F.lit(3), F.lit(64))).first()[0] == 32 * 2 * 2 * 3 * 64 * 2
+    much = spark.range(1).select(packed.append_logical_bytes(F.lit(2**63 - 1), F.array(F.lit(1)), F.array().cast("array<struct<buffers:array<struct<base_len:bigint,tail_len:bigint>>>>"))).first()[0]
+    assert much is None
+
+
+def test_identities(spark):
+    df = spark.range(1).select(address.address(F.lit("n"), F.lit("m"), F.lit("p"), F.lit(0), F.lit("s")).alias("a"), address.address(F.lit("x"), F.lit("y"), F.lit("z"), F.lit(7), F.lit("key")).alias("b"))
+    r = df.select(address.remapped(F.col("a"), F.col("b")).alias("r"), address.same_identity(F.col("a"), F.col("b")).alias("no"), address.append_state_slot(F.lit("s"), F.lit(3)).alias("p"), address.append_tails_slot(F.lit("s")).alias("t"), address.index_address(F.lit("n"), F.lit("m"), F.lit("c"))["slot"].alias("i")).first()
+    assert tuple(r["r"]) == ("n", "m", "p", 7, "key") and not r["no"] and (r["p"], r["t"], r["i"]) == ("s:append-state:3", "s:append-tails", "prepared-index")
+
+
+def test_commits_cost_what_changes(spark, tmp_path):
+    """Files of earlier commits stay as they are, and removals and replacements hold in any order."""
+    root = f"file://{tmp_path}/c"
+    rows = lambda ids, value: spark.createDataFrame([("n", "m", "p", i, "k", value) for i in ids], f"{ADDRESS}, payload string")
+    state = lambda r: {x["layer"]: x["payload"] for x in r.table("records").collect()}
+    with Writer(spark, root) as w:
+        w.upsert("records", rows(range(50), "a"))
+        first = {n: sorted(p.name for p in (tmp_path / "c" / "data" / n).iterdir()) for n in w.files.names("data")}
+        w.upsert("records", rows([3, 60], "b"))
+        w.remove(["records"], rows([3, 4], ""))
+        w.upsert("records", rows([4], "c"))
+        w.upsert("records", rows([4, 5], "d"))
+        want = {i: "a" for i in range(50)} | {60: "b", 4: "d", 5: "d"}
+        del want[3]
+        assert state(w) == state(Reader(spark, root)) == want
+        assert all(sorted(p.name for p in (tmp_path / "c" / "data" / n).iterdir()) == files for n, files in first.items())
+        added = [p for p in w.tables["records"] if p["kind"] == "rows"][1:]
+        assert all(sum(1 for _ in w._read([p["place"]]).collect()) <= 2 for p in added)
+        w.compact("records")
+        assert len(w.tables["records"]) == 1 and state(w) == want
+        before = w.version
+        seen = []
+        shaky = rows([1], "e").withColumn("payload", F.rand().cast("string"))
+        w.upsert("records", shaky)
+        seen = state(w)[1]
+        assert state(w)[1] == seen == state(Reader(spark, root))[1] and w.version == before + 1
+        w.files.claim(f"claims/{w.version + 1:012d}")
+        with pytest.raises(Busy):
+            w.upsert("records", rows([1], "f"))

@@ -119,7 +119,7 @@ def test_bundles(spark):
     pages = bundles.cut_pages(df, ["id"], "state", 1024)
     assert {(r["id"], r["page_no"], len(r["bytes"])) for r in pages.collect()} == {(1, 0, 1024), (1, 1, 1024), (1, 2, 17), (2, 0, 1)}
     assert {r["id"]: bytes(r["bytes"]) for r in bundles.assembled(pages, ["id"]).collect()} == {1: state, 2: b"x"}
-    headers = df.select("id", F.octet_length("state").alias("state_bytes"), F.sha2("state", 256).alias("state_sha256"))
+    headers = df.select("id", F.octet_length("state").alias("state_bytes"), bundles.page_digests(F.col("state"), 1024).alias("page_sha256"))
     holes = pages.where("page_no != 1")
     assert [(r["id"], r["page_no"]) for r in bundles.missing_pages(headers, holes, ["id"], 1024).collect()] == [(1, 1)]
     for full in (True, False):

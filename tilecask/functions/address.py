@@ -68,6 +68,30 @@ def token_address(tokenizer: Column, text: Column) -> Column:
     return address(F.lit("tilecask-token-cache/v1"), tokenizer, F.sha2(F.encode(text, "UTF-8"), 256), F.lit(0), F.lit("ids"))
 
 
+def remapped(identity: Column, part: Column) -> Column:
+    """A part's address within another identity: its own layer and slot, all else from there."""
+    return address(identity["namespace"], identity["model_fingerprint"], identity["prefix_fingerprint"], part["layer"], part["slot"])
+
+
+def same_identity(identity: Column, part: Column) -> Column:
+    """Whether a part belongs to an identity."""
+    fields = ("namespace", "model_fingerprint", "prefix_fingerprint")
+    return (identity[fields[0]].eqNullSafe(part[fields[0]])) & (identity[fields[1]].eqNullSafe(part[fields[1]])) & (identity[fields[2]].eqNullSafe(part[fields[2]]))
+
+
+def index_address(namespace: Column, model: Column, context: Column) -> Column:
+    """Identity of the list of lengths that a scope has published."""
+    return address(namespace, model, prefix_seed(namespace, model, context), F.lit(0), F.lit("prepared-index"))
+
+
+def append_state_slot(slot: Column, page_no: Column) -> Column:
+    return F.concat(slot, F.lit(":append-state:"), page_no.cast("string"))
+
+
+def append_tails_slot(slot: Column) -> Column:
+    return child_slot(slot, "append-tails")
+
+
 def child_slot(slot: Column, suffix: str) -> Column:
     return F.concat(slot, F.lit(":"), F.lit(suffix))
 

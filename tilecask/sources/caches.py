@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import Corrupt, Invalid
 from ..functions import address
 from ..functions.address import FIELDS
-from ..operators import bundles, prefix, sessions
+from ..operators import bundles, packed, prefix, sessions
 from .store import Reader, Writer, with_key
 
 KEYS = list(FIELDS)
@@ -55,48 +55,154 @@ def get_token_ids(store: Reader, rows: DataFrame, tokenizer: str) -> DataFrame:
     return asked.join(known.select(*KEYS, "ids"), KEYS, "left").select(*rows.columns, "ids")
 
 
+# packed records -------------------------------------------------------------------
+
+
+def put_packed(store: Writer, rows: DataFrame) -> int:
+    """Insert or replace snapshots ``(address fields, format, buffers)``, all or none."""
+    if not rows.where(packed.snapshot_error(F.col("format"), F.col("buffers")).isNotNull()).isEmpty():
+        raise Invalid("a snapshot needs a format and buffers whose bytes fit their shapes")
+    return store.upsert("packed", packed.packed(rows.select(*KEYS, "format", "buffers")))
+
+
+def get_packed(store: Reader, asked: DataFrame, fmt: str, full: bool = True) -> DataFrame:
+    """``(address fields, format, buffers)`` of the asked addresses; nulls where there is no record.
+
+    Another format than ``fmt`` is an error; a layout that does not fit the payload and, if ``full``, another digest
+    make a record corrupt.
+    """
+    known = store.table("packed")
+    if known is None:
+        return asked.select(*KEYS).withColumn("format", F.lit(None).cast("string")).withColumn("buffers", F.lit(None).cast(packed.BUFFERS))
+    found = asked.select(*KEYS).join(known, KEYS, "left")
+    if not found.where(F.col("format") != fmt).isEmpty():
+        raise Invalid(f"a record is not of format {fmt}")
+    bad = packed.layout_error(F.col("layouts"), F.col("payload")).isNotNull()
+    if full:
+        bad = bad | (F.sha2("payload", 256) != F.col("payload_sha256"))
+    if not found.where(F.col("format").isNotNull() & bad).isEmpty():
+        raise Corrupt("a record's payload is not the one published")
+    return found.select(*KEYS, "format", F.when(F.col("format").isNotNull(), packed.sliced(F.col("layouts"), F.col("payload"))).alias("buffers"))
+
+
+def describe_packed(store: Reader, asked: DataFrame) -> DataFrame | None:
+    """Formats, layouts and digests of the asked records; payloads are not read."""
+    return store.described("packed", asked, ["payload"])
+
+
+def remove_packed(store: Writer, asked: DataFrame) -> int:
+    return store.remove(["packed"], asked)
+
+
 # bundles --------------------------------------------------------------------------
 
+BUNDLE_TABLES = ("bundles", "state_pages", "attention")
+
+
+def _with_attention(rows: DataFrame) -> DataFrame:
+    return rows if "attention" in rows.columns else rows.withColumn("attention", F.array().cast(packed.ATTENTION))
+
 
 def bundle_tables(rows: DataFrame, page: int = bundles.PAGE) -> dict[str, DataFrame]:
-    """Header and page tables of ``(address fields, tokens, state_format, state)``."""
-    header = rows.select(*KEYS, F.size("tokens").cast("bigint").alias("prefix_tokens"), "tokens", "state_format", F.octet_length("state").cast("bigint").alias("state_bytes"), F.sha2("state", 256).alias("state_sha256"))
-    return {"bundles": with_key(header), "state_pages": bundles.cut_pages(rows, KEYS, "state", page)}
+    """Header, page and attention tables of ``(address fields, tokens, state_format, state[, attention])``.
+
+    Attention belongs to the bundle: its records have the bundle's namespace, model and prefix, and a layer and a slot
+    of their own, whatever bundle they came from.
+    """
+    rows = _with_attention(rows)
+    entries = F.transform("attention", lambda e: F.struct(e["layer"].alias("layer"), e["slot"].alias("slot"), e["format"].alias("format")))
+    sizes = (F.size("tokens").cast("bigint").alias("prefix_tokens"), "tokens", "state_format", F.octet_length("state").cast("bigint").alias("state_bytes"))
+    header = rows.select(*KEYS, *sizes, bundles.page_digests(F.col("state"), page).alias("page_sha256"), entries.alias("attention"))
+    own = rows.select(*KEYS, F.posexplode("attention").alias("entry_no", "e"))
+    own = own.select(*KEYS, "entry_no", F.col("e.layer").alias("part_layer"), F.col("e.slot").alias("part_slot"), F.col("e.format").alias("format"), F.col("e.buffers").alias("buffers"))
+    return {"bundles": with_key(header), "state_pages": bundles.cut_pages(rows, KEYS, "state", page), "attention": packed.packed(own)}
+
+
+def _refuse_bundles(rows: DataFrame) -> None:
+    rows = _with_attention(rows)
+    bad = bundles.bundle_error(F.col("tokens"), F.size("tokens"), F.col("state"), F.size("attention")).isNotNull()
+    names = F.transform("attention", lambda e: F.struct(e["layer"], e["slot"]))
+    bad = bad | (F.size(F.array_distinct(names)) != F.size("attention")) | F.exists("attention", lambda e: packed.snapshot_error(e["format"], e["buffers"]).isNotNull())
+    if not rows.where(F.coalesce(bad, F.lit(True))).isEmpty():
+        raise Invalid("a bundle needs tokens, a state and valid attention of distinct layers and slots")
 
 
 def put_bundles(store: Writer, rows: DataFrame, page: int = bundles.PAGE) -> int:
     """Publish bundles that must be new."""
-    bad = bundles.bundle_error(F.col("tokens"), F.size("tokens"), F.col("state"), F.lit(0))
-    if not rows.where(bad.isNotNull()).isEmpty():
-        raise Invalid("a bundle needs tokens and a state")
+    _refuse_bundles(rows)
     made = bundle_tables(rows, page)
     _refuse_known(store, "bundles", made["bundles"], KEYS)
     store.refuse(made["bundles"], store.table("bundles"))
-    return store.commit({n: _or_none(store.table(n), t) for n, t in made.items()})
-
+    return store.append(made)
 
-def get_bundles(store: Reader, asked: DataFrame, full: bool = True, state_format: str | None = None, page: int = bundles.PAGE) -> DataFrame:
-    """The asked bundles that are there, whole: ``(address, tokens, state_format, state)``.
 
-    A missing page, a wrong length and, if ``full``, a wrong digest make the bundle corrupt; another
-    format than the asked one is an error.
-    """
-    headers, pages = store.table("bundles"), store.table("state_pages")
+def _headers(store: Reader, asked: DataFrame, state_format: str | None) -> DataFrame:
+    headers = store.table("bundles")
     if headers is None:
         raise Invalid("no bundles")
-    headers = headers.join(asked.select(*KEYS), KEYS, "left_semi")
+    headers = headers.join(asked.select(*KEYS).distinct(), KEYS, "left_semi")
     if state_format is not None and not headers.where(F.col("state_format") != state_format).isEmpty():
         raise Invalid(f"a bundle is not of format {state_format}")
-    own = pages.join(headers.select(*KEYS), KEYS, "left_semi")
+    return headers
+
+
+def get_bundle_pages(store: Reader, asked: DataFrame, full: bool = True, state_format: str | None = None, page: int = bundles.PAGE) -> DataFrame:
+    """The pages ``(address fields, page_no, bytes)`` of the asked bundles, for states of any size.
+
+    A missing page, a wrong length and, if ``full``, a wrong digest make the bundle corrupt; another
+    format than the asked one is an error.
+    """
+    headers = _headers(store, asked, state_format)
+    own = store.table("state_pages").join(headers.select(*KEYS), KEYS, "left_semi")
     if not bundles.missing_pages(headers, own, KEYS, page).isEmpty():
         raise Corrupt("a bundle lacks a page")
     if full and not bundles.verified(headers, own, KEYS).where("not ok").isEmpty():
         raise Corrupt("a bundle's state is not the one published")
-    return headers.join(bundles.assembled(own, KEYS), KEYS).select(*KEYS, "tokens", "state_format", F.col("bytes").alias("state"))
+    return own
+
+
+def get_attention(store: Reader, headers: DataFrame, full: bool = True) -> DataFrame:
+    """``(address fields, attention)`` of bundle headers, in the order of their entries; what is absent or not as the header says is corrupt."""
+    own = store.table("attention").join(headers.select(*KEYS), KEYS, "left_semi")
+    wanted = headers.select(*KEYS, F.posexplode("attention").alias("entry_no", "e"))
+    both = wanted.join(own, [*KEYS, "entry_no"], "left")
+    bad = F.col("payload").isNull() | (F.col("format") != F.col("e.format")) | (F.col("part_layer") != F.col("e.layer")) | (F.col("part_slot") != F.col("e.slot")) | packed.layout_error(F.col("layouts"), F.col("payload")).isNotNull()
+    if full:
+        bad = bad | (F.sha2("payload", 256) != F.col("payload_sha256"))
+    if not both.where(F.coalesce(bad, F.lit(True))).isEmpty():
+        raise Corrupt("a bundle's attention is not the one published")
+    entry = F.struct("entry_no", "part_layer", "part_slot", "format", packed.sliced(F.col("layouts"), F.col("payload")).alias("buffers"))
+    each = both.groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("parts"))
+    found = F.transform("parts", lambda e: F.struct(e["part_layer"].alias("layer"), e["part_slot"].alias("slot"), e["format"].alias("format"), e["buffers"].alias("buffers")))
+    return headers.select(*KEYS).join(each, KEYS, "left").select(*KEYS, F.coalesce(found, F.array().cast(packed.ATTENTION)).alias("attention"))
+
+
+def get_bundles(store: Reader, asked: DataFrame, full: bool = True, state_format: str | None = None, page: int = bundles.PAGE) -> DataFrame:
+    """The asked bundles that are there, whole: ``(address, tokens, state_format, state, attention)``.
+
+    Checked as in :func:`get_bundle_pages`; the state is null where it is too large for one value.
+    """
+    headers = _headers(store, asked, state_format)
+    state = bundles.assembled(get_bundle_pages(store, asked, full, state_format, page), KEYS)
+    return headers.select(*KEYS, "tokens", "state_format").join(state, KEYS).join(get_attention(store, headers, full), KEYS).select(*KEYS, "tokens", "state_format", F.col("bytes").alias("state"), "attention")
+
+
+def describe_bundles(store: Reader, asked: DataFrame, state_format: str) -> DataFrame:
+    """``(address, tokens, attention)`` of bundles without states and payloads: attention has layouts and digests."""
+    headers = _headers(store, asked, state_format)
+    own = store.table("attention").drop("payload").join(headers.select(*KEYS), KEYS, "left_semi")
+    entry = F.struct("entry_no", "part_layer", "part_slot", "format", "layouts", "payload_sha256")
+    each = own.groupBy(*KEYS).agg(F.array_sort(F.collect_list(entry)).alias("parts"))
+    found = F.transform("parts", lambda e: F.struct(e["part_layer"].alias("layer"), e["part_slot"].alias("slot"), e["format"].alias("format"), e["layouts"].alias("layouts"), e["payload_sha256"].alias("payload_sha256")))
+    both = headers.join(each, KEYS, "left")
+    if not both.where(F.coalesce(F.size("parts"), F.lit(0)) != F.size("attention")).isEmpty():
+        raise Corrupt("a bundle lacks attention")
+    return both.select(*KEYS, "tokens", found.alias("attention"))
 
 
 def remove_bundles(store: Writer, asked: DataFrame) -> int:
-    return store.remove(["bundles", "state_pages"], asked)
+    """Headers, pages and attention of the asked bundles in one commit."""
+    return store.remove(BUNDLE_TABLES, asked)
 
 
 # prefixes -------------------------------------------------------------------------
@@ -113,7 +219,7 @@ def publish_prefixes(store: Writer, rows: DataFrame, page: int = bundles.PAGE) -
     many = _or_none(store.table("prefixes"), index).groupBy("namespace", "model_fingerprint", "context").agg(F.count_distinct("prefix_tokens").alias("n"))
     if not many.where(F.col("n") > prefix.MOST_LENGTHS).isEmpty():
         raise Invalid("too many lengths in a scope")
-    return store.commit({n: _or_none(store.table(n), t) for n, t in (made | {"prefixes": index}).items()})
+    return store.append(made | {"prefixes": index})
 
 
 def find_longest(store: Reader, requests: DataFrame) -> DataFrame:
@@ -139,61 +245,107 @@ def read_longest(store: Reader, requests: DataFrame, state_format: str | None =
 # sessions -------------------------------------------------------------------------
 
 SESSION = ["namespace", "model_fingerprint", "session_id"]
+POINT = [*SESSION, "generation"]
+
+
+def _checkpoint_digest(generation: str = "generation", tokens: str = "tokens"):
+    """The part of a checkpoint's address that its session, generation and tokens make."""
+    return address.session_checkpoint(F.col("namespace"), F.col("model_fingerprint"), F.col("session_id"), F.col(generation), F.col(tokens))["prefix_fingerprint"]
 
 
-def put_checkpoints(store: Writer, rows: DataFrame, append: bool = False) -> int:
-    """Publish one new generation for each session: ``(session columns, generation, tokens, state, workflow)``.
+def put_checkpoints(store: Writer, rows: DataFrame, append: bool | str = False) -> int:
+    """Publish one new generation for each session: ``(session columns, generation, tokens, state, workflow[, attention])``.
 
-    Generations must grow.  With ``append`` the tokens must extend the current head's and only what
-    the state has beyond its full base is kept.
+    Generations must grow.  With ``append`` the tokens must extend the current head's.  Of ``"state"`` (or True) only what
+    the state has beyond its full base is kept; of ``"attention"`` the state is kept whole and each attention buffer's
+    bytes beyond the base's, which must be as they were.
     """
+    append = "state" if append is True else append
+    rows = _with_attention(rows)
     if not rows.where((F.col("generation") < 1) | (F.size("tokens") < 1) | ~F.octet_length("workflow").between(1, sessions.WORKFLOW)).isEmpty():
         raise Invalid("a checkpoint needs a generation, tokens and a workflow")
+    if not rows.where(F.exists("attention", lambda e: packed.snapshot_error(e["format"], e["buffers"]).isNotNull())).isEmpty():
+        raise Invalid("a checkpoint's attention is not valid")
     if not rows.groupBy(*SESSION).count().where("count > 1").isEmpty():
         raise Invalid("a session may move once in a batch")
     old = store.table("checkpoints")
-    rows = rows.withColumn("workflow_sha256", F.sha2("workflow", 256))
-    full = rows.withColumn("base_generation", F.col("generation")).withColumn("is_append", F.lit(False))
+    rows = rows.withColumn("workflow_sha256", F.sha2("workflow", 256)).withColumn("checkpoint", _checkpoint_digest())
     if old is not None:
-        heads = sessions.heads(old.drop("tail", "workflow"), SESSION).select(*SESSION, F.col("generation").alias("_g"), F.col("tokens").alias("_t"), F.col("base_generation").alias("_b"))
+        light = old.select(*POINT, "tokens", "base_generation")
+        heads = sessions.heads(light, SESSION).select(*SESSION, F.col("generation").alias("_g"), F.col("tokens").alias("_t"), F.col("base_generation").alias("_b"))
         if not rows.join(heads, SESSION).where(F.col("generation") <= F.col("_g")).isEmpty():
             raise Invalid("a session's generations only grow")
+    described = F.transform("attention", lambda e: F.struct(e["layer"].alias("layer"), e["slot"].alias("slot"), e["format"].alias("format"), packed.layouts(e["buffers"]).alias("layouts"), F.sha2(packed.payload(e["buffers"]), 256).alias("payload_sha256")))
     if append:
         if old is None or not rows.join(heads, SESSION, "left_anti").isEmpty():
             raise Invalid("there is nothing to append to")
-        base = old.where("not is_append").select(*SESSION, F.col("generation").alias("_b"), F.col("tail").alias("_base"))
+        # of the base no more is read than the kind of append needs
+        base = old.where("kind = 'full'").select(*SESSION, F.col("generation").alias("_b"), *([F.col("tail").alias("_base")] if append == "state" else []), F.col("attention_described").alias("_old"))
         joined = rows.join(heads, SESSION).join(base, [*SESSION, "_b"])
-        same = F.expr("substring(state, 1, octet_length(_base))") == F.col("_base")
-        ok = same & sessions.extends(F.col("tokens"), F.col("_t"))
-        if joined.count() != rows.count() or not joined.where(~ok).isEmpty():
+        ok = sessions.extends(F.col("tokens"), F.col("_t"))
+        if append == "state":
+            ok = ok & (F.expr("substring(state, 1, octet_length(_base))") == F.col("_base"))
+            tail = F.expr("substring(state, octet_length(_base) + 1, octet_length(state) - octet_length(_base))")
+            joined = joined.withColumn("tail", tail).withColumn("plan", F.lit(None)).withColumn("tails", F.lit(None).cast("binary"))
+        else:
+            grown = packed.append_plan(F.col("_old"), F.col("attention"))
+            joined = joined.withColumn("_p", grown).withColumn("plan", F.col("_p.plan")).withColumn("tails", F.col("_p.tails")).withColumn("tail", F.col("state"))
+            ok = ok & F.col("_p.ok")
+        if joined.count() != rows.count() or not joined.where(~F.coalesce(ok, F.lit(False))).isEmpty():
             raise Invalid("a checkpoint does not extend the one before it")
-        tail = F.expr("substring(state, octet_length(_base) + 1, octet_length(state) - octet_length(_base))")
-        if not joined.where(F.octet_length(tail) > sessions.TAIL).isEmpty():
+        if not joined.where(F.octet_length("tail" if append == "state" else "tails") > sessions.TAIL).isEmpty():
             raise Invalid("the tail is too long")
-        full = joined.withColumn("base_generation", F.col("_b")).withColumn("is_append", F.lit(True)).withColumn("state", tail)
-    new = full.select(*SESSION, "generation", "base_generation", "is_append", "tokens", F.col("state").alias("tail"), "workflow", "workflow_sha256")
-    return store.commit({"checkpoints": _or_none(old, new)})
-
-
-def get_sessions(store: Reader, asked: DataFrame) -> DataFrame:
-    """The current state of the asked sessions; a missing base or a changed workflow is corrupt."""
-    every = store.table("checkpoints").join(asked.select(*SESSION), SESSION, "left_semi")
-    heads = sessions.heads(every, SESSION)
-    base = every.where("not is_append").select(*SESSION, F.col("generation").alias("base_generation"), F.col("tail").alias("_base"))
+        new = joined.withColumn("base_generation", F.col("_b")).withColumn("kind", F.lit(append)).withColumn("attention_described", F.lit(None))
+        new = new.withColumn("attention", F.lit(None).cast(packed.ATTENTION)) if append == "attention" else new
+    else:
+        new = rows.withColumn("base_generation", F.col("generation")).withColumn("kind", F.lit("full")).withColumn("tail", F.col("state"))
+        new = new.withColumn("plan", F.lit(None)).withColumn("tails", F.lit(None).cast("binary")).withColumn("attention_described", described)
+    entry = "layer:bigint,slot:string,format:string"
+    new = new.withColumn("plan", F.col("plan").cast(f"array<struct<{entry},buffers:array<struct<name:string,dtype:string,shape:array<bigint>,base_len:bigint,tail_len:bigint>>>>"))
+    new = new.withColumn("attention_described", F.col("attention_described").cast(f"array<struct<{entry},layouts:array<struct<name:string,dtype:string,shape:array<bigint>,length:bigint>>,payload_sha256:string>>"))
+    new = new.withColumn("is_append", F.col("kind") != "full")
+    columns = ["checkpoint", "base_generation", "kind", "is_append", "tokens", "tail", F.sha2("tail", 256).alias("tail_sha256"), "workflow", "workflow_sha256", "attention", "attention_described", "plan", "tails", F.sha2("tails", 256).alias("tails_sha256")]
+    return store.append({"checkpoints": new.select(*POINT, *columns)})
+
+
+def get_sessions(store: Reader, asked: DataFrame, full: bool = True) -> DataFrame:
+    """The current state of the asked sessions: ``(session columns, generation, tokens, state, workflow, attention)``.
+
+    A missing base, a changed workflow, another address than session, generation and tokens make and, if ``full``,
+    changed bytes are corrupt.
+    """
+    every = store.table("checkpoints").join(asked.select(*SESSION).distinct(), SESSION, "left_semi")
+    last = every.groupBy(*SESSION).agg(F.max("generation").alias("generation"))
+    heads = every.join(last, POINT)
+    base = every.where("kind = 'full'").select(*SESSION, F.col("generation").alias("base_generation"), F.col("tail").alias("_base"), F.col("attention").alias("_attention"), F.col("tokens").alias("_tokens"))
     whole = heads.join(base, [*SESSION, "base_generation"], "left")
-    if not whole.where(F.col("_base").isNull() | (F.sha2("workflow", 256) != F.col("workflow_sha256"))).isEmpty():
-        raise Corrupt("a session lacks its base or its workflow changed")
-    state = F.when(F.col("is_append"), F.concat("_base", "tail")).otherwise(F.col("tail"))
-    return whole.select(*SESSION, "generation", "tokens", state.alias("state"), "workflow")
+    bad = F.col("_base").isNull() | (F.sha2("workflow", 256) != F.col("workflow_sha256")) | (_checkpoint_digest() != F.col("checkpoint"))
+    bad = bad | (F.col("is_append") & ~sessions.extends(F.col("tokens"), F.col("_tokens")))
+    grows = F.col("kind") == "attention"
+    bad = bad | (grows & packed.plan_error(F.col("plan"), F.col("tails"), sessions.TAIL).isNotNull())
+    if full:
+        bad = bad | (F.sha2("tail", 256) != F.col("tail_sha256")) | (grows & (F.sha2("tails", 256) != F.col("tails_sha256")))
+    attention = F.when(grows, packed.grown(F.col("_attention"), F.col("plan"), F.col("tails"))).otherwise(F.col("attention"))
+    whole = whole.withColumn("_grown", attention)
+    if not whole.where(F.coalesce(bad, F.lit(True)) | F.col("_grown").isNull()).isEmpty():
+        raise Corrupt("a session lacks its base or its checkpoint changed")
+    state = F.when(F.col("kind") == "state", F.concat("_base", "tail")).otherwise(F.col("tail"))
+    return whole.select(*SESSION, "generation", "tokens", state.alias("state"), "workflow", F.col("_grown").alias("attention"))
 
 
 def prune_checkpoints(store: Writer, asked: DataFrame) -> int:
-    """Delete superseded generations ``(session columns, generation)``; heads and the bases they live on are refused."""
+    """Delete superseded generations ``(session columns, generation)``; heads and the bases they live on are refused.
+
+    A checkpoint whose address is not the one that its session, generation and tokens make is corrupt and stays.
+    """
     old = store.table("checkpoints")
-    fine = sessions.prunable(old.select(*SESSION, "generation", "is_append"), SESSION)
-    if not asked.join(old.select(*SESSION, "generation"), [*SESSION, "generation"], "left_semi").join(fine, [*SESSION, "generation"], "left_anti").isEmpty():
+    fine = sessions.prunable(old.select(*POINT, "is_append"), SESSION)
+    own = old.select(*POINT, "tokens", "checkpoint").join(asked.select(*POINT).distinct(), POINT, "left_semi")
+    if not own.join(fine, POINT, "left_anti").isEmpty():
         raise Invalid("a head or its base cannot go")
-    return store.commit({"checkpoints": old.join(asked.select(*SESSION, "generation"), [*SESSION, "generation"], "left_anti")})
+    if not own.where(_checkpoint_digest() != F.col("checkpoint")).isEmpty():
+        raise Corrupt("a checkpoint has another address than its own")
+    return store.remove(["checkpoints"], asked, POINT)
 
 
 # experts --------------------------------------------------------------------------
