@@ -250,18 +250,6 @@ _PIECE = "grp bigint, anchor bigint, piece binary, base bigint, n bigint, left b
 _PIECE_NAMES = ["grp", "anchor", "piece", "base", "n", "left", "bytes"]
 
 
-def _once(texts: DataFrame) -> DataFrame:
-    """One row of each ``(tid, text)`` of a task, so that not all copies of a text have to meet."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            new = [t not in seen and not seen.add(t) for t in batch.column("tid").to_pylist()]
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    return texts.mapInArrow(run, "tid binary, text string")
-
-
 def _cut(found: DataFrame, text_col: str, length: int) -> DataFrame:
     """The pieces of rows of a text with the list of anchors wanted of it, each grouped by its anchor."""
 
@@ -384,30 +372,36 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     frequent = heavy_keys(known, ["anchor"], "count")
     places = stored(spread_join(_anchor_table(texts, length), known.select("anchor"), ["anchor"], frequent, ["tid", "first"], "left_semi"))
     kinds = stored(places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where")))
-    wanted = kinds.groupBy("where.tid").agg(F.collect_list(F.struct("anchor", "piece", "n", "where.first", "where.left", "where.windows")).alias("wanted"))
-    pieces = _cut(_once(texts).join(wanted, "tid"), "text", length)
+    # an anchor with one kind of surroundings has nothing to be compared: all of them are repeated
+    sizes = stored(kinds.groupBy(F.col("anchor").alias("grp")).agg(F.count("*").alias("count"), F.sum("n").alias("n")))
+    several = sizes.where("count > 1").select(F.col("grp").alias("anchor"))
+    compared = spread_join(kinds, several, ["anchor"], heavy_keys(sizes, ["grp"], "count").withColumnRenamed("grp", "anchor"), ["piece"], "left_semi")
+    wanted = compared.groupBy("where.tid").agg(F.collect_list(F.struct("anchor", "piece", "n", "where.first", "where.left", "where.windows")).alias("wanted"))
+    copies = heavy_keys(texts.groupBy("tid").count(), ["tid"], "count")
+    by = [f"`{f.name}`" for f in docs.schema if f.name != text_col and f.dataType.typeName() != "map"] or ["tid"]
+    pieces = _cut(spread_join(rows, wanted, ["tid"], copies, by), text_col, length)
+    alone = sizes.where("count = 1").select(F.col("grp").alias("anchor"))
+    single = kinds.join(alone, "anchor", "left_semi").select("anchor", "piece", F.lit(0).cast("bigint").alias("low"), (F.col("where.windows") - 1).cast("bigint").alias("high"))
     met = None
-    # anchors, and then cores, of too many surroundings are split further; a group that is alone needs no care
-    sizes = kinds.groupBy(F.col("anchor").alias("grp")).count()
-    for narrower in (lambda p: stored(_split(p, length)), None):
+    # anchors, and then cores, of too many surroundings are split further
+    for narrower in (lambda p: _split(p, length), None):
         hot = stored(sizes.where(F.col("count") > group).select("grp"))
         if hot.isEmpty():
             break
+        pieces = stored(pieces)
         own = pieces.join(hot, "grp", "left_anti")
         met = _sorted_groups(own, length) if met is None else met.union(_sorted_groups(own, length))
         pieces = pieces.join(hot, "grp", "left_semi")
         if narrower is None:
             met, pieces = met.union(_counted_windows(pieces, length)), None
             break
-        pieces = narrower(pieces)
+        pieces = stored(narrower(pieces))
         sizes = pieces.groupBy("grp").count()
     if pieces is not None:
         met = _sorted_groups(pieces, length) if met is None else met.union(_sorted_groups(pieces, length))
-    spans = spread_join(places, met, ["anchor", "piece"], heavy_keys(kinds, ["anchor", "piece"], "n"), ["tid", "first"])
+    spans = spread_join(places, met.union(single), ["anchor", "piece"], heavy_keys(kinds, ["anchor", "piece"], "n"), ["tid", "first"])
     spans = spans.select("tid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high") + length).alias("high"))
     spans = spans.groupBy("tid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    copies = heavy_keys(texts.groupBy("tid").count(), ["tid"], "count")
-    by = [f"`{f.name}`" for f in docs.schema if f.name != text_col and f.dataType.typeName() != "map"] or ["tid"]
     return spread_join(rows, spans, ["tid"], copies, by, "left")
 
 
