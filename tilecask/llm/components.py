@@ -25,40 +25,44 @@ def reached(near: np.ndarray, tile: int = 256) -> np.ndarray:
             return root
 
 
-def _star(both: DataFrame, larger: bool, many: int) -> DataFrame:
-    """Tie each node's larger (or smaller) neighbours to the least node about it.
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    A node with more than ``many`` neighbours has its links dealt to many tasks; only so few nodes can have
-    more than a share of all links.
-    """
-    own = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = own.where(F.col("n") > many).select("u").limit(round(1 / HEAVY))
-    own = own.drop("n")
+
+def _star(both: DataFrame, hubs: list[int], larger: bool) -> DataFrame:
+    """Tie each node's larger (or smaller) neighbours to the least node about it; the links of hubs are dealt to many tasks."""
+    own = both.groupBy("u").agg(F.min("v").alias("m"))
     ties = spread_join(both, own, ["u"], hubs, ["v"]).select("u", "v", F.least("u", "m").alias("m"))
     if larger:
         return ties.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return ties.where("v < u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own.where("m < u").select("u", F.col("m").alias("v")))
 
 
+def _state(edges: DataFrame, many: int) -> tuple[int, int | None, list[int]]:
+    """Ends of links, a checksum, and hashes of the nodes with more than ``many`` links."""
+    each = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("u") > F.col("v"), F.xxhash64("u", "v").cast("decimal(38,0)"))).alias("s"))
+    row = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("s"), F.collect_list(F.when(F.col("n") > many, F.xxhash64("u")))).first()
+    return row[0], row[1], row[2]
+
+
 def connected(links: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
     """``(node, root)`` of every node with a link; the root is the least node of its component.
 
-    Each round is two groupings by node with partial minima; nothing but a row count and
-    a checksum reaches the driver.
+    Each round is two groupings by node with partial minima.  What reaches the driver is a count, a checksum and
+    the hubs, of which there are some hundreds at most: each has more than a 256th of the links of the round before.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    edges, before = settle(edges, FEW), None
-    count = edges.count()
-    for _ in range(most if count else 0):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = _star(both, True, max(64, int(2 * count * HEAVY))).where("u != v").distinct()
-        edges = settle(_star(edges, False, max(64, int(count * HEAVY))).where("u != v").distinct(), FEW)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+    edges = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), FEW)
+    ends = 2 * edges.count()
+    before, hubs = None, _state(edges, max(64, int(ends * HEAVY)))[2] if ends else []
+    for _ in range(most if ends else 0):
+        edges = _star(_both(edges), hubs, True).where("u != v").distinct()
+        edges = settle(_star(edges, [], False).where("u != v").distinct(), FEW)
+        ends, checksum, hubs = _state(edges, max(64, int(ends * HEAVY)))
+        if (ends, checksum) == before:
             break
-        before, count = now, now[0]
+        before = ends, checksum
     else:
-        if count:
+        if ends:
             raise RuntimeError(f"components still change after {most} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -62,24 +62,25 @@ HEAVY = 1 / 256
 SALTS = 64
 
 
-def heavy_keys(sizes: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """The keys of ``(keys, n)``, one row for each key, that hold too large a share of all rows; at most 256 by their definition."""
+def heavy_keys(sizes: DataFrame, keys: list[str], n: str) -> list[int]:
+    """Hashes of the keys of ``(keys, n)``, one row for each key, that hold too large a share of all rows; fewer than 256 by their definition."""
     total = sizes.agg(F.sum(n)).first()[0] or 0
-    return sizes.where(F.col(n) > max(64, int(total * HEAVY))).select(*keys).limit(round(1 / HEAVY))
+    return [r[0] for r in sizes.where(F.col(n) > max(64, int(total * HEAVY))).select(F.xxhash64(*keys)).limit(round(1 / HEAVY)).collect()]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], by: list[str], how: str = "inner") -> DataFrame:
     """``left`` joined to ``right`` by ``keys``, the left rows of heavy keys dealt to ``SALTS`` places by a hash of ``by``.
 
-    The right rows of a heavy key are repeated for each place.  ``heavy`` comes from :func:`heavy_keys`,
-    which bounds what is broadcast.  ``how`` is inner, left or left_semi.
+    The right rows of a heavy key are repeated for each place.  ``heavy`` comes from :func:`heavy_keys`; another key with such a
+    hash is dealt as well, which does no harm.  ``how`` is inner, left or left_semi.
     """
-    marked = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    absent = reduce(or_, (F.col(k).isNull() for k in keys))  # meets nothing, wherever it is dealt to
-    dealt = left.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_heavy") | absent, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
-    places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(marked, keys, "left").withColumn("_salt", F.explode(places)).drop("_heavy")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    dealt = F.xxhash64(*keys).isin(heavy) if heavy else F.lit(False)
+    absent = reduce(or_, (F.col(k).isNull() for k in keys)) if how == "left" else F.lit(False)  # meets nothing, wherever it is dealt to
+    if not heavy and how != "left":
+        return left.join(right, keys, how)
+    left = left.withColumn("_salt", F.when(dealt | absent, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
+    places = F.when(dealt, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(right.withColumn("_salt", F.explode(places)), [*keys, "_salt"], how).drop("_salt")
 
 
 #: What operators keep in a Python worker from task to task.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected, reached
-from .frames import heavy_keys, modest_batches, pieces_of, settle, spread_join, utf8
+from .frames import heavy_keys, modest_batches, pieces_of, settle, spread_join, stored, utf8
 from .shingles import mix, shingle_sets
 
 PERMUTATIONS, BAND, BLOCK = 48, 4, 1024
@@ -254,7 +254,7 @@ def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high")
 
 
-def _ties(rows: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _ties(rows: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame], heavy: list[int]) -> DataFrame:
     """Ties ``(a, b)`` that join what ``compare`` finds within groups of more than one block, from ``(grp, pivot, blocks, names)``.
 
     Each block meets the pivot first.  What is not tied to it meets all blocks; what is need not meet the
@@ -269,9 +269,8 @@ def _ties(rows: DataFrame, names: list[str], compare: Callable[[DataFrame], Data
     held = ties.select(F.col("a").alias("key"), F.col("b").alias("pivot")).union(ties.select("b", "a")).distinct().withColumn("held", F.lit(True))
     rows = settle(rows.join(held, ["key", "pivot"], "left").withColumn("held", F.col("held").isNotNull() | (F.col("key") == F.col("pivot"))))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.when(F.col("held"), 0).otherwise(1)).alias("rest"), F.first("blocks").alias("b"))
-    sizes = settle(sizes)
     parts = sizes.where("rest > 0").select("grp", F.ceil(F.col("rest") * F.col("b") / F.col("m")).cast("int").alias("parts"))
-    met = spread_join(rows, parts, ["grp"], heavy_keys(sizes, ["grp"], "m"), ["key"])
+    met = spread_join(rows, parts, ["grp"], heavy, ["key"])
     # the low side of a cell is a part of the rest, the high side another one or, counted on from there, a block of those held
     rest = met.where("not held").withColumn("block", F.pmod(F.xxhash64("key", F.lit("rest")), "parts").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") + F.col("blocks") - 1)))
@@ -280,10 +279,10 @@ def _ties(rows: DataFrame, names: list[str], compare: Callable[[DataFrame], Data
     return ties.union(compare(_dealt(rest.union(own.select("grp", "low", "high", F.col("high").alias("block"), *names)))))
 
 
-def _compared(rows: DataFrame, bounds: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _compared(rows: DataFrame, bounds: DataFrame, names: list[str], compare: Callable[[DataFrame], DataFrame], heavy: list[int]) -> DataFrame:
     """Ties within groups of one block and of more."""
     ties = compare(_cells(rows.where("blocks = 1"), names))
-    return ties if bounds.where("blocks > 1").isEmpty() else ties.union(_ties(rows.where("blocks > 1"), names, compare))
+    return ties if bounds.where("blocks > 1").isEmpty() else ties.union(_ties(rows.where("blocks > 1"), names, compare, heavy))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -291,25 +290,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     modest_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = settle(signed(docs, width))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "buckets", "sign")))
+    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "buckets", "sign"))))
+    copies = heavy_keys(classes, ["key"], "m")
     entries = classes.select("key", F.explode("buckets").alias("grp"))
     shared = entries.groupBy("grp").agg(F.count("*").alias("m"), F.min("key").alias("pivot")).where("m > 1")
     shared = settle(shared.withColumn("blocks", F.ceil(F.col("m") / min(block, TILE)).cast("int")))
-    met = spread_join(entries, shared.drop("m"), ["grp"], heavy_keys(shared, ["grp"], "m"), ["key"]).join(classes.select("key", "n", "sign"), "key")
-    likely = _compared(met, shared, ["key", "n", "sign"], lambda cells: _likely(cells, percent))
+    heavy = heavy_keys(shared, ["grp"], "m")
+    met = spread_join(entries, shared.drop("m"), ["grp"], heavy, ["key"]).join(classes.select("key", "n", "sign"), "key")
+    likely = _compared(met, shared, ["key", "n", "sign"], lambda cells: _likely(cells, percent), heavy)
 
-    clusters = settle(connected(likely, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("grp")))
-    sized = clusters.join(classes.select("key", "id", "n"), "key")
-    bounds = sized.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"), F.min("key").alias("pivot"))
+    clusters = settle(connected(likely, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("grp")).join(classes.select("key", "id", "n"), "key"))
+    bounds = clusters.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"), F.min("key").alias("pivot"))
     bounds = settle(bounds.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("hashes") * 8 / CELL_BYTES)).cast("int")))
-    wanted = spread_join(sized.select("key", "id", "grp"), bounds.select("grp", "pivot", "blocks"), ["grp"], heavy_keys(bounds, ["grp"], "m"), ["key"])
+    heavy = heavy_keys(bounds, ["grp"], "m")
+    wanted = spread_join(clusters.select("key", "id", "grp"), bounds.select("grp", "pivot", "blocks"), ["grp"], heavy, ["key"])
     sets = _sets(docs.join(wanted, "id").select("text", "key", "grp", "pivot", "blocks"), width)
-    roots = connected(_compared(sets, bounds, ["key", "hashes"], lambda cells: _links(cells, percent)), "a", "b")
+    roots = connected(_compared(sets, bounds, ["key", "hashes"], lambda cells: _links(cells, percent), heavy), "a", "b")
 
-    least = classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    first = settle(least.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m")))
+    least = settle(classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    first = least.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m"))
     least = spread_join(least, first.drop("m"), ["root"], heavy_keys(first, ["root"], "m"), ["key"]).select("key", "component_id")
-    copies = heavy_keys(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("m")), ["key"], "m")
     out = spread_join(rows.select("id", F.col("n").alias("n_shingles"), "key"), least, ["key"], copies, ["id"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

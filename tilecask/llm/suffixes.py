@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     # an anchor with one kind of surroundings has nothing to be compared: all of them are repeated
     sizes = stored(kinds.groupBy(F.col("anchor").alias("grp")).agg(F.count("*").alias("count"), F.sum("n").alias("n")))
     several = sizes.where("count > 1").select(F.col("grp").alias("anchor"))
-    compared = spread_join(kinds, several, ["anchor"], heavy_keys(sizes, ["grp"], "count").withColumnRenamed("grp", "anchor"), ["piece"], "left_semi")
+    compared = spread_join(kinds, several, ["anchor"], heavy_keys(sizes, ["grp"], "count"), ["piece"], "left_semi")
     wanted = compared.groupBy("where.tid").agg(F.collect_list(F.struct("anchor", "piece", "n", "where.first", "where.left", "where.windows")).alias("wanted"))
     copies = heavy_keys(texts.groupBy("tid").count(), ["tid"], "count")
     by = [f"`{f.name}`" for f in docs.schema if f.name != text_col and f.dataType.typeName() != "map"] or ["tid"]
