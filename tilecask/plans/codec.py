@@ -19,9 +19,9 @@ def channel_groups(spark, sf_dir, size: int = 32) -> DataFrame:
 
 
 def token_tile(spark, sf_dir) -> DataFrame:
-    """The tile in long form."""
+    """The tile in long form; ids count the tokens from 0 on."""
     e = table(spark, sf_dir, "embeddings")
-    shape = F.array(F.lit(e.count()).cast("int"), F.lit(64))
+    shape = F.array(e.agg(F.count("*").cast("int")).scalar(), F.lit(64))
     rows = e.select(F.lit("tile").alias("tile_id"), shape.alias("shape"), F.array(F.lit("token"), F.lit("channel")).alias("axes"), "vec_id", F.posexplode("embedding").alias("channel", "v"))
     return rows.select("tile_id", "shape", "axes", (F.col("vec_id") * 64 + F.col("channel")).alias("idx"), "v")
 
@@ -118,15 +118,22 @@ BEST = """, x AS (SELECT vec_id, grp, bits, (b * 32 + i) AS ordinal FROM c, rang
 l AS (SELECT *, lag(ordinal) OVER (PARTITION BY vec_id, grp, bits ORDER BY ordinal) AS before FROM x),
 z AS (SELECT vec_id, grp, bits, count(*) AS card, count(*) FILTER (before IS NULL OR ordinal - before <> 1) AS runs FROM l GROUP BY 1, 2, 3),
 k AS (SELECT vec_id, grp, bits, 29 + 8 + 4 + CASE WHEN 2 + 4 * runs < 2 * card THEN 4 + 1 + 4 + 2 + 4 * runs ELSE 16 + 2 * card END AS cost FROM z),
-h AS (SELECT e.vec_id, e.grp, e.bits, k.cost, row_number() OVER (PARTITION BY e.vec_id, e.grp ORDER BY k.cost, e.bits) AS nth FROM e JOIN k ON e.vec_id = k.vec_id AND e.grp = k.grp AND e.bits = k.bits WHERE e.trim = 0 AND max_err <= {error})
+q AS (SELECT *, abs(v) AS m, CAST(floor(log2(abs(v))) AS INT) AS guess FROM g), w AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN pow(2.0, guess) > m THEN guess - 1 WHEN pow(2.0, guess + 1) <= m THEN guess + 1 ELSE guess END AS ex FROM q),
+rb AS (SELECT vec_id, grp, i, CASE WHEN m = 0 THEN 0 ELSE (CASE WHEN v < 0 THEN 2147483648 ELSE 0 END) + CAST((ex + 127) AS BIGINT) * 8388608 + CAST((m / pow(2.0, ex) - 1) * 8388608 AS BIGINT) END AS word FROM w),
+rx AS (SELECT vec_id, grp, b * 32 + i AS ordinal FROM rb, range(0, 32) r(b) WHERE (word >> b) & 1 = 1),
+rl AS (SELECT *, lag(ordinal) OVER (PARTITION BY vec_id, grp ORDER BY ordinal) AS before FROM rx),
+rz AS (SELECT vec_id, grp, count(*) AS card, count(*) FILTER (before IS NULL OR ordinal - before <> 1) AS runs FROM rl GROUP BY 1, 2),
+a AS (SELECT e.vec_id, e.grp, e.bits, k.cost FROM e JOIN k ON e.vec_id = k.vec_id AND e.grp = k.grp AND e.bits = k.bits WHERE e.trim = 0 AND max_err <= {error}
+UNION ALL SELECT vec_id, grp, 32, 29 + 8 + 4 + CASE WHEN 2 + 4 * runs < 2 * card THEN 11 + 4 * runs ELSE 16 + 2 * card END FROM rz),
+h AS (SELECT *, row_number() OVER (PARTITION BY vec_id, grp ORDER BY cost, bits) AS nth FROM a)
 SELECT vec_id, CAST(grp AS INT) AS grp, bits, CAST(cost AS BIGINT) AS cost FROM h WHERE nth = 1"""
 
 
 @query(trials_sql(0.02, "SELECT 1").rsplit("SELECT 1", 1)[0].rstrip() + BEST.format(error=0.02))
 def affine_choose_best(spark, sf_dir):
-    """The cheapest coded trial; groups that only raw words can hold are not in it."""
+    """The cheapest trial, the raw words among them."""
     g = channel_groups(spark, sf_dir).withColumn("raw", F.lit(False))
-    t = affine.trials(g, affine.Policy("channel", 32, (2, 4, 8), 0.02, 0.0), best_only=True, with_raw=False)
+    t = affine.trials(g, affine.Policy("channel", 32, (2, 4, 8), 0.02, 0.0), best_only=True)
     return t.select(F.col("tile_id").alias("vec_id"), "grp", "bits", "cost")
 
 
@@ -179,14 +186,15 @@ def roaring_size_of_tiles(spark, sf_dir):
     return bitset.roaring_size_of_rows(rows, ["vec_id"]).withColumn("bytes", F.col("bytes").cast("bigint"))
 
 
-@query("""WITH b AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) AS n FROM pages)
-SELECT page_id, CAST(sum(bit_count(CAST('0x' || substr(h, 2 * i - 1, 2) AS INT))) AS BIGINT) AS ones, CAST(8 * max(n) AS BIGINT) AS sentinel, true AS same FROM b, range(1, 65) r(i) WHERE i <= n GROUP BY page_id""")
+@query("""WITH b AS (SELECT page_id, hex(encode(html)) AS h, octet_length(encode(html)) AS n FROM pages),
+o AS (SELECT page_id, CAST(sum(bit_count(CAST('0x' || substr(h, 2 * i + 1, 2) AS INT))) AS BIGINT) AS ones FROM b, LATERAL (SELECT unnest(range(0, n)) AS i) GROUP BY 1)
+SELECT page_id, ones, CAST(8 * n AS BIGINT) AS sentinel, true AS same FROM b JOIN o USING (page_id)""")
 def bytes_bit_roundtrip(spark, sf_dir):
-    """Bits of each page's head, the end mark of the whole and whether the head comes back."""
+    """Bits of each whole page, its end mark and whether the page comes back from them."""
     p = table(spark, sf_dir, "pages").withColumn("data", F.encode("html", "UTF-8")).where(F.octet_length("data") > 0)
-    p = p.withColumn("head", F.substring("data", 1, 64)).withColumn("ordinals", bitset.bytes_to_ordinals(F.col("head")))
+    p = p.withColumn("ordinals", bitset.bytes_to_ordinals(F.col("data")))
     back = bitset.ordinals_to_bytes(F.col("ordinals"))
-    return p.select("page_id", (F.size("ordinals") - 1).cast("bigint").alias("ones"), (F.octet_length("data") * 8).cast("bigint").alias("sentinel"), (back == F.col("head")).alias("same"))
+    return p.select("page_id", (F.size("ordinals") - 1).cast("bigint").alias("ones"), F.element_at("ordinals", -1).alias("sentinel"), (back == F.col("data")).alias("same"))
 
 
 def _lloyd_sql() -> str:
