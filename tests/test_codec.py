@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tilecask.cli import groups_of
-from tilecask.errors import Invalid
+from tilecask.errors import Corrupt, Invalid
 from tilecask.functions import bits as bit_functions
 from tilecask.operators import affine, bitset, compact, tensor
 
@@ -157,3 +157,68 @@ def test_head_slice(spark):
     assert sorted(r["v"] for r in part.collect()) == [3, 4, 7, 8]
     back = tensor.head_replace(long, part.withColumn("v", F.col("v") * 10)).orderBy("idx").collect()
     assert [r["v"] for r in back] == [1, 2, 30, 40, 5, 6, 70, 80]
+
+
+def test_decode_refuses_what_does_not_fit(spark):
+    r = random.Random(7)
+    values = [np.float32(r.uniform(-3, 3)) for _ in range(90)]
+    values[7], values[50] = 1000.0, -77.5
+    for policy in (affine.Policy("token", 30, (2, 4, 8), 0.05, 0.1), affine.Policy("token", 9, (4,), 0.0), affine.Policy("token", 9, (8,), 0.5, 0.0, 4)):
+        e = affine.encode(groups_of(tile(spark, [30, 3], ["token", "channel"], values), policy), policy)
+        e = spark.createDataFrame(e.collect(), e.schema)
+        groups = e.select("tile_id", "grp", "offset", "bits", "minimum", "step", "exceptions", F.size("values").cast("bigint").alias("n"))
+        ones = affine.ordinals_of(e)
+        ones = spark.createDataFrame(ones.collect(), ones.schema)
+        got = {x["grp"]: x["values"] for x in affine.decode(groups, ones).collect()}
+        assert got == {x["grp"]: x["back"] for x in e.collect()}
+        end = e.agg(F.max(F.col("offset") + F.col("span"))).first()[0]
+        extra = ones.union(spark.createDataFrame([("t", end)], ones.schema))
+        for wrong in (groups.withColumn("offset", F.col("offset") + F.when(F.col("grp") == 1, 1).otherwise(0)), groups.withColumn("bits", F.lit(3)), groups.withColumn("step", F.lit(float("nan"))), groups.withColumn("exceptions", F.col("n") + 1)):
+            with pytest.raises(Corrupt):
+                affine.decode(wrong, ones)
+        with pytest.raises(Corrupt):
+            affine.decode(groups, extra)
+        if e.where("exceptions > 0").count():
+            first = e.where("exceptions > 0").first()
+            mask = first["offset"] + len(first["values"]) * first["bits"]
+            with pytest.raises(Corrupt):
+                affine.decode(groups, ones.where(~F.col("ordinal").between(mask, mask + len(first["values"]) - 1)))
+        size = affine.estimate(groups_of(tile(spark, [30, 3], ["token", "channel"], values), policy), policy).first()
+        assert size["payload_roaring_bytes"] == spark.range(1).select(bitset.roaring_size(F.array(*[F.lit(x).cast("bigint") for x in sorted(o["ordinal"] for o in ones.collect())]))).first()[0]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("axis", ["token", "channel"])
+def test_compact_tiles(spark, bits, axis):
+    r = random.Random(bits)
+    exact = [np.float32(r.randrange(-64, 64) / 8) for _ in range(15)]  # brain floats
+    cases = [([9, 5], ["token", "channel"], [np.float32(r.uniform(-2, 2)) for _ in range(45)], 3), ([5, 3], ["channel", "token"], exact, 2), ([2, 4, 3], ["token", "head", "channel"], [np.float32(1.5)] * 24, 2), ([2, 2], ["token", "channel"], exact[:4], 9)]
+    for shape, axes, values, tail in cases:
+        policy = compact.CompactPolicy(axis, bits, tail)
+        stored = compact.encode_tiles(tile(spark, shape, axes, values), policy)
+        stored = spark.createDataFrame(stored.collect(), stored.schema)
+        row = stored.first()
+        token = np.arange(len(values)).reshape(shape)
+        late = np.isin(np.arange(len(values)), np.moveaxis(token, axes.index("token"), 0)[max(0, shape[axes.index("token")] - tail) :])
+        brain = all(int(np.float32(v).view(np.uint32)) & 0xFFFF == 0 for v, k in zip(values, late, strict=True) if k)
+        assert row["tail_dtype"] == ("bf16-le" if brain else "f32-le") and len(row["tail"]) == late.sum() * (2 if brain else 4)
+        back = compact.decode_tiles(stored, policy).first()
+        assert back["error"] is None and all(a == b for a, b, k in zip(back["values"], values, late, strict=True) if k)
+        groups = np.moveaxis(token, axes.index(axis), -1).reshape(-1, shape[axes.index(axis)])
+        for g in groups:
+            own = [i for i in g if not late[i]]
+            if own and bits > 1:
+                low, high = min(values[i] for i in own), max(values[i] for i in own)
+                step = np.float32((float(high) - float(low)) / ((1 << bits) - 1))
+                assert all(abs(back["values"][i] - values[i]) <= step / 2 + 1e-5 for i in own)
+            elif own:
+                assert len({back["values"][i] for i in own}) <= 2
+        broken = [("codes", row["codes"] + b"\0"), ("parameters", row["parameters"][:-1] if row["parameters"] else b"1234"), ("tail", row["tail"] + b"\0"), ("tail_dtype", "u8")]
+        if len(row["parameters"]):
+            broken.append(("parameters", np.full(len(row["parameters"]) // 4, np.inf, "<f4").tobytes()))
+        if (~late).sum() * bits % 8:
+            broken.append(("codes", bytes(row["codes"][:-1]) + bytes([row["codes"][-1] | 0x80])))
+        for column, value in broken:
+            value = F.lit(bytearray(value)) if isinstance(value, bytes | bytearray) else F.lit(value)
+            bad = compact.decode_tiles(stored.withColumn(column, value), policy).first()
+            assert bad["values"] is None and bad["error"].startswith("Corrupt")

@@ -39,6 +39,17 @@ def pack_codes(codes: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else one(c, int(b)) for c, b in zip(codes, bits, strict=True)])
 
 
+@pandas_udf(BinaryType())
+def pack_floats(values: pd.Series, width: pd.Series) -> pd.Series:
+    """Floats, low byte first, in four bytes each or, as brain floats, in the upper two."""
+
+    def one(v, w):
+        words = np.asarray(v, np.float32).view(np.uint32)
+        return (words >> 16).astype("<u2").tobytes() if w == 2 else words.astype("<u4").tobytes()
+
+    return pd.Series([None if v is None else one(v, int(w)) for v, w in zip(values, width, strict=True)])
+
+
 @pandas_udf(ArrayType(IntegerType()))
 def unpack_codes(data: pd.Series, bits: pd.Series, n: pd.Series) -> pd.Series:
     """The first n codes of packed bytes."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import Invalid
+from ..errors import Corrupt, Invalid
 
 #: Bytes of a stored group descriptor.
 DESCRIPTOR = 29
@@ -197,3 +197,102 @@ def report(encoded: DataFrame) -> DataFrame:
     err = F.aggregate(F.zip_with("back", "values", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
     by_bits = encoded.groupBy("tile_id", "bits").agg(F.count("*").alias("groups"), F.sum("span").alias("span"), F.sum("exceptions").alias("exceptions"), F.max("max_err").alias("max_err"), F.sum(err).alias("sse"), F.sum(F.size("values")).alias("n"))
     return by_bits.groupBy("tile_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bits", "groups")))).alias("groups_by_bits"), F.sum("span").alias("span_bits"), F.ceil(F.sum("span") / 8).alias("packed_bytes"), F.sum("exceptions").alias("exceptions"), F.sum(F.when(F.col("bits") == 32, F.col("n")).otherwise(0)).alias("raw_values"), F.max("max_err").alias("max_err"), F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"))
+
+
+def ordinals_of(encoded: DataFrame) -> DataFrame:
+    """``(tile_id, ordinal)`` of every one of the payload of encoded groups: planes, then a mask and the exact words of exceptions."""
+    kind = encoded.schema["tile_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for i, r in enumerate(batch.select(["offset", "bits", "values", "codes", "minimum", "step", "exceptions", "back"]).to_pylist()):
+                v = np.asarray(r["values"], np.float32)
+                n, words = len(v), v.view(np.uint32).astype(np.int64)
+                code = words if r["bits"] == 32 else np.asarray(r["codes"], np.int64)
+                own = [np.flatnonzero((code[None, :] >> np.arange(r["bits"])[:, None]) & 1)]
+                if r["exceptions"]:
+                    plain = (r["minimum"] + r["step"] * code).astype(np.float32)
+                    kept = (code == 0) & (plain.view(np.uint32) != np.asarray(r["back"], np.float32).view(np.uint32))
+                    exact = ((words[kept][:, None] >> np.arange(32)) & 1).reshape(-1)
+                    own += [n * r["bits"] + np.flatnonzero(kept), n * r["bits"] + n + np.flatnonzero(exact)]
+                own = np.concatenate(own) + r["offset"]
+                found.append(own)
+                rows.append(np.full(len(own), i))
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("tile_id").take(at), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["tile_id", "ordinal"])
+
+    columns = ["tile_id", "offset", "bits", "values", "codes", "minimum", "step", "exceptions", "back"]
+    return encoded.select(*columns).mapInArrow(run, f"tile_id {kind}, ordinal bigint")
+
+
+def descriptor_errors(groups: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """``(tile_id, error)`` of tiles whose descriptors ``(grp, offset, bits, minimum, step, exceptions, n)`` cannot be right, or whose payload goes beyond them."""
+    order = Window.partitionBy("tile_id").orderBy("grp")
+    span = F.col("n") * F.col("bits") + F.when(F.col("exceptions") > 0, F.col("n") + 32 * F.col("exceptions")).otherwise(0)
+    rows = groups.withColumn("span", span).withColumn("due", F.coalesce(F.sum("span").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    fine = (F.col("offset") == F.col("due")) & F.col("bits").isin(2, 4, 8, 32) & finite(F.col("minimum")) & finite(F.col("step")) & (F.col("step") >= 0)
+    fine = fine & F.col("exceptions").between(0, F.col("n")) & ~((F.col("bits") == 32) & (F.col("exceptions") != 0))
+    each = rows.groupBy("tile_id").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"), F.sum("span").alias("end"))
+    last = ordinals.groupBy("tile_id").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
+    both = each.join(last, "tile_id", "full_outer")
+    error = F.when(~F.coalesce("fine", F.lit(False)), "Corrupt: descriptor").when((F.col("last") >= F.col("end")) | (F.col("first") < 0), "Corrupt: payload beyond the descriptors")
+    return both.select("tile_id", error.alias("error")).where("error is not null")
+
+
+def decode(groups: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """``(tile_id, grp, values)`` from descriptors and payload; raises what :func:`descriptor_errors` finds.
+
+    Each ordinal goes to the last group that begins at or before it, by one sort of a tile's marks; a group's bits are
+    then turned into values by themselves.  A wrong exception mask makes values null, see :func:`decoded_groups`.
+    """
+    if not descriptor_errors(groups, ordinals).isEmpty():
+        raise Corrupt("a tile's descriptors and payload do not fit")
+    out = decoded_groups(groups, ordinals)
+    if not out.where("values is null").isEmpty():
+        raise Corrupt("an exception mask or a value is wrong")
+    return out
+
+
+def decoded_groups(groups: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """The same without checks of the whole; null values for a group whose own bits are wrong."""
+    kind, grp = (groups.schema[c].dataType.simpleString() for c in ("tile_id", "grp"))
+    marks = groups.select("tile_id", F.col("offset").alias("at"), F.lit(0).alias("what"), "grp").unionByName(ordinals.select("tile_id", F.col("ordinal").alias("at"), F.lit(1).alias("what"), F.lit(None).cast(grp).alias("grp")))
+    order = Window.partitionBy("tile_id").orderBy("at", "what", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.withColumn("grp", F.last("grp", ignorenulls=True).over(order)).where("what = 1")
+    bits = placed.groupBy("tile_id", "grp").agg(F.collect_list("at").alias("ones"))
+    rows = groups.join(bits, ["tile_id", "grp"], "left").select("tile_id", "grp", "offset", "bits", "minimum", "step", "exceptions", "n", F.coalesce("ones", F.array().cast("array<bigint>")).alias("ones"))
+
+    def one(r: dict) -> np.ndarray | None:
+        n, b, e = r["n"], r["bits"], r["exceptions"]
+        box = np.zeros(n * b + (n + 32 * e if e else 0), bool)
+        box[np.asarray(r["ones"], np.int64) - r["offset"]] = True
+        code = (box[: n * b].reshape(b, n).astype(np.int64) << np.arange(b)[:, None]).sum(0)
+        if b == 32:
+            values = code.astype(np.uint32).view(np.float32)
+        else:
+            with np.errstate(over="ignore"):
+                values = (r["minimum"] + r["step"] * code).astype(np.float32)
+        if e:
+            mask = box[n * b : n * b + n]
+            if mask.sum() != e or code[mask].any():
+                return None
+            words = (box[n * b + n :].reshape(e, 32).astype(np.int64) << np.arange(32)).sum(1)
+            values[mask] = words.astype(np.uint32).view(np.float32)
+        return values if np.isfinite(values).all() else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("tile_id"), batch.column("grp"), pa.array([one(r) for r in batch.to_pylist()], pa.list_(pa.float32()))], ["tile_id", "grp", "values"])
+
+    return rows.mapInArrow(run, f"tile_id {kind}, grp {grp}, values array<float>")
+
+
+def estimate(tiles_groups: DataFrame, policy: Policy) -> DataFrame:
+    """The report of groups that are encoded for it and not kept, with the payload's portable size."""
+    from .bitset import roaring_size_of_rows
+
+    encoded = encode(tiles_groups, policy)
+    size = roaring_size_of_rows(ordinals_of(encoded), ["tile_id"]).select("tile_id", F.col("bytes").alias("payload_roaring_bytes"))
+    return report(encoded).join(size, "tile_id", "left").withColumn("payload_roaring_bytes", F.coalesce("payload_roaring_bytes", F.lit(8)))
