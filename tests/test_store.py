@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import struct
 
 import pytest
@@ -174,22 +175,110 @@ def test_host_tier():
         both.offer("q", 0, 1.0)
 
 
-def test_budgets():
-    options = [[(2, 1.0), (4, 0.0)], [(2, 0.4), (4, 0.0)]]
-    assert allocation.greedy(options, 6) == [1, 0] and allocation.greedy(options, 4) == [0, 0]
-    rows = [[(2, 4.0), (4, 1.0), (8, 0.0)], [(2, 1.0), (4, 0.5), (8, 0.0)]]
-    assert allocation.greedy(rows, 8, free_upgrades=True) == [1, 1]
-    assert allocation.greedy([[(4, 3.0), (4, 2.0), (4, 1.0)]], 4, free_upgrades=True) == [2]
-    odd = [[(1, 3.0), (2, 1.0), (4, 0.0)], [(1, 2.0), (2, 0.5), (4, 0.0)]]
-    picked = allocation.greedy(odd, 3, free_upgrades=True, even_floor=True)
-    assert picked[0] == 1 and sum(odd[i][j][0] for i, j in enumerate(picked)) <= 3
-    assert allocation.dispersed([[(1, 0.0), (2, 0.0)]] * 3, 4) in ([1, 0, 0], [0, 1, 0], [0, 0, 1])
+def greedy_by_force(options, budget, free=False, even=False):
+    """Purchase after purchase, looking at every option of every item each time."""
+    allowed = [[j for j in range(len(o)) if not (even and i % 2 == 0 and j == 0)] for i, o in enumerate(options)]
+    picked = [min(a, key=lambda j, o=o: (o[j][0], 0 if free else o[j][1], j)) for o, a in zip(options, allowed, strict=True)]
+    left = budget - sum(o[j][0] for o, j in zip(options, picked, strict=True))
+    while True:
+        found = []
+        for i, o in enumerate(options):
+            for j in allowed[i]:
+                extra, drop = o[j][0] - o[picked[i]][0], o[picked[i]][1] - o[j][1]
+                if drop > 0 and extra <= left and (extra > 0 or free and extra == 0):
+                    found.append((-(drop / extra if extra else float("inf")), extra, i, j))
+        if not found:
+            return picked
+        _, extra, i, j = min(found)
+        left, picked[i] = left - extra, j
+
+
+def choices_of(spark, pools):
+    rows = [(p, i, j, b, s) for p, options in pools.items() for i, o in enumerate(options) for j, (b, s) in enumerate(o)]
+    return spark.createDataFrame(rows, "pool string, item bigint, j int, bytes bigint, score double")
+
+
+def picks(df):
+    out = {}
+    for r in df.orderBy("pool", "item").collect():
+        out.setdefault(r["pool"], []).append(r["j"])
+    return out
+
+
+@pytest.mark.parametrize("free,even", [(False, False), (True, False), (True, True)])
+def test_budgets(spark, free, even):
+    r = random.Random(17 + free)
+    pools = {"a": [[(2, 1.0), (4, 0.0)], [(2, 0.4), (4, 0.0)]], "b": [[(2, 4.0), (4, 1.0), (8, 0.0)], [(2, 1.0), (4, 0.5), (8, 0.0)]], "c": [[(4, 3.0), (4, 2.0), (4, 1.0)]]}
+    pools |= {f"r{k}": [[(r.randrange(1, 9), float(r.randrange(6))) for _ in range(3)] for _ in range(12)] for k in range(5)}
+    pools["t"] = [[(1, 9.0), (5, 5.0), (7, 3.0), (8, 3.0)] for _ in range(9)]  # equal gains all along
+    floor = {p: sum(min(b for j, (b, _) in enumerate(o) if not (even and i % 2 == 0 and j == 0)) for i, o in enumerate(x)) for p, x in pools.items()}
+    budgets = {p: n + r.randrange(0, 25) for p, n in floor.items()}
+    choices = choices_of(spark, pools)
+    budget = spark.createDataFrame(list(budgets.items()), "pool string, budget bigint")
+    got = picks(allocation.allocate(choices.join(budget, "pool"), "pool", F.col("budget"), free_upgrades=free, even_floor=even))
+    assert got == {p: greedy_by_force(o, budgets[p], free, even) for p, o in pools.items()}
     with pytest.raises(Invalid):
-        allocation.greedy(options, 3)
+        allocation.allocate(choices, "pool", F.lit(1))
+    chosen = spark.createDataFrame([(p, i, j) for p, own in got.items() for i, j in enumerate(own)], "pool string, item bigint, j int")
+    assert all(x["ok"] and x["bytes"] == sum(pools[x["pool"]][i][j][0] for i, j in enumerate(got[x["pool"]])) for x in allocation.within(choices, chosen, budget).collect())
+
+
+def test_dispersed(spark):
+    r = random.Random(4)
+    pools = {f"p{k}": [[(r.randrange(1, 5), 0.0), (r.randrange(1, 12), 0.0)] for _ in range(r.randrange(1, 40))] for k in range(6)}
+    budgets = {p: sum(o[0][0] for o in x) + r.randrange(40) for p, x in pools.items()}
+    want = {}
+    for p, x in pools.items():
+        picked, left = [0] * len(x), budgets[p] - sum(o[0][0] for o in x)
+        for i in sorted(range(len(x)), key=lambda i, n=len(x): (i * 73 % n, i)):
+            extra = x[i][1][0] - x[i][0][0]
+            if extra <= left:
+                picked[i], left = 1, left - max(extra, 0)
+        want[p] = picked
+    budget = spark.createDataFrame(list(budgets.items()), "pool string, budget bigint")
+    assert picks(allocation.allocate(choices_of(spark, pools).join(budget, "pool"), "pool", F.col("budget"), "dispersed")) == want
 
 
 def test_swaps(spark):
-    choices = spark.createDataFrame([("p", i, j, b, s) for i in range(3) for j, (b, s) in enumerate([(1, 3.0 - i), (2, 1.0), (3, 0.5)])], "pool string, item bigint, j int, bytes bigint, score double")
-    chosen = spark.createDataFrame([("p", 0, 0), ("p", 1, 1), ("p", 2, 2)], "pool string, item bigint, j int")
-    got = allocation.swaps(chosen, choices).collect()
-    assert got and got[0]["gain"] == max(r["gain"] for r in got)
+    r = random.Random(8)
+    pools = {"p": [[(r.randrange(1, 8), float(r.randrange(20)) / 4) for _ in range(3)] for _ in range(14)], "q": [[(1, 3.0 - i), (2, 1.0), (3, 0.5)] for i in range(3)]}
+    chosen = spark.createDataFrame([(p, i, r.randrange(3)) for p, x in pools.items() for i in range(len(x))], "pool string, item bigint, j int")
+    now = {(x["pool"], x["item"]): x["j"] for x in chosen.collect()}
+    for most, slack in ((40, 0), (7, 2), (1000, 3)):
+        want = []
+        for p, x in pools.items():
+            moves = [(i, j, o[j][0] - o[now[p, i]][0], o[now[p, i]][1] - o[j][1]) for i, o in enumerate(x) for j in range(3) if j != now[p, i]]
+            want += [-g for _, _, b, g in moves if b <= slack]
+            want += [-(a[3] + b[3]) for k, a in enumerate(moves) for b in moves[k + 1 :] if a[0] != b[0] and a[2] + b[2] <= slack]
+        got = allocation.swaps(chosen, choices_of(spark, pools), most, slack).collect()
+        assert [round(-x["gain"], 9) for x in got] == [round(w, 9) for w in sorted(want)[:most]]
+
+
+def test_refinement_and_shortlists(spark, tmp_path):
+    pools = {"p": [[(1, 4.0), (2, 1.5), (4, 1.0)], [(1, 3.0), (2, 2.9), (4, 0.0)], [(2, 1.0), (3, 0.9), (4, 0.8)]]}
+    choices = choices_of(spark, pools)
+    loss = lambda c: c.join(choices, ["pool", "item", "j"]).agg(F.sum("score")).first()[0]
+    size = lambda c: allocation.chosen_bytes(choices, c).first()["bytes"]
+    start = spark.createDataFrame([("p", 0, 0), ("p", 1, 0), ("p", 2, 2)], "pool string, item bigint, j int")
+    found, best, trials = allocation.refined(start, choices, lambda c: 8 - size(c), loss)
+    assert best < loss(start) and size(found) <= 8 and best == loss(found) and trials > 2
+    every = spark.createDataFrame([("p", i, 2) for i in range(3)], "pool string, item bigint, j int")
+    assert [x["item"] for x in allocation.one_bit_shortlist(every, choices).collect()] == [2, 0, 1]
+    sparse, after, trials = allocation.sparse_one_bit(every, choices, loss, extra=0.5)
+    assert picks(sparse) == {"p": [2, 2, 0]} and after == loss(sparse) and trials == 3 + 2
+    tiles = allocation.chosen_tiles(choices.withColumn("data", F.encode(F.col("j").cast("string"), "UTF-8")), found)
+    with Writer(spark, f"file://{tmp_path}/chosen") as w:
+        assert allocation.persist_and_verify(w, "tiles", tiles, ["pool", "item"]) == 1 and w.table("tiles").count() == 3
+
+
+def test_replay(spark):
+    r = random.Random(5)
+    rows = [(t, k, r.choice(["get", "offer", "offer", "invalidate"]), r.randrange(12), r.randrange(1, 9), float(r.randrange(-2, 30))) for t in range(3) for k in range(200)]
+    trace = spark.createDataFrame(rows, "tier int, at bigint, op string, key bigint, bytes bigint, saving double").repartition(5)
+    want = {}
+    for t in range(3):
+        host = admission.HostTier(20, 5)
+        for _, _, op, key, size, saving in [x for x in rows if x[0] == t]:
+            host.get(key) if op == "get" else host.invalidate(key) if op == "invalidate" else host.offer(key, size, saving)
+        want |= {(t, k): (e.bytes, e.saving, e.used) for k, e in host.entries.items()}
+    assert {(x["tier"], x["key"]): (x["bytes"], x["saving"], x["used"]) for x in admission.replay(trace, "tier", ["at"], 20, 5).collect()} == want

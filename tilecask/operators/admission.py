@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from math import isfinite
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,20 +100,34 @@ class HostTier:
 def replay(trace: DataFrame, tier: str, order: list[str], most_bytes: int, most_entries: int) -> DataFrame:
     """Runs each tier's trace ``(tier, order, op, key, bytes, saving)`` in order; the entries that stay.
 
-    ``op`` is get, offer or invalidate.  A tier is a state of its own, so tiers run side by side.
+    ``op`` is get, offer or invalidate.  A tier is a state of its own, so tiers run side by side; a task
+    streams a tier's sorted rows and holds its entries only, which the caps bound.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        host = HostTier(most_bytes, most_entries)
-        for row in pdf.sort_values(order).itertuples():
-            if row.op == "get":
-                host.get(row.key)
-            elif row.op == "invalidate":
-                host.invalidate(row.key)
-            else:
-                host.offer(row.key, int(row.bytes), float(row.saving))
-        name = pdf[tier].iloc[0]
-        return pd.DataFrame([(name, k, e.bytes, e.saving, e.used) for k, e in sorted(host.entries.items())], columns=[tier, "key", "bytes", "saving", "used"])
-
     kind = trace.schema[tier].dataType.simpleString()
-    return trace.groupBy(tier).applyInPandas(run, f"{tier} {kind}, key bigint, bytes bigint, saving double, used bigint")
+    columns = ["op", "key", "bytes", "saving"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, name = HostTier(most_bytes, most_entries), None
+
+        def left() -> pa.RecordBatch:
+            rows = sorted(host.entries.items())
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), kinds), pa.array([k for k, _ in rows], pa.int64()), pa.array([e.bytes for _, e in rows], pa.int64()), pa.array([e.saving for _, e in rows], pa.float64()), pa.array([e.used for _, e in rows], pa.int64())], [tier, "key", "bytes", "saving", "used"])
+
+        for batch in batches:
+            kinds = batch.schema.field(tier).type
+            for own, op, key, size, saving in zip(batch.column(tier).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if own != name:
+                    if name is not None:
+                        yield left()
+                    host, name = HostTier(most_bytes, most_entries), own
+                if op == "get":
+                    host.get(key)
+                elif op == "invalidate":
+                    host.invalidate(key)
+                else:
+                    host.offer(key, int(size), float(saving))
+        if name is not None:
+            yield left()
+
+    rows = trace.repartition(tier).sortWithinPartitions(tier, *order).select(tier, *columns)
+    return rows.mapInArrow(run, f"{tier} {kind}, key bigint, bytes bigint, saving double, used bigint")
