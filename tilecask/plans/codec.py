@@ -126,10 +126,17 @@ rz AS (SELECT vec_id, grp, count(*) AS card, count(*) FILTER (before IS NULL OR
 a AS (SELECT e.vec_id, e.grp, e.bits, k.cost FROM e JOIN k ON e.vec_id = k.vec_id AND e.grp = k.grp AND e.bits = k.bits WHERE e.trim = 0 AND max_err <= {error}
 UNION ALL SELECT vec_id, grp, 32, 29 + 8 + 4 + CASE WHEN 2 + 4 * runs < 2 * card THEN 11 + 4 * runs ELSE 16 + 2 * card END FROM rz),
 h AS (SELECT *, row_number() OVER (PARTITION BY vec_id, grp ORDER BY cost, bits) AS nth FROM a)
-SELECT vec_id, CAST(grp AS INT) AS grp, bits, CAST(cost AS BIGINT) AS cost FROM h WHERE nth = 1"""
+{{outputs}}"""
 
 
-@query(trials_sql(0.02, "SELECT 1").rsplit("SELECT 1", 1)[0].rstrip() + BEST.format(error=0.02))
+def best_sql(outputs: str) -> str:
+    """The cheapest acceptable trial of each group, raw words among them, as ``h`` with ``nth`` of 1."""
+    return trials_sql(0.02, "SELECT 1").rsplit("SELECT 1", 1)[0].rstrip() + BEST.format(error=0.02).replace("{outputs}", outputs)
+
+
+
+
+@query(best_sql("SELECT vec_id, CAST(grp AS INT) AS grp, bits, CAST(cost AS BIGINT) AS cost FROM h WHERE nth = 1"))
 def affine_choose_best(spark, sf_dir):
     """The cheapest trial, the raw words among them."""
     g = channel_groups(spark, sf_dir).withColumn("raw", F.lit(False))
@@ -137,13 +144,15 @@ def affine_choose_best(spark, sf_dir):
     return t.select(F.col("tile_id").alias("vec_id"), "grp", "bits", "cost")
 
 
-@query()
+@query(best_sql("SELECT bits, count(*) AS groups, CAST(CASE WHEN bits = 32 THEN 32 * count(*) ELSE 0 END AS BIGINT) AS raw_values, CAST(0 AS BIGINT) AS exceptions FROM h WHERE nth = 1 GROUP BY bits"))
 def groups_by_bits(spark, sf_dir):
     c = _chosen(spark, sf_dir)
     return c.groupBy("bits").agg(F.count("*").alias("groups"), F.sum(F.when(F.col("bits") == 32, F.size("values")).otherwise(0)).alias("raw_values"), F.sum("exceptions").alias("exceptions"))
 
 
-@query()
+@query(best_sql(""", sq AS (SELECT vec_id, grp, bits, sum(pow(v - CAST(CAST(mn + step * code AS FLOAT) AS DOUBLE), 2)) AS sse FROM c WHERE trim = 0 GROUP BY 1, 2, 3),
+fin AS (SELECT h.vec_id, h.bits, coalesce(e.max_err, 0) AS max_err, coalesce(sq.sse, 0) AS sse FROM h LEFT JOIN e ON h.vec_id = e.vec_id AND h.grp = e.grp AND h.bits = e.bits AND e.trim = 0 LEFT JOIN sq ON h.vec_id = sq.vec_id AND h.grp = sq.grp AND h.bits = sq.bits WHERE nth = 1)
+SELECT vec_id AS tile_id, CAST(sum(32 * bits) AS BIGINT) AS span_bits, CAST(sum(32 * bits) / 8 AS BIGINT) AS packed_bytes, CAST(0 AS BIGINT) AS exceptions, CAST(sum(CASE WHEN bits = 32 THEN 32 ELSE 0 END) AS BIGINT) AS raw_values, max(max_err) AS max_err, round(sqrt(sum(sse) / 64), 6) AS rmse FROM fin GROUP BY 1"""))
 def encode_report(spark, sf_dir):
     r = affine.report(_chosen(spark, sf_dir))
     return r.select("tile_id", "span_bits", "packed_bytes", "exceptions", "raw_values", "max_err", F.round("rmse", 6).alias("rmse"))
@@ -227,7 +236,9 @@ for _b in (2, 4):
     _compact(_b)
 
 
-@query()
+@query(f"""WITH {CELLS}, m AS (SELECT vec_id, abs(CAST(v AS DOUBLE)) AS m FROM t), g AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE CAST(floor(log2(m)) AS INT) END AS guess FROM m),
+x AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN pow(2.0, guess) > m THEN guess - 1 WHEN pow(2.0, guess + 1) <= m THEN guess + 1 ELSE guess END AS ex FROM g)
+SELECT label, CASE WHEN bool_and(m = 0 OR CAST((m / pow(2.0, ex) - 1) * 8388608 AS BIGINT) % 65536 = 0) THEN 'bf16-le' ELSE 'f32-le' END AS dtype FROM x JOIN embeddings USING (vec_id) GROUP BY 1""")
 def bf16_tail_eligible(spark, sf_dir):
     """For each label whether its vectors' floats are all brain floats."""
     e = table(spark, sf_dir, "embeddings").select("label", bf16_exact(float_bits("embedding")).alias("exact"))

@@ -66,7 +66,9 @@ def budget_greedy(spark, sf_dir):
     return allocation.allocate(c.join(budget, "pool"), "pool", F.col("budget"))
 
 
-@query()
+@query("""WITH i AS (SELECT label AS pool, vec_id AS item, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+o AS (SELECT pool, item, n, row_number() OVER (PARTITION BY pool ORDER BY place * 73 % n, place) AS nth FROM i)
+SELECT pool, item, CAST(CASE WHEN nth * 16 <= n * 8 THEN 1 ELSE 0 END AS INT) AS j FROM o""")
 def dispersed_mix(spark, sf_dir):
     c = _choices(spark, sf_dir).where("j < 2")
     budget = c.groupBy("pool").agg((F.count_distinct("item") * 53).alias("budget"))
