@@ -282,3 +282,15 @@ def test_commits_cost_what_changes(spark, tmp_path):
         w.files.claim(f"claims/{w.version + 1:012d}")
         with pytest.raises(Busy):
             w.upsert("records", rows([1], "f"))
+
+
+def test_snapshot_parts(spark):
+    df = spark.createDataFrame([(("n", "m", "p", 3, "s"), "f", buffers(("codes", "u8", [2], b"ab"), ("scale", "f32-le", [1], b"1234"))), (("n", "m", "p", 4, "s"), "f", buffers(("codes", "u8", [1], b"z")))], f"address struct<{ADDRESS.replace(' ', ':').replace(',:', ', ')}>, format string, buffers {packed.BUFFERS}")
+    got = df.select(packed.one_buffer(F.col("buffers"), "codes").alias("one"), packed.one_buffer(F.col("buffers"), "other").alias("no"), packed.named_buffer(F.col("buffers"), "scale", "f32-le", "bf16-le").alias("scale"), packed.named_buffer(F.col("buffers"), "scale", "u8").alias("wrong")).collect()
+    assert [r["one"] and bytes(r["one"]) for r in got] == [None, b"z"] and all(r["no"] is None and r["wrong"] is None for r in got)
+    assert bytes(got[0]["scale"]["bytes"]) == b"1234" and got[1]["scale"] is None
+    raw = spark.createDataFrame([(bytearray(b"xyz"),)], "d binary").select(packed.raw_buffers("state", F.col("d")).alias("b")).select(packed.snapshot_error(F.lit("f"), F.col("b")).alias("e"), packed.one_buffer(F.col("b"), "state").alias("x")).first()
+    assert raw["e"] is None and bytes(raw["x"]) == b"xyz"
+    text = packed.packed(df).select(packed.description(F.col("address"), F.col("format"), F.col("layouts"), F.col("payload_sha256")).alias("t"), "layouts", "payload_sha256")
+    back = text.select(packed.described(F.col("t")).alias("d"), packed.described(F.struct(F.concat(F.col("t.body"), F.lit(" ")).alias("body"), F.col("t.sha256").alias("sha256"))).alias("no"), "layouts", "payload_sha256").collect()
+    assert all(r["d"]["layouts"] == r["layouts"] and r["d"]["payload_sha256"] == r["payload_sha256"] and r["no"] is None for r in back) and {r["d"]["address"]["layer"] for r in back} == {3, 4}

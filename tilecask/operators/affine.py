@@ -296,3 +296,15 @@ def estimate(tiles_groups: DataFrame, policy: Policy) -> DataFrame:
     encoded = encode(tiles_groups, policy)
     size = roaring_size_of_rows(ordinals_of(encoded), ["tile_id"]).select("tile_id", F.col("bytes").alias("payload_roaring_bytes"))
     return report(encoded).join(size, "tile_id", "left").withColumn("payload_roaring_bytes", F.coalesce("payload_roaring_bytes", F.lit(8)))
+
+
+def choices(groups: DataFrame, pool: str, widths: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
+    """``(pool, item, j, bits, bytes, packed_bytes, score)`` for groups ``(tile_id, pool, values)``: each width with its sizes and squared error."""
+    options = []
+    for j, b in enumerate(widths):
+        groups = with_quantised(groups, "values", b, 0, f"q{b}")
+        back = decoded(F.col(f"q{b}"), F.col("values"))
+        sse = F.aggregate(F.zip_with(back, "values", lambda a, v: F.pow(a.cast("double") - v.cast("double"), F.lit(2.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
+        packed = F.ceil(F.size("values") * b / 8).cast("bigint")
+        options.append(F.struct(F.lit(j).alias("j"), F.lit(b).alias("bits"), (packed + DESCRIPTOR).alias("bytes"), packed.alias("packed_bytes"), sse.alias("score")))
+    return groups.select(F.col(pool).alias("pool"), F.col("tile_id").alias("item"), F.explode(F.array(*options)).alias("o")).select("pool", "item", "o.*")

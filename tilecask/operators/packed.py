@@ -69,6 +69,39 @@ def starts(lengths: Column) -> Column:
     return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i), _zero(), lambda s, n: s + n))
 
 
+def raw_buffers(name: str, data: Column) -> Column:
+    """One buffer of plain bytes."""
+    return F.array(F.struct(F.lit(name).alias("name"), F.lit("u8").alias("dtype"), F.array(F.octet_length(data).cast("bigint")).alias("shape"), data.alias("bytes")))
+
+
+def one_buffer(buffers: Column, name: str) -> Column:
+    """The bytes of a snapshot's only buffer; null if it has others, another name or another kind."""
+    only = F.try_element_at(buffers, F.lit(1))
+    return F.when((F.size(buffers) == 1) & (only["name"] == name) & (only["dtype"] == "u8"), only["bytes"])
+
+
+def named_buffer(buffers: Column, name: str, *dtypes: str) -> Column:
+    """``struct(dtype, bytes)`` of the buffer of a name; null if there is none or it is of another kind."""
+    found = F.try_element_at(F.filter(buffers, lambda b: b["name"] == name), F.lit(1))
+    return F.when(found["dtype"].isin(*dtypes), F.struct(found["dtype"].alias("dtype"), found["bytes"].alias("bytes")))
+
+
+#: What a description holds beside its address.
+DESCRIBED = "format string, layouts array<struct<name:string,dtype:string,shape:array<bigint>,length:bigint>>, payload_sha256 string"
+
+
+def description(identity: Column, fmt: Column, layout: Column, digest: Column) -> Column:
+    """``struct(body, sha256)``: a record's description as canonical text and its digest."""
+    body = F.to_json(F.struct(identity.alias("address"), fmt.alias("format"), layout.alias("layouts"), digest.alias("payload_sha256")))
+    return F.struct(body.alias("body"), F.sha2(F.encode(body, "UTF-8"), 256).alias("sha256"))
+
+
+def described(text: Column) -> Column:
+    """``struct(address, format, layouts, payload_sha256)`` of such a description; null if its digest is another."""
+    kind = f"address struct<namespace:string,model_fingerprint:string,prefix_fingerprint:string,layer:bigint,slot:string>, {DESCRIBED}"
+    return F.when(F.sha2(F.encode(text["body"], "UTF-8"), 256) == text["sha256"], F.from_json(text["body"], kind))
+
+
 def layout_error(layout: Column, data: Column) -> Column:
     """Null if the buffers fill the payload and no more."""
     fits = added(F.transform(layout, lambda b: b["length"])) == F.octet_length(data)

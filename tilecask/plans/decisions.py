@@ -48,14 +48,7 @@ def host_tier_trace(spark, sf_dir):
 
 def _choices(spark, sf_dir) -> DataFrame:
     """For each vector two, four and eight bits with their bytes and squared error; a pool for each label."""
-    g = channel_groups(spark, sf_dir, 64)
-    options = []
-    for j, b in enumerate((2, 4, 8)):
-        g = affine.with_quantised(g, "values", b, 0, f"q{b}")
-        back = affine.decoded(F.col(f"q{b}"), F.col("values"))
-        sse = F.aggregate(F.zip_with(back, "values", lambda a, v: F.pow(a.cast("double") - v.cast("double"), F.lit(2.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
-        options.append(F.struct(F.lit(j).alias("j"), F.lit(b).alias("bits"), F.lit(64 * b // 8 + 29).cast("bigint").alias("bytes"), sse.alias("score")))
-    return g.select(F.col("label").alias("pool"), F.col("tile_id").alias("item"), F.explode(F.array(*options)).alias("o")).select("pool", "item", "o.*")
+    return affine.choices(channel_groups(spark, sf_dir, 64), "label").drop("packed_bytes")
 
 
 @query()
