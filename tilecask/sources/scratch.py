@@ -34,6 +34,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tilecask-{kind}-{uuid.uuid4().hex}"
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The paths of all that lies in a folder."""
+    where, fs = _file_system(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, fs = _file_system(spark, path)
+    fs.delete(where, True)
