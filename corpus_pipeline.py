@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
@@ -13,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilecask.llm import language, lines, minhash, packing, suffixes
-from tilecask.llm.frames import shared_dir
+from tilecask.llm.frames import temporaries
 from tilecask.llm.queries import TOKENIZER
+from tilecask.sources.scratch import delete_folder, new_folder
 
 #: A document goes if no language is at least this probable.
 LEAST_SCORE = 0.3
@@ -82,10 +82,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage has stored on the way goes when it ends, and its result when the next one has been written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
-        docs = spark.read.parquet(f"{where}/{name}")
+        where = new_folder(spark, f"corpus-{name}")
+        with temporaries(spark):
+            stage(spark, docs, sf_dir).write.parquet(where)
+        docs = spark.read.parquet(where)
+        if before:
+            delete_folder(spark, before)
+        before = where
     return docs

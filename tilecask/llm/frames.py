@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 
@@ -15,23 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete_folder, folders, new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names.
+#: Folders that :func:`stored` has written, for each open :func:`temporaries`.
+_written: list[list[str]] = []
 
-    Where none is named, as in tests, a local session gets a folder that goes with the process; on a
-    cluster that is an error, since executors share no local folder.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tilecask-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end what operators have stored and checkpointed in the shared folder meanwhile; results must have been written by then."""
+    shared_dir(spark)
+    checkpoints = spark.sparkContext.getCheckpointDir()
+    before = set(folders(spark, checkpoints))
+    _written.append([])
+    try:
+        yield
+    finally:
+        own = _written.pop()
+        for path in [*own, *(set(folders(spark, checkpoints)) - before)]:
+            delete_folder(spark, path)
 
 
 def modest_batches(spark: SparkSession) -> None:
@@ -51,7 +49,9 @@ def settle(df: DataFrame, few: int = 1) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same for larger tables: compressed columns in a folder of its own, without a fixed order of partitions."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tilecask-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "rows")
+    for own in _written:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
