@@ -111,7 +111,7 @@ def _words(text) -> DataFrame:
     return F.transform(F.split(text, " ", -1), lambda w: F.crc32(F.encode(w, "UTF-8")))
 
 
-@query("SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents r JOIN labels USING (doc_id) WHERE r.text = d.text) THEN CAST(len(string_split(d.text, ' ')) AS INT) END AS n FROM documents d")
+@query("SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents r JOIN labels USING (doc_id) WHERE r.text = d.text) THEN CAST(len(string_split(d.text, ' ')) AS INT) END AS n FROM documents d WHERE d.text IS NOT NULL")
 def token_cache(spark, sf_dir):
     """The ids of the labelled documents' texts are cached; all texts are asked for."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
@@ -282,19 +282,28 @@ def state_pages(spark, sf_dir):
     return bundles.cut_pages(_pages(spark, sf_dir), ["page_id"], "state", PAGE).select("page_id", "page_no", F.octet_length("bytes").alias("n"), F.sha2("bytes", 256).alias("sha"))
 
 
-@query(f"WITH {PAGES} SELECT page_id, page_no FROM s WHERE (page_id + page_no) % 7 = 0")
+LOST = "l AS (SELECT page_id, max(page_no) AS last FROM s GROUP BY 1), u AS (SELECT page_id FROM pages WHERE url LIKE '%?%')"
+
+
+def _with_holes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """States and their pages, of which those with a query in their URL have lost the last one."""
+    state = _pages(spark, sf_dir).where(F.octet_length("state") > 0)
+    asked = table(spark, sf_dir, "pages").where("url like '%?%'").select("page_id", F.lit(True).alias("asked"))
+    pages = bundles.cut_pages(state.withColumn("last", F.ceil(F.octet_length("state") / PAGE) - 1), ["page_id", "last"], "state", PAGE).join(asked, "page_id", "left")
+    return state, pages.where("asked is null or page_no != last").drop("asked", "last")
+
+
+@query(f"WITH {PAGES}, {LOST} SELECT page_id, last AS page_no FROM l JOIN u USING (page_id)")
 def bundle_completeness(spark, sf_dir):
     """Pages that a store with holes lacks."""
-    state = _pages(spark, sf_dir)
-    there = bundles.cut_pages(state, ["page_id"], "state", PAGE).where("(page_id + page_no) % 7 != 0")
+    state, there = _with_holes(spark, sf_dir)
     headers = state.select("page_id", F.octet_length("state").alias("state_bytes"))
     return bundles.missing_pages(headers, there, ["page_id"], PAGE).select("page_id", "page_no")
 
 
-@query(f"WITH {PAGES} SELECT page_id, NOT bool_or((page_id + page_no) % 7 = 0) AS ok FROM s GROUP BY 1")
+@query(f"WITH {PAGES}, {LOST} SELECT page_id, page_id NOT IN (SELECT page_id FROM u) AS ok FROM l")
 def bundle_checksum(spark, sf_dir):
-    state = _pages(spark, sf_dir).where(F.octet_length("state") > 0)
-    there = bundles.cut_pages(state, ["page_id"], "state", PAGE).where("(page_id + page_no) % 7 != 0")
+    state, there = _with_holes(spark, sf_dir)
     headers = state.select("page_id", bundles.page_digests(F.col("state"), PAGE).alias("page_sha256"))
     return bundles.verified(headers, there, ["page_id"])
 
