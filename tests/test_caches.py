@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from tilecask.errors import Busy, Corrupt, Invalid
 from tilecask.functions import address
-from tilecask.operators import bitset, packed
-from tilecask.sources import caches
+from tilecask.operators import affine, bitset, packed
+from tilecask.sources import caches, tiles
 from tilecask.sources.store import Reader, Writer
 
 ADDRESS = "namespace string, model_fingerprint string, prefix_fingerprint string, layer bigint, slot string"
@@ -294,3 +294,34 @@ def test_snapshot_parts(spark):
     text = packed.packed(df).select(packed.description(F.col("address"), F.col("format"), F.col("layouts"), F.col("payload_sha256")).alias("t"), "layouts", "payload_sha256")
     back = text.select(packed.described(F.col("t")).alias("d"), packed.described(F.struct(F.concat(F.col("t.body"), F.lit(" ")).alias("body"), F.col("t.sha256").alias("sha256"))).alias("no"), "layouts", "payload_sha256").collect()
     assert all(r["d"]["layouts"] == r["layouts"] and r["d"]["payload_sha256"] == r["payload_sha256"] and r["no"] is None for r in back) and {r["d"]["address"]["layer"] for r in back} == {3, 4}
+
+
+def test_tiles(spark, tmp_path):
+    root = f"file://{tmp_path}/tiles"
+    kind = f"{ADDRESS}, shape array<int>, axes array<string>, values array<float>"
+    cases = [([6, 4], ["token", "channel"], [0.1 * (i * 7 % 11) - 0.4 for i in range(24)]), ([2, 3, 4], ["token", "head", "channel"], [float(i % 5) for i in range(24)])]
+    rows = spark.createDataFrame([("n", "m", "p", i, "k", *c) for i, c in enumerate(cases)], kind)
+    exact, loose = affine.Policy("token", 4, (2, 4, 8), 0.0), affine.Policy("channel", 3, (2, 4, 8), 0.05, 0.0, 1)
+    with Writer(spark, root) as w:
+        assert tiles.get_tiles(w, rows).count() == 0
+        report = {r["tile_id"]: r for r in tiles.put_tiles(w, rows, loose).collect()}
+        assert len(report) == 2 and all(r["max_err"] <= 0.05 + 1e-6 for r in report.values())
+        guess = {r["tile_id"]: r for r in tiles.estimate_tiles(rows, loose).collect()}
+        assert all(guess[t]["span_bits"] == r["span_bits"] and guess[t]["payload_roaring_bytes"] > 8 for t, r in report.items())
+        tiles.put_tiles(w, rows.where("layer = 1"), exact)
+        got = {r["layer"]: r for r in tiles.get_tiles(w, rows).collect()}
+        assert got[1]["values"] == cases[1][2] and got[1]["shape"] == [2, 3, 4]
+        assert max(abs(a - b) for a, b in zip(got[0]["values"], cases[0][2], strict=True)) <= 0.05 + 1e-6
+        with pytest.raises(Invalid):
+            tiles.put_tiles(w, rows.withColumn("shape", F.array(F.lit(5))), loose)
+        table = w.table("tiles")
+        longer = F.concat(F.col("payload"), F.lit(bytearray(b"\1")))
+        w.commit({"tiles": table.withColumn("payload", longer)})
+        with pytest.raises(Corrupt):
+            tiles.get_tiles(w, rows)
+        w.commit({"tiles": table.withColumn("payload", longer).withColumn("payload_sha256", F.sha2(longer, 256))})
+        with pytest.raises(Corrupt):
+            tiles.get_tiles(w, rows)
+        w.commit({"tiles": table})
+        tiles.remove_tiles(w, rows.where("layer = 0"))
+        assert {r["layer"] for r in tiles.get_tiles(w, rows).collect()} == {1}

@@ -9,10 +9,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tilecask.cli import groups_of
 from tilecask.errors import Corrupt, Invalid
 from tilecask.functions import bits as bit_functions
 from tilecask.operators import affine, bitset, compact, tensor
+from tilecask.sources.tiles import groups_of
 
 TILE = "tile_id string, shape array<int>, axes array<string>, values array<float>"
 

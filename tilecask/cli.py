@@ -6,17 +6,18 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .functions.address import FIELDS
-from .operators import affine, tensor
+from .operators import affine
+from .sources import tiles
 from .sources.requests import parse_request
 from .sources.store import Reader, Writer
 
+ADDRESS = "namespace string, model_fingerprint string, prefix_fingerprint string, layer bigint, slot string"
 
-def tiles_of(spark: SparkSession, request: dict) -> DataFrame:
-    t = request["tensor"]
-    return spark.createDataFrame([("request", t["shape"], t["axes"], [float(v) for v in t["values"]])], "tile_id string, shape array<int>, axes array<string>, values array<float>")
+
+def _one(spark: SparkSession, address: dict) -> DataFrame:
+    return spark.createDataFrame([tuple(address[f] for f in FIELDS)], ADDRESS)
 
 
 def policy_of(request: dict) -> affine.Policy:
@@ -24,58 +25,25 @@ def policy_of(request: dict) -> affine.Policy:
     return affine.Policy(p["axis"], p["group_size"], tuple(p["candidate_bits"]), p["max_abs_error"], p.get("max_outlier_fraction", 0.0), p.get("residual_tokens", 0))
 
 
-def groups_of(tiles: DataFrame, policy: affine.Policy, token_axis: str = "token") -> DataFrame:
-    """Groups with ``raw`` set where one of their members is in the tail of the token axis."""
-    long = tensor.long_form(tiles)
-    at = F.array_position("axes", token_axis).cast("int")
-    stride = F.aggregate(F.slice("shape", at + 1, F.size("shape")), F.lit(1).cast("bigint"), lambda p, n: p * n)
-    width = F.element_at("shape", at)
-    token = F.when(at > 0, F.pmod(F.floor(F.col("idx") / stride), width.cast("bigint")))
-    long = tensor.with_groups(long, policy.axis, policy.group_size).withColumn("late", F.coalesce(token >= width - policy.tail, F.lit(False)))
-    parts = F.array_sort(F.collect_list(F.struct("along", "v")))
-    rows = long.groupBy("tile_id", "grp").agg(parts.alias("p"), F.bool_or("late").alias("raw"))
-    return rows.select("tile_id", "grp", F.transform("p", lambda x: x["v"]).alias("values"), "raw")
-
-
 def put(spark: SparkSession, root: str, request: dict) -> dict:
-    policy = policy_of(request)
-    tiles = tiles_of(spark, request)
-    if tiles.where(tensor.tile_error(F.col("shape"), F.col("axes"), F.col("values")).isNotNull()).count():
-        raise ValueError("invalid tensor")
-    encoded = affine.encode(groups_of(tiles, policy), policy)
-    back = encoded.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("grp", "offset", "bits", "minimum", "step", "codes", "exceptions", "back"))).alias("groups"))
-    identity = [F.lit(request["address"][f]).alias(f) for f in FIELDS]
-    record = tiles.join(back, "tile_id").select(*identity, "shape", "axes", F.lit(policy.axis).alias("axis"), F.lit(policy.group_size).alias("group_size"), "groups")
+    t, address = request["tensor"], request["address"]
+    row = (*(address[f] for f in FIELDS), t["shape"], t["axes"], [float(v) for v in t["values"]])
+    tile = spark.createDataFrame([row], f"{ADDRESS}, shape array<int>, axes array<string>, values array<float>")
     with Writer(spark, root) as store:
-        store.upsert("tiles", record)
-    return affine.report(encoded).first().asDict()
+        return tiles.put_tiles(store, tile, policy_of(request)).first().asDict()
 
 
 def get(spark: SparkSession, root: str, address: dict) -> dict | None:
-    rows = Reader(spark, root).table("tiles")
-    if rows is None:
-        return None
-    for f in FIELDS:
-        rows = rows.where(F.col(f) == F.lit(address[f]))
-    parts = rows.select("shape", "axes", "axis", "group_size", F.posexplode("groups").alias("g", "group"))
-    long = rows.select(F.lit("request").alias("tile_id"), "shape", "axes", "axis", "group_size", F.explode(F.sequence(F.lit(0), F.aggregate("shape", F.lit(1), lambda p, n: p * n) - 1)).alias("idx"))
-    first = rows.select("axis", "group_size").first()
-    if first is None:
-        return None
-    placed = tensor.with_groups(long, first["axis"], first["group_size"]).select("idx", "grp", (F.col("along") % first["group_size"]).cast("int").alias("k"))
-    values = placed.join(parts.select(F.col("group.grp").alias("grp"), F.col("group.back").alias("back")), "grp").select("idx", F.element_at("back", F.col("k") + 1).alias("v"))
-    tile = values.agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("p")).first()["p"]  # a tile has 16 Mi elements at most
-    row = rows.select("shape", "axes").first()
-    return {"shape": row["shape"], "axes": row["axes"], "values": [x["v"] for x in tile]}
+    row = tiles.get_tiles(Reader(spark, root), _one(spark, address)).first()
+    return None if row is None else {"shape": row["shape"], "axes": row["axes"], "values": row["values"]}
 
 
 def remove(spark: SparkSession, root: str, address: dict) -> bool:
-    one = spark.createDataFrame([tuple(address[f] for f in FIELDS)], "namespace string, model_fingerprint string, prefix_fingerprint string, layer bigint, slot string")
     with Writer(spark, root) as store:
         rows = store.table("tiles")
-        if rows is None or rows.join(one, list(FIELDS), "left_semi").isEmpty():
+        if rows is None or rows.join(_one(spark, address), list(FIELDS), "left_semi").isEmpty():
             return False
-        store.remove(["tiles"], one)
+        tiles.remove_tiles(store, _one(spark, address))
     return True
 
 

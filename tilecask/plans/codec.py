@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import bf16_exact, float_bits
 from ..operators import affine, bitset, compact, tensor
+from ..sources import tiles
+from ..sources.scratch import new_folder
+from ..sources.store import Reader, Writer
 from .catalogue import query, table
 
 CELLS = "t AS (SELECT vec_id, CAST(i - 1 AS INT) AS channel, embedding[i] AS v FROM embeddings, range(1, 65) r(i))"
@@ -268,3 +271,17 @@ def roaring_layouts(spark, sf_dir):
     rows = g.select(F.col("tile_id"), planes.alias("planes")).withColumn("mixed", F.array_sort(F.transform("planes", lambda o: (o % 64) * 8 + F.floor(o / 64))))
     sizes = rows.select(bitset.roaring_size("mixed").alias("i"), bitset.roaring_size("planes").alias("t"))
     return sizes.agg(F.sum("i").alias("interleaved"), F.sum("t").alias("transposed"), (F.count("*") * 64).alias("packed"))
+
+
+@query("SELECT vec_id, CAST(64 AS INT) AS n, true AS bounded FROM embeddings")
+def tile_roundtrip(spark, sf_dir):
+    """Each vector as a tile, put with a bound and read through the strict decoder."""
+    e = table(spark, sf_dir, "embeddings")
+    identity = (F.lit("engine").alias("namespace"), F.lit("m").alias("model_fingerprint"), F.col("vec_id").cast("string").alias("prefix_fingerprint"), F.lit(0).cast("bigint").alias("layer"), F.lit("key").alias("slot"))
+    rows = e.select(*identity, F.array(F.lit(1), F.lit(64)).alias("shape"), F.array(F.lit("token"), F.lit("channel")).alias("axes"), F.col("embedding").cast("array<float>").alias("values"))
+    root = new_folder(spark, "store")
+    with Writer(spark, root) as w:
+        tiles.put_tiles(w, rows, affine.Policy("channel", 32, (2, 4, 8), 0.02, 0.05))
+    found = tiles.get_tiles(Reader(spark, root), rows).select(F.col("prefix_fingerprint").cast("bigint").alias("vec_id"), F.col("values").alias("back"))
+    both = found.join(e, "vec_id")
+    return both.select("vec_id", F.size("back").alias("n"), (affine.largest_error(F.col("back"), F.col("embedding")) <= 0.02).alias("bounded"))
