@@ -39,20 +39,22 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
+def _merged(df: DataFrame, few: int) -> DataFrame:
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // few))
+
+
 def settle(df: DataFrame, few: int = 1) -> DataFrame:
     """Cut the lineage of a table that several later steps read; of small rows ``few`` shuffle partitions make one file."""
     shared_dir(df.sparkSession)
-    if few > 1:
-        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // few))
-    return df.checkpoint(eager=True)
+    return (_merged(df, few) if few > 1 else df).checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, few: int = 1) -> DataFrame:
     """The same for larger tables: compressed columns in a folder of its own, without a fixed order of partitions."""
     path = new_folder(df.sparkSession, "rows")
     for own in _written:
         own.append(path)
-    df.write.parquet(path)
+    (_merged(df, few) if few > 1 else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -368,12 +368,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     rows = docs.withColumn("tid", F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b"")))
     texts = rows.select("tid", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
 
-    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1"))
+    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1"), 4)
     frequent = heavy_keys(known, ["anchor"], "count")
     places = stored(spread_join(_anchor_table(texts, length), known.select("anchor"), ["anchor"], frequent, ["tid", "first"], "left_semi"))
     kinds = stored(places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where")))
     # an anchor with one kind of surroundings has nothing to be compared: all of them are repeated
-    sizes = stored(kinds.groupBy(F.col("anchor").alias("grp")).agg(F.count("*").alias("count"), F.sum("n").alias("n")))
+    sizes = kinds.groupBy(F.col("anchor").alias("grp")).count()
     several = sizes.where("count > 1").select(F.col("grp").alias("anchor"))
     compared = spread_join(kinds, several, ["anchor"], heavy_keys(sizes, ["grp"], "count"), ["piece"], "left_semi")
     wanted = compared.groupBy("where.tid").agg(F.collect_list(F.struct("anchor", "piece", "n", "where.first", "where.left", "where.windows")).alias("wanted"))
@@ -385,7 +385,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     met = None
     # anchors, and then cores, of too many surroundings are split further
     for narrower in (lambda p: _split(p, length), None):
-        hot = stored(sizes.where(F.col("count") > group).select("grp"))
+        hot = sizes.where(F.col("count") > group).select("grp")
         if hot.isEmpty():
             break
         pieces = stored(pieces)
