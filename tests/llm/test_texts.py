@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tilecask.llm import components, lines, minhash, shingles, suffixes
+from tilecask.llm import components, frames, lines, minhash, shingles, suffixes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use inside.
@@ -139,6 +139,33 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
+def test_joins_of_heavy_keys(spark):
+    """A join whose heavy keys are dealt to many places has the rows of a plain one."""
+    r = random.Random(14)
+    left = [(r.choice([1, 1, 1, 1, None, 2, *range(3, 40)]), k) for k in range(3000)]
+    a = spark.createDataFrame(left, "k bigint, a bigint")
+    b = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (5, 50), (None, 0)], "k bigint, b bigint")
+    heavy = frames.heavy_keys(a.groupBy("k").count().where("k is not null"), ["k"], "count")
+    assert 1 <= len(heavy) < 256
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for how in ("inner", "left", "left_semi"):
+        for keys in (heavy, []):
+            assert rows(frames.spread_join(a, b, ["k"], keys, ["a"], how)) == rows(a.join(b, "k", how))
+    assert frames.heavy_keys(a.limit(0).groupBy("k").count(), ["k"], "count") == []
+
+
+def test_temporaries(spark):
+    from tilecask.sources.scratch import folders, shared_dir
+
+    shared_dir(spark)
+    look = lambda: {*folders(spark, shared_dir(spark)), *folders(spark, spark.sparkContext.getCheckpointDir())}
+    before = look()
+    with frames.temporaries(spark):
+        assert frames.stored(spark.range(10), 2).count() == frames.settle(spark.range(10)).count() == 10
+        assert len(look() - before) == 2
+    assert look() == before
+
+
 # repeated strings -------------------------------------------------------------------
 
 

@@ -360,7 +360,7 @@ def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", group: int = GROUP) -> DataFrame:
     """The rows with ``spans``: where each text holds strings that start elsewhere too.
 
-    Only the names ``tid`` and ``spans`` may not be taken.  ``spans`` are pairs ``(low, high)``
+    Only the names ``tid``, ``spans`` and ``_salt`` may not be taken.  ``spans`` are pairs ``(low, high)``
     that may overlap; null for none.
     """
     modest_batches(docs.sparkSession)
