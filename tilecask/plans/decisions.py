@@ -51,7 +51,31 @@ def _choices(spark, sf_dir) -> DataFrame:
     return affine.choices(channel_groups(spark, sf_dir, 64), "label").drop("packed_bytes")
 
 
-@query()
+def _greedy_sql(rounds: int = 4) -> str:
+    """The purchases in rounds, each up to the first that does not fit; three options have no more than three sizes of a step."""
+    errors = " UNION ALL ".join(f"SELECT * FROM ({affine_sql(b, f'SELECT vec_id, {b} AS bits, sum(pow(v - back, 2)) AS s FROM d GROUP BY vec_id', 64)})" for b in (2, 4, 8))
+    steps = [
+        f"x AS ({errors})",
+        "i AS (SELECT label AS pool, vec_id AS item, max(s) FILTER (bits = 2) AS s0, max(s) FILTER (bits = 4) AS s1, max(s) FILTER (bits = 8) AS s2 FROM x JOIN embeddings USING (vec_id) GROUP BY 1, 2)",
+        "t0 AS (SELECT *, 0 AS j FROM i)",
+        "l0 AS (SELECT pool, count(*) * (69 - 45) AS l FROM i GROUP BY 1)",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"f{r} AS (SELECT *, CASE WHEN j = 0 AND l >= 16 AND s0 > s1 AND (l < 48 OR s0 <= s2 OR (s0 - s1) / 16 >= (s0 - s2) / 48) THEN 1 WHEN j = 0 AND l >= 48 AND s0 > s2 THEN 2 WHEN j = 1 AND l >= 32 AND s1 > s2 THEN 2 END AS n FROM t{r} JOIN l{r} USING (pool))",
+            f"g{r} AS (SELECT *, CASE WHEN j = 1 THEN 32 WHEN n = 1 THEN 16 ELSE 48 END AS e, CASE WHEN j = 1 THEN (s1 - s2) / 32 WHEN n = 1 THEN (s0 - s1) / 16 ELSE (s0 - s2) / 48 END AS gain FROM f{r} WHERE n IS NOT NULL)",
+            f"m{r} AS (SELECT pool, item, l, 0 AS k, n, e, gain, e AS late FROM g{r} UNION ALL SELECT pool, item, l, 1, 2, 32, least(gain, (s1 - s2) / 32), CASE WHEN (s1 - s2) / 32 > gain THEN e ELSE 32 END FROM g{r} WHERE j = 0 AND n = 1 AND l >= 48 AND s1 > s2)",
+            f"c{r} AS (SELECT *, sum(e) OVER w AS spent, row_number() OVER w AS nth FROM m{r} WINDOW w AS (PARTITION BY pool ORDER BY gain DESC, late, item, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+            f"b{r} AS (SELECT pool, min(nth) AS stop FROM c{r} WHERE spent > l GROUP BY 1)",
+            f"d{r} AS (SELECT c{r}.* FROM c{r} LEFT JOIN b{r} USING (pool) WHERE stop IS NULL OR nth < stop)",
+            f"p{r} AS (SELECT pool, item, max(n) AS n FROM d{r} GROUP BY 1, 2)",
+            f"t{r + 1} AS (SELECT t.pool, t.item, s0, s1, s2, coalesce(n, j) AS j FROM t{r} t LEFT JOIN p{r} USING (pool, item))",
+            f"l{r + 1} AS (SELECT pool, l - coalesce((SELECT sum(e) FROM d{r} WHERE d{r}.pool = l{r}.pool), 0) AS l FROM l{r})",
+        ]
+    return f"WITH {', '.join(steps)} SELECT pool, item, CAST(j AS INT) AS j FROM t{rounds}"
+
+
+@query(_greedy_sql())
 def budget_greedy(spark, sf_dir):
     """A budget of five bits a value in each pool."""
     c = _choices(spark, sf_dir)
