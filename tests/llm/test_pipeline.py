@@ -17,7 +17,7 @@ def test_registered():
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op3_pages", "op5_minhash", "op7_maxscore", "op10_embeddings"])
+@pytest.mark.parametrize("name", ["op2_suffixes", "op3_pages", "op5_minhash", "op7_maxscore", "op10_embeddings"])
 def test_sql(spark, name):
     assert oracle.differences(__spark_entry__.queries()[name](spark, SF), __spark_entry__.oracle_sql()[name], oracle.connect(SF)) == []
 

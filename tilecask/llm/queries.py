@@ -73,6 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_embeddings": op10_embeddings,
 }
+#: Every window of 200 bytes by its digest, covered runs as islands, what is left as hex.
+SUFFIXES_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(array_slice(b, i + 1, i + 200)) AS h FROM d, LATERAL (SELECT unnest(range(0, n - 199)) AS i)),
+c AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), x AS (SELECT r, i FROM w JOIN c USING (h)),
+f AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM x),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM f), s AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY r, k),
+a AS (SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed FROM s GROUP BY 1),
+q AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS lo, lo AS hi FROM s UNION ALL SELECT r, max(hi), NULL FROM s GROUP BY 1),
+k AS (SELECT r, string_agg(hex(array_slice(b, lo + 1, coalesce(hi, n))), '' ORDER BY lo) AS h FROM q JOIN d USING (r) WHERE lo < coalesce(hi, n) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256 FROM d LEFT JOIN a USING (r) LEFT JOIN k USING (r)"""
 #: Shingles as strings of words, links by counting shared ones, components by walking links.
 MINHASH_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i) WHERE len(w) > 0),
@@ -90,13 +100,14 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label
 r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a"""
-#: The tables' pages all have one article, whose blocks are paragraphs and headings.
+#: The tables' pages all have one article, whose blocks are paragraphs and headings, and none of which is in all four neighbours.
 PAGES_SQL = """WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS a FROM pages),
 b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(a, '<br>', ' '), '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS b FROM a),
 d AS (SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS d FROM b),
 t AS (SELECT page_id, url, array_to_string(list_filter(d, lambda x: x <> ''), chr(10)) AS text FROM d)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""
 ORACLE: dict[str, str] = {
+    "op2_suffixes": SUFFIXES_SQL,
     "op3_pages": PAGES_SQL,
     "op5_minhash": MINHASH_SQL,
     "op7_maxscore": MAXSCORE_SQL,
