@@ -42,6 +42,8 @@ PART = 1 << 16
 BITS, NEVER = 20, 1 << 62
 #: Up to this many symbols a scan finds the next merge sooner than a heap does.
 SHORT = 40
+#: Few ids to bytes, by how many there are.
+_pack = [struct.Struct(f"<{n}I").pack for n in range(40)]
 #: White space as Unicode has it, which lacks the four separators U+001C to U+001F that str.split() cuts at.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _BLANKS = regex.compile(f"[{SPACE}]+")
@@ -185,32 +187,35 @@ class Transducer:
             w = self.widths[token] = len(self.v.names[token].removesuffix(self.v.suffix))
         return w
 
-    def feed(self, data: bytes) -> Iterator[int]:
+    def feed(self, data: bytes) -> list[int]:
         """Ids that nothing after ``data`` can change."""
+        out: list[int] = []
         for at in range(0, len(data), self.limit):
             self.held += data[at : at + self.limit]
             if len(self.held) >= 2 * self.limit:
-                yield from self._stable()
+                out += self._stable()
+        return out
 
-    def _stable(self) -> Iterator[int]:
-        symbols = merge_all([self.v.plain[b] for b in self.held], self.v.table)
-        done, sure = 0, len(self.held) - self.v.lookahead
+    def _stable(self) -> list[int]:
+        symbols = merge_all(list(map(self.v.plain.__getitem__, self.held)), self.v.table)
+        done, n, sure = 0, 0, len(self.held) - self.v.lookahead
         for token in symbols:
             w = self.width(token)
             if done + w > sure:
                 break
-            done += w
-            yield token
+            done, n = done + w, n + 1
         del self.held[:done]
+        return symbols[:n]
 
     def finish(self) -> list[int]:
         """The ids of what is still held; the word ends here."""
-        if not self.held:
+        held, v = self.held, self.v
+        if not held:
             return []
-        symbols = [self.v.plain[b] for b in self.held]
-        symbols[-1] = self.v.last[self.held[-1]]
-        self.held.clear()
-        return merge_all(symbols, self.v.table)
+        symbols = list(map(v.plain.__getitem__, held))
+        symbols[-1] = v.last[held[-1]]
+        held.clear()
+        return merge_all(symbols, v.table)
 
 
 class Decoder:
@@ -236,9 +241,7 @@ class Decoder:
 
 
 def _packed_ids(ids: list[int]) -> bytes:
-    if len(ids) > 256:
-        return np.array(ids, "<u4").tobytes()
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _pack[len(ids)](*ids) if len(ids) < len(_pack) else np.array(ids, "<u4").tobytes()
 
 
 def _unpacked(data: bytes) -> list[int]:
@@ -264,6 +267,10 @@ class Memo:
             self.young[key] = value
         return value
 
+    def one(self, key: Any) -> bytes:
+        value = self.young.get(key)
+        return self.take(key) if value is None else value
+
     def each(self, keys: list) -> list[bytes]:
         get, take = self.young.get, self.take  # a generation that ends meanwhile still answers rightly
         return [v if (v := get(k)) is not None else take(k) for k in keys]
@@ -282,9 +289,12 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         t = self.transducer
-        return _packed_ids([*t.feed(word.encode("utf-8", "replace")), *t.finish()])
+        ids = t.feed(word.encode("utf-8", "replace"))
+        return _packed_ids(ids + t.finish() if ids else t.finish())
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return self.words.one(chunk.lower())
         out = []
         for part in self.v.marks.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.v.special:
@@ -294,9 +304,10 @@ class Codec:
                 part = unicodedata.normalize("NFC", part)
             part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
             if part.isalpha():  # one run of letters, which the word rule takes whole
-                out += self.words.each([part])
+                out.append(self.words.one(part))
             elif part[-1:] in (".", ",") and part[:-1].isalpha():
-                out += self.words.each([part[:-1], part[-1]])
+                out.append(self.words.one(part[:-1]))
+                out.append(self.words.one(part[-1]))
             else:
                 out += self.words.each(self.v.words.findall(part))
         return b"".join(out)
