@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected, reached
+from .components import FEW, connected, reached
 from .frames import heavy_keys, modest_batches, settle, spread_join
 from .shingles import mix
 from .vectors import by_width
@@ -146,7 +146,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     hashed = _hashed(rows)
     classes = settle(hashed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.first("vector").alias("vector"), F.first("buckets").alias("buckets")))
     entries = classes.select("key", F.explode("buckets").alias("bucket"))
-    shared = settle(entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = settle(entries.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), FEW)
     met = settle(spread_join(entries, shared, ["bucket"], heavy_keys(shared, ["bucket"], "c"), ["key"]).select("bucket", "key", F.ceil(F.col("c") / block).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("key"), "blocks").cast("int")
     cells = met.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -156,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))
     roots = connected(compared.select("key", "least"), "key", "least")
     known = classes.select("key", "n", "id").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    first = settle(known.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m")))
+    first = settle(known.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m")), FEW)
     known = spread_join(known, first.drop("m"), ["root"], heavy_keys(first, ["root"], "m"), ["key"])
     known = known.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
     out = spread_join(hashed.select("id", "key"), known, ["key"], heavy_keys(classes, ["key"], "n"), ["id"], "left")

@@ -221,9 +221,9 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines = stored(_lines(known, min_words, width if versions is not None else None).where(F.size("lines") > 0).dropDuplicates(["id"]))
     # a document counts once for each window: repeats within it are dropped before the shuffle
     single = lines.select("id", F.explode("windows").alias("line"))
-    seen = stored(single.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    seen = stored(single.groupBy("line").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), 8)
     met = spread_join(single, seen.drop("n"), ["line"], heavy_keys(seen, ["line"], "n"), ["id"]).where(F.col("id") != F.col("first"))
-    pairs = stored(met.select("id", "first").distinct())
+    pairs = stored(met.select("id", "first").distinct(), 8)
     firsts = heavy_keys(pairs.groupBy("first").count(), ["first"], "count")
     other = lines.select(F.col("id").alias("first"), F.col("lines").alias("other"), F.col("sign").alias("other_sign"))
     pairs = spread_join(pairs.join(lines.select("id", "lines", "words", "sign"), "id"), other, ["first"], firsts, ["id"]).select("id", "lines", "words", "sign", "other", "other_sign")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected, reached
+from .components import FEW, connected, reached
 from .frames import heavy_keys, modest_batches, pieces_of, settle, spread_join, stored, utf8
 from .shingles import mix, shingle_sets
 
@@ -294,20 +294,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     copies = heavy_keys(classes, ["key"], "m")
     entries = classes.select("key", F.explode("buckets").alias("grp"))
     shared = entries.groupBy("grp").agg(F.count("*").alias("m"), F.min("key").alias("pivot")).where("m > 1")
-    shared = settle(shared.withColumn("blocks", F.ceil(F.col("m") / min(block, TILE)).cast("int")))
+    shared = settle(shared.withColumn("blocks", F.ceil(F.col("m") / min(block, TILE)).cast("int")), FEW)
     heavy = heavy_keys(shared, ["grp"], "m")
     met = spread_join(entries, shared.drop("m"), ["grp"], heavy, ["key"]).join(classes.select("key", "n", "sign"), "key")
     likely = _compared(met, shared, ["key", "n", "sign"], lambda cells: _likely(cells, percent), heavy)
 
-    clusters = settle(connected(likely, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("grp")).join(classes.select("key", "id", "n"), "key"))
+    clusters = settle(connected(likely, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("grp")).join(classes.select("key", "id", "n"), "key"), FEW)
     bounds = clusters.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"), F.min("key").alias("pivot"))
-    bounds = settle(bounds.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("hashes") * 8 / CELL_BYTES)).cast("int")))
+    bounds = settle(bounds.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("hashes") * 8 / CELL_BYTES)).cast("int")), FEW)
     heavy = heavy_keys(bounds, ["grp"], "m")
     wanted = spread_join(clusters.select("key", "id", "grp"), bounds.select("grp", "pivot", "blocks"), ["grp"], heavy, ["key"])
     sets = _sets(docs.join(wanted, "id").select("text", "key", "grp", "pivot", "blocks"), width)
     roots = connected(_compared(sets, bounds, ["key", "hashes"], lambda cells: _links(cells, percent), heavy), "a", "b")
 
-    least = settle(classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    least = settle(classes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), FEW)
     first = least.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("m"))
     least = spread_join(least, first.drop("m"), ["root"], heavy_keys(first, ["root"], "m"), ["key"]).select("key", "component_id")
     out = spread_join(rows.select("id", F.col("n").alias("n_shingles"), "key"), least, ["key"], copies, ["id"], "left")

@@ -27,6 +27,8 @@ from . import bpe
 from .frames import pieces_of, settle
 
 Run = tuple[int, int, int, int, int]
+#: Shuffle partitions of small rows that make one.
+FEW = 8
 
 
 def layout(counts: dict[int, int], capacity: int) -> list[Run]:
@@ -113,7 +115,9 @@ def cut_table(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, i
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` added; ``pieces`` must have a ``length`` from 1 to ``capacity``."""
-    pieces = settle(pieces)  # ranks hold only while partitions and their order stay as they are
+    # ranks hold only while partitions and their order stay as they are; rows of some bytes each need few files
+    few = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FEW)
+    pieces = settle(pieces.repartition(few, *pieces.columns[:2], "length"))
     fields = pieces.schema
 
     def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +134,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     by_part = pieces.groupBy(F.spark_partition_id().alias("_part"), "length").agg(F.count("*").alias("_n"))
-    by_part = settle(by_part)
+    by_part = settle(by_part, FEW)
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
     runs = sorted(layout(counts, capacity))
     lengths, ranks, _, firsts, offsets = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else [np.zeros(0, np.int64)] * 5

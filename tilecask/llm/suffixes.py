@@ -368,7 +368,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, text_col: str = "text", g
     rows = docs.withColumn("tid", F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b"")))
     texts = rows.select("tid", F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
 
-    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1"), 4)
+    known = stored(_anchor_counts(texts, length).groupBy("anchor").count().where("count > 1"), 8)
     frequent = heavy_keys(known, ["anchor"], "count")
     places = stored(spread_join(_anchor_table(texts, length), known.select("anchor"), ["anchor"], frequent, ["tid", "first"], "left_semi"))
     kinds = stored(places.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "left", "windows")).alias("where")))
