@@ -22,6 +22,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -75,14 +76,22 @@ class Vocabulary:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
-        self.spaced = {i: f" {t}".encode() for i, t in self.names.items()}
-        self.text_bytes = {i: self._text(t) for i, t in self.names.items()}
-        self.lookahead = lookahead(self.merges)
-        self.table = packed(self.merges)
+            merges.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
+        self.lookahead = lookahead(merges)
+        self.table = packed(merges)
+
+    @cached_property
+    def spaced(self) -> dict[int, bytes]:
+        """Each id's spelling after a blank."""
+        return {i: f" {t}".encode() for i, t in self.names.items()}
+
+    @cached_property
+    def text_bytes(self) -> dict[int, bytes]:
+        """The bytes that each id stands for."""
+        return {i: self._text(t) for i, t in self.names.items()}
 
     def _text(self, name: str) -> bytes:
         """The bytes that a token stands for; one that ends a word has a blank after it."""

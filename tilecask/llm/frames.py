@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 from operator import or_
 
@@ -89,6 +91,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[
 WORKER_CACHES: list[dict] = []
 
 
+def release_unused() -> None:
+    """Give the system back what earlier tasks of this worker have freed, which allocators keep otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20, keep: dict | None = None) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that the named column holds about ``most`` bytes in each.
 
@@ -97,6 +107,7 @@ def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 2
     for cache in WORKER_CACHES:
         if cache is not keep:
             cache.clear()
+    release_unused()
     for batch in batches:
         rows = batch.num_rows
         if not rows:

@@ -41,7 +41,7 @@ GROUP = 32768
 STEP = 8
 SEGMENT = 1 << 20
 #: Window starts that are sorted at once.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 #: Room for a place within a segment.
 _PLACE = np.uint64((1 << 21) - 1)
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
